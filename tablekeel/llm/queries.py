@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tablekeel.llm import chat_format, decontaminate, line_dedup, sharding
+from tablekeel.llm import chat_format, decontaminate, line_dedup, packing, sharding, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_sharding": sharding.op6_sharding,
+    "op9_packing": packing.op9_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE_SQL = {"op4_line_dedup": line_dedup.OP4_SQL, "op5_chat_format": chat_format.OP5_SQL}
