@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tablekeel.llm import chat_format, decontaminate, line_dedup, packing, sharding, simhash
+from tablekeel.llm import chat_format, decontaminate, language_id, line_dedup, packing, quality, sharding, simhash
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_language_id": language_id.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_format": chat_format.op5_chat_format,
