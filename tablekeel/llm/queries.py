@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablekeel.llm import chat_format, decontaminate, language_id, line_dedup, packing, quality, sharding, simhash
+from tablekeel.llm import chat_format, decontaminate, language_id, line_dedup, packing, paragraph_sketch, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_sharding": sharding.op6_sharding,
+    "op7_fingerprints": paragraph_sketch.op7_fingerprints,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_packing": packing.op9_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
