@@ -6,6 +6,7 @@ word. Matches of a window's length or more are hits; short items must occur as a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from tablekeel.llm.common import table
 
 #: Byte table: A-Z lower-cased; ASCII that is no letter or digit becomes a blank; the rest stays.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+WORD = re.compile(rb"[^ ]+")
 #: Words of items that one automaton may hold; more items make more automata, each a pass of its own.
 BLOCK_WORDS = 500_000
 
@@ -191,6 +193,46 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", *["text"] * keep_text, "n_words", "spans", "items")
 
 
+def cut_out(text: str, automata: list[Automaton]) -> tuple[str, float]:
+    """The text without its hit spans, a newline in place of each, and the share of its words that were hit at first."""
+    covered = None
+    while True:
+        raw = text.encode()
+        at = [m.span() for m in WORD.finditer(raw.translate(TO_WORDS))]
+        ws = raw.translate(TO_WORDS).split()
+        hit = np.zeros(len(ws), bool)
+        for a in automata:
+            for x, y in a.scan(ws)[0]:
+                hit[x:y] = True
+        if covered is None:
+            covered = float(hit.mean()) if len(ws) else 0.0
+        if not hit.any():
+            return text, covered
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+        kept, last = [], 0
+        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            kept.append(raw[last : at[x][0]])
+            last = at[y - 1][1]
+        text = b"\n".join([*kept, raw[last:]]).decode()  # words end where characters do
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, window: int = 10, max_covered: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows with the spans of hit words removed from their texts, all other columns as they were.
+
+    What comes together where a span was removed is searched again until nothing is hit. Rows of
+    whose words more than ``max_covered`` are hit go altogether.
+    """
+    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in blocks(items, window, "item_id", "text")]
+
+    @F.pandas_udf("text string, covered double")
+    def clean(texts: pd.Series) -> pd.DataFrame:
+        out = [(None, 0.0) if t is None else cut_out(t, [a.value for a in automata]) for t in texts]
+        return pd.DataFrame(out, columns=["text", "covered"])
+
+    done = docs.select(F.struct("*").alias("row"), clean(F.col(text_col)).alias("clean")).where(F.col("clean.covered") <= max_covered)
+    return done.select(*[F.col("clean.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -86,26 +85,34 @@ def learn(labelled: DataFrame, sample: int = 600, chars: int = 500, size: int =
     return Dictionaries(contents)
 
 
-def identify(docs: DataFrame, known: Dictionaries, min_margin: float = 0.0005, min_chars: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return per row ``doc_id, lang_pred, score, margin, rejected``; whole texts are read.
+def language_of(text: Column, known: Dictionaries, min_margin: float = 0.0005, min_chars: int = 100) -> Column:
+    """A struct of ``lang_pred, score, margin, rejected`` for whole texts.
 
     ``lang_pred`` is ``und`` for null texts and texts without a letter. These are rejected, and so
-    are texts of ``min_chars`` characters or more whose margin is below ``min_margin``; shorter ones
-    can't show a wide margin and stay. Ties go to the language with more labelled texts. Rows that
-    repeat an id are judged each by itself. Other columns are ignored.
+    are texts of ``min_chars`` characters or more whose margin is below ``min_margin``; shorter
+    ones can't show a wide margin and stay. Ties go to the language with more labelled texts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(known)  # bounded: at most ``size`` bytes a language
+    sent = SparkSession.active().sparkContext.broadcast(known)  # bounded: at most ``size`` bytes a language
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(*sent.value.best(t), len(t or "")) for t in b.text]
-            lang, score, margin, n = zip(*out, strict=True) if out else ([], [], [], [])
-            rejected = [x == UNKNOWN or (m < min_margin and k >= min_chars) for x, m, k in zip(lang, margin, n, strict=True)]
-            yield pd.DataFrame({"doc_id": b.doc_id, "lang_pred": lang, "score": score, "margin": margin, "rejected": rejected})
+    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            lang, score, margin = sent.value.best(t)
+            out.append((lang, score, margin, lang == UNKNOWN or (margin < min_margin and len(t) >= min_chars)))
+        return pd.DataFrame(out, columns=["lang_pred", "score", "margin", "rejected"])
+
+    return judge(text)
+
+
+def identify(docs: DataFrame, known: Dictionaries, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return per row ``doc_id, lang_pred, score, margin, rejected``. Rows that repeat an id are judged each by itself; other columns are ignored."""
+    return docs.select(F.col(id_col).alias("doc_id"), language_of(F.col(text_col), known).alias("said")).select("doc_id", "said.*")
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.mapInPandas(judge, "doc_id string, lang_pred string, score double, margin double, rejected boolean")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+def keep_identified(docs: DataFrame, known: Dictionaries, text_col: str = "text") -> DataFrame:
+    """The rows whose language is not rejected, with all their columns."""
+    return docs.select(F.struct("*").alias("row"), language_of(F.col(text_col), known).alias("said")).where(~F.col("said.rejected")).select("row.*")
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -113,7 +120,12 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)), F.lit(0))
 
 
+def learn_from_folds(docs: DataFrame) -> Dictionaries:
+    """Dictionaries from the two thirds of ``documents`` that are not held out."""
+    return learn(docs.where(fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    known = learn(docs.where(fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    known = learn_from_folds(docs)
     return identify(docs, known).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")

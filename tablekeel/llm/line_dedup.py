@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +19,17 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """Return per row ``doc_id, text`` (kept lines joined by newline), ``n_lines, n_dropped``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, keep: Sequence[str] = ()) -> DataFrame:
+    """Return per row ``doc_id, text`` (kept lines joined by newline), ``n_lines, n_dropped``, and a struct ``rest`` of the columns ``keep``.
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased. Keys of at least
     ``min_chars`` code points that ``min_docs`` or more documents hold lose all their lines except
     in the smallest document holding them. Keys are told apart by 128 hashed bits.
 
     Null or empty text is one empty line. Rows that repeat an id count as one document, each keeps
-    its own lines. Other columns of the input are ignored. An empty table gives an empty table.
+    its own lines. Other columns are ignored. An empty table gives an empty table.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(True).alias("_"), *keep).alias("rest"))
     base = base.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64("text"))
     lines = base.select("id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     # one row a line from here on: no text is shuffled to find what is shared
@@ -46,6 +48,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform("stay", lambda i: F.get("line", i)), "\n")).alias("text"),
         F.size("line").cast("long").alias("n_lines"),
         (F.size("line") - F.size("stay")).cast("long").alias("n_dropped"),
+        *[F.col("rest").dropFields("_").alias("rest") for _ in keep[:1]],
     )
 
 

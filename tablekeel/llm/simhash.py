@@ -48,14 +48,14 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return per row ``doc_id, fp``."""
+    """Return per row ``doc_id, row`` (a hash of the text) and ``fp``."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "fp": np.array([fingerprint(t, shingle) for t in b.text], np.int64)})
+            yield pd.DataFrame({"doc_id": b.doc_id, "row": b.row, "fp": np.array([fingerprint(t, shingle) for t in b.text], np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(work, "doc_id string, row long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _signed(bits: int) -> int:
@@ -101,8 +101,8 @@ def link_components(nodes: DataFrame, distance: int = 4) -> DataFrame:
     apart = F.col("point_a").bitwiseXOR(F.col("point_b"))
     agreeing = sum((F.when(apart.bitwiseAND(F.lit(m)) == 0, 1 << g).otherwise(0) for g, m in enumerate(masks)), F.lit(0))
     smeared = F.col("grid").bitwiseOR(F.shiftright("grid", 1))
-    smeared = smeared.bitwiseOR(F.shiftright(smeared, 2))
-    smeared = smeared.bitwiseOR(F.shiftright(smeared, 4))
+    for n in (2, 4, 8):
+        smeared = smeared.bitwiseOR(F.shiftright(smeared, n))
     pairs = left.join(right, ["grid", "cell"]).where(
         (F.col("fp_a") < F.col("fp_b"))
         & (F.col("label_a") != F.col("label_b"))
@@ -116,7 +116,7 @@ def link_components(nodes: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return per row ``doc_id, fp, component_id``: the smallest id among rows that links within ``distance`` bits reach, itself included.
+    """Return per row ``doc_id, row, fp, component, component_id``: the smallest id among rows that links within ``distance`` bits reach, itself included.
 
     Texts without words have fingerprint zero and link like any other. Rows that repeat an id are
     fingerprinted each by itself; a null id is never the smallest unless it is alone, and its
@@ -127,7 +127,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     linked = settle(link_components(nodes.select("fp"), distance), "linked")
     named = nodes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "row", "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id, and of rows that repeat it one.
+
+    Rows without an id stay only where their component has no id at all.
+    """
+    found = near_duplicates(docs, shingle, distance, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = found.groupBy("component").agg(F.min("doc_id").alias("_id"), F.min("row").alias("_row")).select("_id", "_row").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_row"), F.struct("*").alias("_all"))
+    return rows.join(stay, rows["_id"].eqNullSafe(stay["_id"]) & (rows["_row"] == stay["_row"]), "left_semi").dropDuplicates(["_id", "_row"]).select("_all.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
