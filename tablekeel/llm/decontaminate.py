@@ -7,20 +7,20 @@ word. Matches of a window's length or more are hits; short items must occur as a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeel.llm.common import table
+from tablekeel.llm.common import settle, table
 
 #: Byte table: A-Z lower-cased; ASCII that is no letter or digit becomes a blank; the rest stays.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
-#: Words of items that one automaton may hold; more items make more automata, each a pass of its own.
+#: Words of items that one automaton may hold (or one item more); further items make further automata, each a pass of its own.
 BLOCK_WORDS = 500_000
 
 
@@ -167,70 +167,88 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
     words. Items without an id or without words are passed over; rows that repeat an id are
     handled each by itself. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in blocks(items, window, "item_id", "text")]
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    passes = one_ahead(blocks(items, window, "item_id", "text"))
+    for automaton, last in passes:
+        rows = rows.mapInPandas(scan_with(docs.sparkSession, automaton, keep_text or not last), FOUND)
+        rows = rows if last else settle(rows, "leaks")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", *["text"] * keep_text, "n_words", "spans", "items")
+
+
+def one_ahead(found: Iterator[Automaton]) -> Iterator[tuple[Automaton | None, bool]]:
+    """Each automaton with whether it is the last; without any, one None."""
+    held = next(found, None)
+    for following in found:
+        yield held, False
+        held = following
+    yield held, True
+
+
+def scan_with(spark: SparkSession, automaton: Automaton | None, keep_text: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One pass over rows of ``FOUND``: spans and items of this automaton join those of the passes before."""
+    sent = spark.sparkContext.broadcast(automaton)  # bounded by ``BLOCK_WORDS``
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
+            for doc_id, text, before, names in zip(batch.doc_id, batch.text, batch.spans, batch["items"], strict=True):
                 ws = words(text)
-                spans: list[tuple[int, int]] = []
-                found: set[str] = set()
-                for a in automata:
-                    more, names = a.value.scan(ws)
-                    spans, found = spans + more, found | names
+                spans, found = sent.value.scan(ws) if sent.value else ([], set())
                 merged: list[tuple[int, int]] = []
-                for x, y in sorted(spans):
+                for x, y in sorted([*spans, *((s["a"], s["b"]) for s in before)]):
                     if merged and x <= merged[-1][1]:
                         merged[-1] = (merged[-1][0], max(y, merged[-1][1]))
                     else:
                         merged.append((x, y))
-                out.append((doc_id, text if keep_text else None, len(ws), [{"a": x, "b": y} for x, y in merged], sorted(found)))
+                out.append((doc_id, text if keep_text else None, len(ws), [{"a": x, "b": y} for x, y in merged], sorted(found.union(names))))
             yield pd.DataFrame(out, columns=["doc_id", "text", "n_words", "spans", "items"])
 
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(scan, FOUND)
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", *["text"] * keep_text, "n_words", "spans", "items")
+    return scan
 
 
-def cut_out(text: str, automata: list[Automaton]) -> tuple[str, float]:
+def cut_out(text: str, automaton: Automaton) -> tuple[str, float]:
     """The text without its hit spans, a newline in place of each, and the share of its words that were hit at first."""
     covered = None
     while True:
-        raw = text.encode()
-        at = [m.span() for m in WORD.finditer(raw.translate(TO_WORDS))]
-        ws = raw.translate(TO_WORDS).split()
-        hit = np.zeros(len(ws), bool)
-        for a in automata:
-            for x, y in a.scan(ws)[0]:
-                hit[x:y] = True
+        ws = words(text)
+        spans = automaton.scan(ws)[0]
         if covered is None:
-            covered = float(hit.mean()) if len(ws) else 0.0
-        if not hit.any():
+            covered = sum(y - x for x, y in spans) / max(1, len(ws))
+        if not spans:
             return text, covered
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+        raw = text.encode()
+        at = [m.span() for m in WORD.finditer(raw.translate(TO_WORDS))]
         kept, last = [], 0
-        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        for x, y in spans:
             kept.append(raw[last : at[x][0]])
             last = at[y - 1][1]
         text = b"\n".join([*kept, raw[last:]]).decode()  # words end where characters do
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, window: int = 10, max_covered: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows with the spans of hit words removed from their texts, all other columns as they were.
-
-    What comes together where a span was removed is searched again until nothing is hit. Rows of
-    whose words more than ``max_covered`` are hit go altogether.
-    """
-    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in blocks(items, window, "item_id", "text")]
+def cleaner(spark: SparkSession, automaton: Automaton | None) -> Callable[[Column], Column]:
+    sent = spark.sparkContext.broadcast(automaton)  # bounded by ``BLOCK_WORDS``
 
     @F.pandas_udf("text string, covered double")
     def clean(texts: pd.Series) -> pd.DataFrame:
-        out = [(None, 0.0) if t is None else cut_out(t, [a.value for a in automata]) for t in texts]
+        out = [(t, 0.0) if t is None or not sent.value else cut_out(t, sent.value) for t in texts]
         return pd.DataFrame(out, columns=["text", "covered"])
 
-    done = docs.select(F.struct("*").alias("row"), clean(F.col(text_col)).alias("clean")).where(F.col("clean.covered") <= max_covered)
-    return done.select(*[F.col("clean.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return clean.asNondeterministic()  # else the filter on its result would run it a second time
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, window: int = 10, max_covered: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows with the spans of hit words removed from their texts, all other columns as they were.
+
+    What comes together where a span was removed is searched again until nothing is hit. Rows of
+    whose words more than ``max_covered`` are hit go altogether. If the items make several
+    automata, each takes a pass of its own over what the one before left.
+    """
+    for automaton, last in one_ahead(blocks(items, window, "item_id", "text")):
+        clean = cleaner(docs.sparkSession, automaton)
+        done = docs.select(F.struct("*").alias("row"), clean(F.col(text_col)).alias("clean")).where(F.col("clean.covered") <= max_covered)
+        done = done.select(*[F.col("clean.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+        docs = done if last else settle(done, "cleaned")
+    return docs
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,16 @@ def test_stages_keep_the_columns(spark, docs, sf_dir):
 
 def test_hits_are_cut_out_until_none_is_left():
     a = decontaminate.Automaton.build([("1", [b"a", b"b", b"c"])], 10)
-    assert decontaminate.cut_out("x a b c y", [a]) == ("x \n y", 0.6)
-    assert decontaminate.cut_out("a a b c b c z", [a])[0].split() == ["z"]
-    assert decontaminate.cut_out("Ä b, c", [a]) == ("Ä b, c", 0.0)
+    assert decontaminate.cut_out("x a b c y", a) == ("x \n y", 0.6)
+    assert decontaminate.cut_out("a a b c b c z", a)[0].split() == ["z"]
+    assert decontaminate.cut_out("Ä b, c", a) == ("Ä b, c", 0.0)
+
+
+def test_items_beyond_one_automaton_take_further_passes(spark, docs, monkeypatch):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    key = lambda df: sorted((str(r["doc_id"]), r["n_words"], str(r["spans"]), r["items"]) for r in df.collect())
+    left = lambda df: sorted((r["text"] or "").split() for r in df.collect())
+    whole, cleaned = key(decontaminate.find_leaks(docs, items)), left(decontaminate.remove_leaks(docs, items, max_covered=1.0))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
+    assert key(decontaminate.find_leaks(docs, items)) == whole
+    assert left(decontaminate.remove_leaks(docs, items, max_covered=1.0)) == cleaned
