@@ -5,119 +5,124 @@ the XOR of its digests and the XOR of their checksums. Sketches of two versions
 cell. Peeling then recovers the digests that differ: a cell of count 1 or -1 whose checksum fits
 gives one, which is taken out of its other cells, and so on.
 
-A fingerprint is a small sketch. Where it can't be peeled, larger ones are tried: the digests are
-dealt into banks, each with a sketch of its own, and every further try has more banks and other
-hash functions. All of it is built-in expressions on arrays within a row.
+A fingerprint is a small sketch. Pairs of versions whose difference it can't give are tried again
+with larger sketches and other hash functions. A cell is a row, and filling, subtracting and
+peeling are sums and XORs by document and cell. Rows are dealt by document once, so all of that
+happens where they are, without another shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablekeel.llm.common import table
+from tablekeel.llm.common import settle, table
 
 #: A paragraph is a line; a line goes on as a new paragraph after the first sentence end beyond so many characters.
 LONG = 200
-#: Cells in each of the three tables of a fingerprint, and of a bank of a retry.
-SMALL, LARGE = 8, 16
-#: Digests that a bank of the first retry holds on average.
-LOAD = 12
+#: Cells in each of the three tables of a fingerprint.
+SMALL = 8
+#: Rounds of peeling for a fingerprint and for a larger sketch: each goes over the three tables once.
+FEW, MANY = 2, 6
 TRIES = 4
 
 
-def let(value: Column, body) -> Column:  # noqa: ANN001
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def paragraph_digests(text: Column) -> Column:
     """Distinct 64-bit digests of the paragraphs of a text; an empty text has none."""
-    cut = F.regexp_replace(text, rf"([^\n]{{{LONG}}}[^\n.!?]{{0,2000}}[.!?]) ", "$1\n")
+    # anchored at line starts and former ends, so that it goes over a text once
+    cut = F.regexp_replace(text, rf"(?md)(?:^|\G)([^\n]{{{LONG}}}[^\n]*?[.!?]) ", "$1\n")
     kept = F.filter(F.split(cut, "\n"), lambda x: F.length(x) > 0)
     return F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x)))
 
 
-def _entry(digest: Column, salt: Column, width: int) -> Column:
-    """A digest with its checksum and its cell in each table."""
-    return F.struct(digest.alias("d"), F.hash(digest, F.lit(1)).alias("h"), *[(F.pmod(F.xxhash64(digest, salt, F.lit(i)), F.lit(width)).cast("int") + i * width).alias(f"c{i}") for i in range(3)])
+def _checksum(digest: Column) -> Column:
+    return F.hash(digest, F.lit(1))
 
 
-def _holds(entry: Column, cell: Column) -> Column:
-    return (entry["c0"] == cell) | (entry["c1"] == cell) | (entry["c2"] == cell)
+def _cell(digest: Column, table_no: int, salt: Column, width: Column) -> Column:
+    return (F.pmod(F.xxhash64(digest, salt, F.lit(table_no)), width) + width * table_no).cast("int")
 
 
-def _cell(n: Column, d: Column, h: Column) -> Column:
-    return F.struct(n.alias("n"), d.alias("d"), h.alias("h"))
+KEYS = ["rid", "pair", "width", "salt"]
+CELL = ["n", "digest", "checksum"]
 
 
-def sketch(digests: Column, salt: Column, width: int) -> Column:
-    """The cells of a set of digests: array of (n int, d long, h int)."""
-    none = lambda: _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0))
-    fill = lambda entries: F.transform(
-        F.sequence(F.lit(0), F.lit(3 * width - 1)),
-        lambda j: F.aggregate(F.filter(entries, lambda e: _holds(e, j)), none(), lambda a, e: _cell(a["n"] + 1, a["d"].bitwiseXOR(e["d"]), a["h"].bitwiseXOR(e["h"]))),
-    )
-    return let(F.transform(digests, lambda d: _entry(d, salt, width)), fill)
+def _sum_up(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("checksum").alias("checksum"))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["d"].bitwiseXOR(y["d"]), x["h"].bitwiseXOR(y["h"])))
+def fill(digests: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of rows ``*keys, width, salt, n (1 or -1), digest``: their cells, as rows ``*keys, cell, n, digest, checksum``."""
+    cells = F.array(*[_cell(F.col("digest"), i, F.col("salt"), F.col("width")) for i in range(3)])
+    return _sum_up(digests.withColumn("checksum", _checksum(F.col("digest"))).withColumn("cell", F.explode(cells)), *keys)
 
 
-def peel(cells: Column, salt: Column, width: int, rounds: int = 12) -> Column:
-    """Number of digests in a subtracted sketch, or null if it can't be emptied."""
+def peel(cells: DataFrame, rounds: int) -> DataFrame:
+    """Take out what single cells give, table after table; cell -1 counts the digests recovered so far.
 
-    def step(state: Column) -> Column:
-        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.hash(c["d"], F.lit(1)) == c["h"]))
-        found = F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("n"), _entry(c["d"], salt, width).alias("e"))))
-        empty = lambda got: F.transform(
-            state["cells"],
-            lambda c, j: F.aggregate(F.filter(got, lambda g: _holds(g["e"], j)), c, lambda a, g: _cell(a["n"] - g["n"], a["d"].bitwiseXOR(g["e"]["d"]), a["h"].bitwiseXOR(g["e"]["h"]))),
-        )
-        return let(found, lambda got: F.when(F.size(got) == 0, F.struct(state["cells"].alias("cells"), state["got"].alias("got"), F.lit(True).alias("done"))).otherwise(F.struct(empty(got).alias("cells"), (state["got"] + F.size(got)).alias("got"), F.lit(False).alias("done"))))
+    Digests that come from one table are different ones, so none is taken out twice.
+    """
+    filled = (F.col("cell") < 0) | (F.col("n") != 0) | (F.col("digest") != 0) | (F.col("checksum") != 0)
+    cells = cells.where(filled)
+    for i in [0, 1, 2] * rounds:
+        here = F.floor(F.col("cell") / F.col("width")) == i
+        single = (F.col("cell") >= 0) & here & (F.abs("n") == 1) & (_checksum(F.col("digest")) == F.col("checksum"))
+        others = [F.struct(_cell(F.col("digest"), j, F.col("salt"), F.col("width")).alias("cell"), (-F.col("n")).alias("n"), F.col("digest"), F.col("checksum")) for j in range(3) if j != i]
+        found = F.struct(F.lit(-1).alias("cell"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("digest"), F.lit(0).alias("checksum"))
+        same = F.struct("cell", *CELL)
+        moved = cells.select(*KEYS, F.explode(F.when(single, F.array(found, *others)).otherwise(F.array(same))).alias("c")).select(*KEYS, "c.*")
+        cells = _sum_up(moved, *KEYS).where(filled)
+    return cells
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("got"), F.lit(False).alias("done"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)))
-    return let(end, lambda s: F.when(F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["d"] != 0) | (c["h"] != 0)), F.lit(None).cast("int")).otherwise(s["got"]))
 
+def outcome(peeled: DataFrame) -> DataFrame:
+    """Rows ``rid, pair, differing``: null where cells were left over. Pairs without a difference have no row."""
+    by = peeled.groupBy("rid", "pair").agg(F.max("cell").alias("last"), F.sum(F.when(F.col("cell") < 0, F.col("n"))).alias("n"))
+    return by.select("rid", "pair", F.when(F.col("last") < 0, F.col("n")).alias("differing"))
 
-def _retry(a: Column, b: Column, attempt: int) -> Column:
-    """Differing digests by banks of larger sketches; null if a bank can't be emptied."""
-    salt = F.lit(attempt)
-    banks = F.ceil((F.size(a) + F.size(b)) / LOAD).cast("int") * 2 ** (attempt - 1)
 
-    def bank(x: Column, k: Column, n: Column) -> Column:
-        return F.filter(x, lambda d: F.pmod(F.xxhash64(d, salt), n) == k)
+def _digest_rows(held: DataFrame, *keys: str) -> DataFrame:
+    """Rows ``*keys, which (0, 1, 2), digest`` of the digest arrays ``d0, d1, d2``."""
+    return held.select("rid", *keys, F.posexplode(F.array("d0", "d1", "d2")).alias("which", "ds")).select("rid", *keys, "which", F.explode("ds").alias("digest"))
 
-    each = let(banks, lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: peel(subtract(sketch(bank(a, k, n), salt, LARGE), sketch(bank(b, k, n), salt, LARGE)), salt, LARGE)))
-    # a sum with a null bank is null
-    return let(each, lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v))
 
+def by_row(held: DataFrame) -> DataFrame:
+    """Rows dealt by ``rid``. The number of partitions is fixed: a row grows to many cells, which Spark can't foresee when it merges partitions."""
+    return held.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
 
-def count(cells: Column) -> Column:
-    """Digests in a sketch of a fingerprint's width: each is in one cell of the first table."""
-    return F.aggregate(F.slice(cells, 1, SMALL), F.lit(0), lambda n, c: n + c["n"])
 
+def fingerprint_cells(held: DataFrame) -> DataFrame:
+    """Cells of the fingerprints of ``d0, d1, d2``: rows ``rid, which, cell, n, digest, checksum``."""
+    digests = _digest_rows(by_row(held.select("rid", "d0", "d1", "d2")))
+    return fill(digests.withColumns({"n": F.lit(1).cast("long"), "width": F.lit(SMALL).cast("long"), "salt": F.lit(0)}), "rid", "which")
 
-def likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add the share of common digests among all digests of ``d_a`` and ``d_b``, from the difference that peeling recovers; 1 if both are empty.
 
-    Each try is a column of its own, computed only where the tries before it failed.
-    """
-    da, db, sa, sb = (F.col(f"{kind}_{x}") for kind in "ds" for x in (a, b))
-    rows = rows.withColumn("_0", peel(subtract(sa, sb), F.lit(0), SMALL))
-    for k in range(1, TRIES + 1):
-        rows = rows.withColumn(f"_{k}", F.when(F.col(f"_{k - 1}").isNotNull(), F.col(f"_{k - 1}")).otherwise(_retry(da, db, k)))
-    exact = F.size(F.array_except(da, db)) + F.size(F.array_except(db, da))  # for what no try could empty
-    rows = rows.withColumn("_d", F.coalesce(F.col(f"_{TRIES}"), exact)).withColumn("_n", count(sa) + count(sb))
-    share = F.when(F.col("_n") + F.col("_d") == 0, F.lit(1.0)).otherwise((F.col("_n") - F.col("_d")) / (F.col("_n") + F.col("_d")))
-    return rows.withColumn(out, share).drop("_d", "_n", *[f"_{k}" for k in range(TRIES + 1)])
+def compare(held: DataFrame) -> DataFrame:
+    """For rows ``rid, d0, d1, d2``: ``rid, pair, differing`` digests of (0, 1) and (0, 2).
 
-
-def as_text(cells: Column) -> Column:
-    """A sketch as text: count, digests and checksums of each cell in hexadecimal."""
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["d"]), F.hex(c["h"]))), "-")
+    The fingerprints are tried first. What they can't give goes into sketches with room for all
+    digests of both, twice as large with each further try; a set difference settles what is left
+    after ``TRIES``.
+    """
+    held = held.select("rid", "d0", "d1", "d2")
+    by_pair = F.when(F.col("which") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array("which"))
+    signed = fingerprint_cells(held).select("rid", F.explode(by_pair).alias("pair"), F.lit(SMALL).cast("long").alias("width"), F.lit(0).alias("salt"), "cell", F.when(F.col("which") == 0, F.col("n")).otherwise(-F.col("n")).alias("n"), "digest", "checksum")
+    results = [settle(outcome(peel(_sum_up(signed, *KEYS), FEW)), "peeled")]
+    other = F.when(F.col("pair") == 1, F.col("d1")).otherwise(F.col("d2"))
+    for attempt in range(1, TRIES + 1):
+        failed = results[-1].where("differing IS NULL").select("rid", "pair")
+        if attempt > 1 and failed.isEmpty():
+            break
+        again = by_row(held.join(failed, "rid").select("rid", "pair", "d0", other.alias("d1")))
+        width = F.greatest(F.ceil((F.size("d0") + F.size("d1")) / 1.5), F.lit(SMALL)).cast("long") * 2 ** (attempt - 1)
+        sides = again.select("rid", "pair", width.alias("width"), F.lit(attempt).alias("salt"), F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.col(d).alias("ds")) for n, d in ((1, "d0"), (-1, "d1"))])).alias("side"))
+        digests = sides.select(*KEYS, "side.n", F.explode("side.ds").alias("digest"))
+        results.append(settle(outcome(peel(fill(digests, *KEYS), MANY)), "peeled"))
+    last = held.join(results[-1].where("differing IS NULL").select("rid", "pair"), "rid")
+    exact = last.select("rid", "pair", (F.size(F.array_except("d0", other)) + F.size(F.array_except(other, F.col("d0")))).cast("long").alias("differing"))
+    return reduce(DataFrame.unionByName, [r.where("differing IS NOT NULL") for r in results], exact)
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -143,26 +148,35 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return per row ``doc_id, text, edited, fingerprint, edited_fingerprint, near_edited, near_next``.
+    """Return per row ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     The edited text has the last half of the characters replaced by as many of the next document's
-    first, in descending order of ids (see ``with_next``). Null text is empty. Rows that repeat an
-    id follow each other by text; a null id comes last. Other columns are ignored. A document that
-    is alone is its own next.
+    first, in descending order of ids (see ``with_next``). ``near_*`` are shares of common among
+    all paragraphs, 1 if there are none. A fingerprint's text lists its filled cells. Null text is
+    empty. Rows that repeat an id follow each other by text; a null id comes last. Other columns
+    are ignored. A document that is alone is its own next.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     rows = with_next(rows).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 2)))"), F.substring("next_text", F.lit(1), half)))
-    zero = F.lit(0)
-    for name in ("text", "edited", "next_text"):
-        rows = rows.withColumn(f"d_{name}", paragraph_digests(F.col(name)))
-    rows = rows.drop("next_text")
-    for name in ("text", "edited", "next_text"):
-        rows = rows.withColumn(f"s_{name}", sketch(F.col(f"d_{name}"), zero, SMALL))
-    rows = likeness(likeness(rows, "text", "edited", "near_edited"), "text", "next_text", "near_next")
-    return rows.select("doc_id", "text", "edited", as_text(F.col("s_text")).alias("fingerprint"), as_text(F.col("s_edited")).alias("edited_fingerprint"), "near_edited", "near_next")
+    held = rows.select(
+        F.monotonically_increasing_id().alias("rid"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        *[paragraph_digests(F.col(c)).alias(f"d{i}") for i, c in enumerate(("text", "edited", "next_text"))],
+    )
+    held = settle(held, "digests")  # row ids hold from here on
+    differing = compare(held)
+    cell = F.concat_ws(".", F.hex("cell"), F.hex("n"), F.hex("digest"), F.hex("checksum"))
+    texts = fingerprint_cells(held).where("which < 2").groupBy("rid").agg(*[F.array_join(F.sort_array(F.collect_list(F.when(F.col("which") == w, cell))), "-").alias(a) for w, a in ((0, "fingerprint"), (1, "edited_fingerprint"))])
+    lost = differing.groupBy("rid").agg(*[F.max(F.when(F.col("pair") == p, F.col("differing"))).alias(f"lost{p}") for p in (1, 2)])
+    sizes = held.select("rid", "doc_id", "n_chars", "edited_sha256", *[F.size(f"d{i}").alias(f"size{i}") for i in range(3)])
+    whole = sizes.join(texts, "rid", "left").join(lost, "rid", "left")
+
+    def near(p: int) -> Column:
+        both, d = F.col("size0") + F.col(f"size{p}"), F.coalesce(f"lost{p}", F.lit(0))
+        return F.when(both == 0, 1.0).otherwise((both - d) / (both + d))
+
+    return whole.select("doc_id", "n_chars", "edited_sha256", *[F.coalesce(c, F.lit("")).alias(c) for c in ("fingerprint", "edited_fingerprint")], near(1).alias("near_edited"), near(2).alias("near_next"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprint_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
