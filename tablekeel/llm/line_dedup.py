@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeel.llm.common import ascii_lower, table
+from tablekeel.llm.common import ascii_lower, settle, table
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,7 +39,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = held.agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
     else:
         shared = keyed.groupBy("k1", "k2", "id").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.min("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    dropped = keyed.join(shared.select("k1", "k2", "keeper"), ["k1", "k2"]).where(F.col("id") != F.col("keeper"))
+    shared = settle(shared.select("k1", "k2", "keeper"), "shared-lines")  # so that the join has shuffles of its own, and Spark may split a line that very many documents hold
+    dropped = keyed.join(shared, ["k1", "k2"]).where(F.col("id") != F.col("keeper"))
     dropped = dropped.groupBy("id", "row").agg(F.collect_set("pos").alias("dropped"))
     whole = base.join(dropped, ["id", "row"], "left").withColumn("line", F.split("text", "\n", -1))
     whole = whole.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("line") - 1), F.coalesce("dropped", F.array().cast("array<int>"))))
