@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tablekeel.core import scratch
 
+#: Rows that Python gets at once, unless the session says otherwise: ten thousand long texts would not fit.
+BATCH_ROWS = 1000
 #: Parts that one hot key's rows are split into when they are numbered.
 SALTS = 64
 
@@ -21,15 +23,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def find_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this package; on a cluster it is installed or sent with --py-files."""
+def prepare_python(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package (on a cluster it is installed or sent with --py-files), and bound their batches."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # Spark's own default
+        spark.conf.set(rows, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    find_package(spark)
+    prepare_python(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
