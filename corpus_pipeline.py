@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeel.llm.common import find_package, settle, table
+from tablekeel.llm.common import prepare_python, settle, table
 from tablekeel.llm.decontaminate import remove_leaks
 from tablekeel.llm.language_id import keep_identified, learn_from_folds
 from tablekeel.llm.line_dedup import dedup_lines
@@ -22,7 +22,7 @@ SHINGLE, DISTANCE = 2, 6
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected."""
-    find_package(spark)
+    prepare_python(spark)
     return keep_identified(docs, learn_from_folds(docs))
 
 
@@ -35,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    find_package(spark)
+    prepare_python(spark)
     return keep_one(docs, SHINGLE, DISTANCE)
 
 
@@ -47,7 +47,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 4096 tokens."""
-    find_package(spark)
+    prepare_python(spark)
     return pack_documents(docs)
 
 
