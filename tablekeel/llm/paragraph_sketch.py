@@ -115,7 +115,9 @@ def compare(held: DataFrame) -> DataFrame:
         failed = results[-1].where("differing IS NULL").select("rid", "pair")
         if attempt > 1 and failed.isEmpty():
             break
-        again = by_row(held.join(failed, "rid").select("rid", "pair", "d0", other.alias("d1")))
+        # at first most rows take part and are dealt before the join, which would merge partitions; later few, and dealing them alone is cheaper
+        again = by_row(held).join(failed, "rid") if attempt == 1 else by_row(held.join(failed, "rid"))
+        again = again.select("rid", "pair", "d0", other.alias("d1"))
         width = F.greatest(F.ceil((F.size("d0") + F.size("d1")) / 1.5), F.lit(SMALL)).cast("long") * 2 ** (attempt - 1)
         sides = again.select("rid", "pair", width.alias("width"), F.lit(attempt).alias("salt"), F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.col(d).alias("ds")) for n, d in ((1, "d0"), (-1, "d1"))])).alias("side"))
         digests = sides.select(*KEYS, "side.n", F.explode("side.ds").alias("digest"))
