@@ -136,7 +136,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str =
     Rows without an id stay only where their component has no id at all.
     """
     found = near_duplicates(docs, shingle, distance, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = found.groupBy("component").agg(F.min("doc_id").alias("_id"), F.min("row").alias("_row")).select("_id", "_row").distinct()
+    return stay_in(docs, found.groupBy("component").agg(F.min("doc_id").alias("_id"), F.min("row").alias("_row")).select("_id", "_row").distinct(), id_col, text_col)
+
+
+def stay_in(docs: DataFrame, stay: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose id and hash of the text are in ``stay`` (_id, _row), one of each."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_row"), F.struct("*").alias("_all"))
     return rows.join(stay, rows["_id"].eqNullSafe(stay["_id"]) & (rows["_row"] == stay["_row"]), "left_semi").dropDuplicates(["_id", "_row"]).select("_all.*")
 
