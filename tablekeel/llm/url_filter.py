@@ -34,10 +34,9 @@ def apply_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of a short text's characters, in bits."""
-    chars = F.split(text, "")
-    n = F.size(chars).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    """Shannon entropy of a text's characters, in bits."""
+    n = F.length(text).cast("double")
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.when(F.length(text) == 0, 0.0).otherwise(-F.aggregate(counts, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
 
 
@@ -49,11 +48,11 @@ def lexical(urls: DataFrame) -> DataFrame:
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     n = F.greatest(F.length(url), F.lit(1))
     return (
-        urls.withColumn("chars", F.least(F.length(url), F.lit(200)).cast("double"))
+        urls.withColumn("chars", F.length(url).cast("double"))
         .withColumn("depth", F.size(F.filter(F.split(path, "/"), lambda x: x != "")).cast("double"))
         .withColumn("digit_ratio", F.round(F.regexp_count(url, F.lit("[0-9]")) / n, 2))
         .withColumn("host_entropy", F.round(entropy(host), 1))
-        .withColumn("path_entropy", F.round(entropy(F.substring(path, 1, 200)), 1))
+        .withColumn("path_entropy", F.round(entropy(path), 1))
         .withColumn("params", F.when(url.contains("?"), F.regexp_count(url, F.lit("[?&][^=&#]+="))).otherwise(0).cast("double"))
         .withColumn("labels", F.size(F.split(host, r"\.")).cast("double"))
         .withColumn("dashes", F.regexp_count(host, F.lit("-")).cast("double"))
@@ -61,8 +60,7 @@ def lexical(urls: DataFrame) -> DataFrame:
         .withColumn("extension", path.rlike(r"\.[A-Za-z0-9]{1,5}$").cast("double"))
         .withColumn("fragment", url.contains("#").cast("double"))
         .withColumn("suffix", F.substring_index(host, ".", -1))
-        .withColumn("first_segment", F.get(F.split(path, "/"), F.lit(1)))
-        .withColumn("first_segment", F.coalesce(F.when(F.length("first_segment") <= 16, F.col("first_segment")), F.lit("")))
+        .withColumn("first_segment", F.coalesce(F.get(F.split(path, "/"), F.lit(1)), F.lit("")))
     )
 
 
