@@ -23,6 +23,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)  # the shared folder may be on any file system that Spark knows
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def prepare_python(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package (on a cluster it is installed or sent with --py-files), and bound their batches."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeel.llm.common import settle
+from tablekeel.core import scratch
+from tablekeel.llm.common import discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +14,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     A node's neighbours are never gathered: each step takes the smallest one by a partial sum and
     joins it back. The number of edges does not grow, and steps end after about log² of the size.
+    A step's table is deleted once the next one is written; only the last one stays.
     """
-    edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark, written = edges.sparkSession, []
+
+    def step(df: DataFrame) -> DataFrame:
+        path = scratch(spark, "edges")
+        df.write.parquet(path)
+        for old in written:
+            discard(spark, old)
+        written[:] = [path]
+        return spark.read.schema(df.schema).parquet(path)
+
+    edges = step(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(2**31)))).first()
@@ -23,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = settle(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        edges = step(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         down = edges.join(least, "a")
-        edges = settle(down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        edges = step(down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())

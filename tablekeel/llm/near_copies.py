@@ -1,8 +1,13 @@
-"""Near copies by exact Jaccard similarity of five-word shingles; MinHash bands only find the candidates.
+"""SimHash near copies for whole corpora: several fingerprints find candidates, exact five-word Jaccard similarity decides.
 
-A text gets ``BANDS`` cells, each a hash of ``ROWS`` minima. Two texts of similarity 0.8 share none
-of them with a chance of (1 - 0.8^6)^40, 5 in a million. Every candidate pair is verified by the
-shingles of both texts before it links anything.
+A text gets ``FINGERPRINTS`` SimHash fingerprints of its two-word shingles, from as many families
+of hashes. Two texts are candidates if their segment-popcount points share a cell of a grid over
+two of five groups of segments, for at least one fingerprint, and if their Manhattan distance over
+all fingerprints is small enough (see ``simhash``). Every candidate pair is then verified by the
+five-word shingles of both texts before it links anything.
+
+Fingerprints of five-word shingles lie further apart than those of two-word shingles, since an
+edited word changes five of them; that is why the shorter ones find the candidates.
 """
 
 from __future__ import annotations
@@ -16,17 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekeel.llm.common import settle
-from tablekeel.llm.components import components
-from tablekeel.llm.simhash import stay_in
+from tablekeel.llm.simhash import embed, grids, link_components, majority, remixed, shingle_hashes, stay_in
 
 SHINGLE = 5
 #: Similarity of near copies, as a fraction: 0.8.
 LIKE, OF = 4, 5
-BANDS, ROWS = 40, 6
+#: Fingerprints of a text, words of their shingles, and the grids of each: groups of segments, and how many span a grid.
+FINGERPRINTS, WORDS, GROUPS, AGREE = 8, 2, 5, 2
+#: Bits that candidates may lie apart in the fingerprint whose cell they share, and in all fingerprints on average.
+#: A pair of similarity 0.8 lies 6 bits apart on average if single words differ, 10 if one passage does.
+WITHIN, ON_AVERAGE = 16, 14
 #: 64-bit words of a text's parities.
-WORDS = 8
-_RANDOM = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
-FLIPS, FACTORS = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+PARITIES = 8
 
 
 def shingles(text: str | None) -> set[bytes]:
@@ -40,81 +46,70 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
     return OF * both >= LIKE * (len(a) + len(b) - both)
 
 
-def sketch(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of shingles, the cells, and for each of 512 buckets whether its number of shingles is odd."""
-    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text)], np.uint64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 256):
-        np.minimum(least, ((hashes[at : at + 256, None] ^ FLIPS) * FACTORS).min(0), out=least)
-    cells = np.array([xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
-    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) % 2
-    return len(hashes), cells.view(np.int64), np.packbits(odd.astype(bool)).view(np.int64)
+def sketch(text: str | None) -> tuple[int, list[int], np.ndarray]:
+    """Number of distinct five-word shingles, the fingerprints, and for each of 512 buckets whether its number of shingles is odd."""
+    hashes = shingle_hashes(text, WORDS)
+    fps = [majority(remixed(hashes, seed)) for seed in range(FINGERPRINTS)]
+    distinct = np.unique(shingle_hashes(text, SHINGLE)) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
+    odd = np.bincount((distinct % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) % 2
+    return len(distinct), fps, np.packbits(odd.astype(bool)).view(np.int64)
+
+
+FPS = [f"f{i}" for i in range(FINGERPRINTS)]
+ODD = [f"p{i}" for i in range(PARITIES)]
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """For rows ``node, text``: ``node, n, cells, p0, p1, ...``."""
+    """For rows ``node, text``: ``node, n``, the fingerprints ``f0, f1, ...`` and the parities ``p0, p1, ...``."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n, cells, odd = zip(*map(sketch, b.text), strict=True) if len(b) else ((), (), ())
-            odd = np.array(odd, np.int64).reshape(-1, WORDS)
-            yield pd.DataFrame({"node": b.node, "n": np.array(n, np.int64), "cells": list(cells)} | {f"p{i}": odd[:, i] for i in range(WORDS)})
+            n, fps, odd = zip(*map(sketch, b.text), strict=True) if len(b) else ((), (), ())
+            fps, odd = np.array(fps, np.int64).reshape(-1, FINGERPRINTS), np.array(odd, np.int64).reshape(-1, PARITIES)
+            yield pd.DataFrame({"node": b.node, "n": np.array(n, np.int64)} | {f: fps[:, i] for i, f in enumerate(FPS)} | {p: odd[:, i] for i, p in enumerate(ODD)})
+
+    return texts.mapInPandas(work, ", ".join(f"{c} long" for c in ("node", "n", *FPS, *ODD)))
 
-    words = ", ".join(f"p{i} long" for i in range(WORDS))
-    return texts.mapInPandas(work, f"node long, n long, cells array<long>, {words}")
+
+def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that bounds on similarity and distance leave over; no near copy breaks the former."""
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *FPS, *ODD)]), side)
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in ODD), F.lit(0))  # no more than there are shingles in one text only
+    points = sum((F.bit_count(embed(F.col(f"{f}_a")).bitwiseXOR(embed(F.col(f"{f}_b")))) for f in FPS), F.lit(0))  # Manhattan distance
+    sizes = OF * F.least("n_a", "n_b") >= LIKE * F.greatest("n_a", "n_b")
+    return pairs.where(sizes & ((OF + LIKE) * apart <= (OF - LIKE) * (F.col("n_a") + F.col("n_b"))) & (points <= ON_AVERAGE * FINGERPRINTS)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose ``texts`` (node, text) are near copies."""
+    """The pairs ``a, b`` whose ``texts`` (node, text; rows may repeat) are near copies. Only texts that a pair names are read on."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             stay = [alike(shingles(x), shingles(y)) for x, y in zip(batch.text_a, batch.text_b, strict=True)]
             yield batch.loc[np.array(stay, bool), ["a", "b"]]
 
+    pairs = settle(pairs, "candidates")
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = settle(texts.join(named, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     for side in "ab":
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+        pairs = pairs.join(held.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
     return settle(pairs.select("a", "b", "text_a", "text_b").mapInPandas(work, "a long, b long"), "verified")
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
-    """``texts`` (node: a long for each distinct text, text) -> (node, component) for all nodes that have a near copy.
-
-    Each cell's members are first compared with its smallest one, which joins most of a large group
-    with few comparisons. All pairs of a cell are then looked at that this left in different
-    components; bounds that no near copy breaks keep most of them from being read.
-    """
+    """``texts`` (node: a long for each distinct text, text) -> (node, component) for all nodes that have a near copy."""
     # copies are dropped before the shuffle as well, so none is hot
     nodes = settle(sketches(texts).dropDuplicates(["node"]), "sketches")
-    spots = nodes.select("node", F.explode("cells").alias("cell"))
-    centres = spots.groupBy("cell").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = settle(spots.join(centres, "cell"), "met")
-    held = settle(texts.groupBy("node").agg(F.first("text").alias("text")).join(met.select("node").distinct(), "node", "left_semi"), "texts")
-    stars = verified(met.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), held)
-    first = settle(components(stars), "stars").select("node", F.col("component").alias("label"))
-
-    labelled = met.select("cell", "node").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled, "labelled")
-    mixed = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("cell")
-    words = [f"p{i}" for i in range(WORDS)]
-    placed = labelled.join(mixed, "cell").join(nodes.drop("cells"), "node")
-    left, right = (placed.select("cell", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", *words))) for s in "ab")
-    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))  # no more than there are shingles in one text only
-    pairs = left.join(right, "cell").where(
-        (F.col("node_a") < F.col("node_b"))
-        & (F.col("label_a") != F.col("label_b"))
-        & (OF * F.least("n_a", "n_b") >= LIKE * F.greatest("n_a", "n_b"))
-        & ((OF + LIKE) * apart <= (OF - LIKE) * (F.col("n_a") + F.col("n_b")))
-    )
-    across = verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), held)
-    return components(stars.unionByName(across))
+    return link_components(nodes, FPS, grids(GROUPS, AGREE), WITHIN, lambda pairs: verified(close(pairs, nodes), texts))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies, with all its columns: the one with the smallest id, and of rows that repeat it one.
 
-    Texts without words are near copies of each other. Rows without an id stay only where their
-    component has no id at all.
+    Texts without words are near copies of each other; null text counts as one. Rows without an id
+    stay only where their component has no id at all. Long texts are compared whole. An empty table
+    gives an empty table; columns with clashing names are carried along.
     """
     linked = settle(near_copies(docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))), "linked")
     least = docs.groupBy(F.xxhash64(text_col).alias("node")).agg(F.min(F.col(id_col).cast("long")).alias("id"))

@@ -5,15 +5,16 @@ dimensions, and the Manhattan distance of two points is never more than the Hamm
 the fingerprints. A point is held in 64 bits with each count in unary, so that the Manhattan
 distance of two points is again the number of differing bits.
 
-The dimensions are dealt into ``distance + 3`` groups. Two points within ``distance`` of each
-other agree in at least three groups, so they share a cell in at least one of the grids that
-three groups span. Points that share a cell are compared, and the fingerprints verified.
+The dimensions are dealt into ``distance + a`` groups. Two points within ``distance`` of each
+other agree in at least ``a`` groups, so they share a cell in at least one of the grids that
+``a`` groups span. Points that share a cell are compared, and the fingerprints verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb, log2
 
 import numpy as np
 import pandas as pd
@@ -28,31 +29,44 @@ SEGMENTS = 32
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Majority of the XXH64 bits of all word shingles, as a signed 64-bit integer; no words: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; a text of fewer words has one shingle, one without words none."""
     ws = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII blanks only
     if not ws:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(ws)
     if len(ws) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, ws), np.int64, len(ws))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[: len(ws) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, ws), np.int64, len(ws))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[: len(ws) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes, as a signed 64-bit integer; of no hashes: 0."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 100_000):
         ones += np.unpackbits(hashes[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def remixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same shingles, one family for each seed; seed 0 leaves them as they are."""
+    if not seed:
+        return hashes
+    h = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)  # the finishing steps of SplitMix64
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return per row ``doc_id, row`` (a hash of the text) and ``fp``."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "row": b.row, "fp": np.array([fingerprint(t, shingle) for t in b.text], np.int64)})
+            yield pd.DataFrame({"doc_id": b.doc_id, "row": b.row, "fp": np.array([majority(shingle_hashes(t, shingle)) for t in b.text], np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     return rows.mapInPandas(work, "doc_id string, row long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -68,51 +82,76 @@ def embed(fp: Column) -> Column:
     return fp.bitwiseOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
 
 
-def grid_masks(distance: int) -> list[tuple[int, list[int]]]:
-    """For each grid its number (a bit for each of its groups) and all groups' bit masks."""
-    groups = distance + 3
+#: Bits of information in a two-bit segment's count; what a pair compared costs against a row dealt to a cell; cells that are cut into blocks.
+SEGMENT_BITS, PAIR_COST, CROWD = log2(8 / 3), 0.2, 1000
+
+
+def grids(groups: int, agree: int) -> list[int]:
+    """Bit masks of the grids over ``groups`` groups of segments: one for each choice of ``agree`` of them."""
     masks = [sum(3 << (2 * s) for s in range(SEGMENTS) if s % groups == g) for g in range(groups)]
-    return [(sum(1 << g for g in c), [_signed(masks[g]) for g in range(groups)]) for c in combinations(range(groups), 3)]
+    return [_signed(sum(c)) for c in combinations(masks, agree)]
+
+
+def grids_within(distance: int, nodes: int) -> list[int]:
+    """Grids of which any two points within ``distance`` share a cell: ``distance + a`` groups, of which at least ``a`` agree.
+
+    More groups mean finer cells but more of them for a node. ``a`` is what makes the fewest rows
+    and pairs for so many nodes; every choice finds the same pairs.
+    """
+
+    def work(a: int) -> float:
+        return comb(distance + a, a) * (1 + PAIR_COST * nodes / 2 ** (SEGMENTS * SEGMENT_BITS * a / (distance + a)))
+
+    a = min(range(3, 10), key=work)
+    return grids(distance + a, a)
+
+
+def place(nodes: DataFrame, fps: list[str], masks: list[int], *keep: str) -> DataFrame:
+    """A row for each node and cell: ``cell, node, fp`` (the fingerprint of that grid), and ``keep``."""
+    at = [F.struct(F.xxhash64(F.lit(f), F.lit(i), embed(F.col(f)).bitwiseAND(F.lit(m))).alias("cell"), F.col(f).alias("fp")) for f in fps for i, m in enumerate(masks)]
+    return nodes.select("node", *keep, F.explode(F.array(*at)).alias("at")).select("at.cell", "node", "at.fp", *keep)
+
+
+def far(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
 
+def link_components(nodes: DataFrame, fps: list[str], masks: list[int], within: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``nodes`` (``node`` and fingerprints: longs) -> (node, component) for every node that has a link.
 
-def link_components(nodes: DataFrame, distance: int = 4) -> DataFrame:
-    """``nodes`` (fp: distinct longs) -> (fp, component): components of links within ``distance`` bits; nodes without a link are left out.
+    Nodes that share a cell of one of the grids ``masks`` of a fingerprint, and there lie within
+    ``within`` bits, are linked if ``verify`` leaves their pair (``a, b``) in.
 
-    Each cell first links its members to its smallest member, which joins most of a group of near
-    copies with as many links as members. Pairs are then looked for only between points that this
-    left in different components.
+    Each cell first links its members to its smallest one, which joins most of a group of near
+    copies with as many links as members. Pairs are then looked for only between nodes that this
+    left in different components. Crowded cells that hold a single component are passed over, and
+    others are paired in blocks, so no cell has to fit into a task.
     """
-    grids = grid_masks(distance)
-    masks = grids[0][1]
-    cells = [F.struct(F.lit(number).alias("grid"), F.col("point").bitwiseAND(F.lit(_signed(sum(m % 2**64 for g, m in enumerate(masks) if number >> g & 1)))).alias("cell")) for number, _ in grids]
-    placed = nodes.withColumn("point", embed(F.col("fp"))).withColumn("at", F.explode(F.array(*cells)))
-
-    def far(a: str, b: str) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-    spots = placed.select("at.grid", "at.cell", "fp")
-    centres = spots.groupBy("grid", "cell").agg(F.min("fp").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = spots.join(centres, ["grid", "cell"]).where((F.col("fp") != F.col("centre")) & (far("fp", "centre") <= distance))
-    first = settle(components(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()), "stars")
-
-    labelled = settle(nodes.join(first, nodes["fp"] == first["node"], "left").select("fp", F.coalesce("component", "fp").alias("label")), "nodes")
-    spots = labelled.withColumn("point", embed(F.col("fp"))).withColumn("at", F.explode(F.array(*cells))).select("at.grid", "at.cell", "fp", "point", "label")
-    left, right = (spots.select("grid", "cell", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "point", "label"))) for s in "ab")
-    apart = F.col("point_a").bitwiseXOR(F.col("point_b"))
-    agreeing = sum((F.when(apart.bitwiseAND(F.lit(m)) == 0, 1 << g).otherwise(0) for g, m in enumerate(masks)), F.lit(0))
-    smeared = F.col("grid").bitwiseOR(F.shiftright("grid", 1))
-    for n in (2, 4, 8):
-        smeared = smeared.bitwiseOR(F.shiftright(smeared, n))
-    pairs = left.join(right, ["grid", "cell"]).where(
-        (F.col("fp_a") < F.col("fp_b"))
-        & (F.col("label_a") != F.col("label_b"))
-        & (far("point_a", "point_b") <= distance)  # Manhattan distance of the embeddings
-        & (far("fp_a", "fp_b") <= distance)
-        & (agreeing.bitwiseAND(smeared) == F.col("grid"))  # only in the first grid where the pair meets
+    check = verify or (lambda pairs: pairs)
+    spots = place(nodes, fps, masks)
+    least = F.min(F.struct("node", "fp"))
+    centres = settle(spots.groupBy("cell").agg(least.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", F.col("c.node").alias("centre"), F.col("c.fp").alias("centre_fp"), "n"), "centres")
+    stars = spots.join(centres.drop("n"), "cell").where((F.col("node") != F.col("centre")) & (far("fp", "centre_fp") <= within))
+    first = settle(components(check(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())), "stars")
+
+    labelled = settle(nodes.select("node", *fps).join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "nodes")
+    spots = place(labelled, fps, masks, "label")
+    crowded = centres.where(F.col("n") > CROWD).select("cell", "n")
+    mixed = spots.join(crowded, "cell").groupBy("cell").agg(F.max("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = settle(mixed.where("low < high").select("cell", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks")), "mixed")
+
+    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = (df.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in ("node", "fp", "label"))) for s, df in (("a", left), ("b", right)))
+        met = a.join(b, keys).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
+        points = F.bit_count(embed(F.col("fp_a")).bitwiseXOR(embed(F.col("fp_b"))))  # the Manhattan distance of the embeddings bounds that of the fingerprints
+        return met.where((points <= within) & (far("fp_a", "fp_b") <= within)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    loose = spots.join(crowded.drop("n"), "cell", "left_anti")
+    dense = spots.join(mixed, "cell")
+    pairs = meet(loose, loose, ["cell"]).unionByName(
+        meet(dense.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), dense.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), ["cell", "block"])
     )
-    second = components(pairs.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-    whole = labelled.join(second, labelled["label"] == second["node"], "left").select("fp", F.coalesce("component", "label").alias("component"))
-    return whole.where(F.col("component") != F.col("fp"))
+    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(pairs.distinct())))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,8 +163,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     """
     rows = settle(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = settle(link_components(nodes.select("fp"), distance), "linked")
-    named = nodes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    linked = link_components(nodes.select("fp", F.col("fp").alias("node")), ["fp"], grids_within(distance, nodes.count()), distance)
+    named = nodes.join(settle(linked.withColumnRenamed("node", "fp"), "linked"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "row", "fp", "component", "component_id")
 

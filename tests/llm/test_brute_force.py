@@ -74,14 +74,15 @@ def test_simhash(run, texts):
 
 
 def test_wider_links_are_found_as_well(spark):
-    from tablekeel.llm.simhash import link_components
+    from tablekeel.llm.simhash import grids_within, link_components
 
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63 - 1, 60)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(1, 9), replace=False)) for b in base for _ in range(4)]
     fps = sorted({*map(int, base), *near})
     for distance in (4, 6):
-        got = {r["fp"]: r["component"] for r in link_components(spark.createDataFrame([(f,) for f in fps], "fp long"), distance).collect()}
+        nodes = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
+        got = {r["node"]: r["component"] for r in link_components(nodes, ["fp"], grids_within(distance, len(fps)), distance).collect()}
         least = {f: f for f in fps}
         for _ in range(12):
             for a in fps:
