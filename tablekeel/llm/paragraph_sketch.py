@@ -7,32 +7,37 @@ gives one, which is taken out of its other cells, and so on.
 
 A fingerprint is a small sketch. Pairs of versions whose difference it can't give are tried again
 with larger sketches and other hash functions. A cell is a row, and filling, subtracting and
-peeling are sums and XORs by document and cell. Rows are dealt by document once, so all of that
+peeling are sums and XORs by document and cell. Documents are dealt into ranges of ids once, to
+bring neighbours together; their digests are stored bucketed by range, so that all of the rest
 happens where they are, without another shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablekeel.core import scratch
 from tablekeel.llm.common import settle, table
 
-#: A paragraph is a line; a line goes on as a new paragraph after the first sentence end beyond so many characters.
+#: A paragraph is a sentence of a line; where no sentence ends for so many characters, it ends at the next blank, or after as many again.
 LONG = 200
 #: Cells in each of the three tables of a fingerprint.
 SMALL = 8
-#: Rounds of peeling for a fingerprint and for a larger sketch: each goes over the three tables once.
-FEW, MANY = 2, 6
-TRIES = 4
+#: Rounds of peeling: each goes over the three tables once. Sizes of sketches that are tried, the fingerprint's not counted.
+ROUNDS, TRIES = 6, 4
+#: Ranges of ids for each bucket of the stored digests.
+RANGES = 8
 
 
 def paragraph_digests(text: Column) -> Column:
     """Distinct 64-bit digests of the paragraphs of a text; an empty text has none."""
+    cut = F.regexp_replace(text, "([.!?]+(?= )|[。！？]) ?", "$1\n")
     # anchored at line starts and former ends, so that it goes over a text once
-    cut = F.regexp_replace(text, rf"(?md)(?:^|\G)([^\n]{{{LONG}}}[^\n]*?[.!?]) ", "$1\n")
+    cut = F.regexp_replace(cut, rf"(?md)(?:^|\G)[^\n]{{{LONG}}}[^\n ]{{0,{LONG}}}", "$0\n")
     kept = F.filter(F.split(cut, "\n"), lambda x: F.length(x) > 0)
     return F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x)))
 
@@ -45,7 +50,8 @@ def _cell(digest: Column, table_no: int, salt: Column, width: Column) -> Column:
     return (F.pmod(F.xxhash64(digest, salt, F.lit(table_no)), width) + width * table_no).cast("int")
 
 
-KEYS = ["rid", "pair", "width", "salt"]
+ROW = ["range", "rid"]
+KEYS = [*ROW, "pair", "width", "salt"]
 CELL = ["n", "digest", "checksum"]
 
 
@@ -78,75 +84,107 @@ def peel(cells: DataFrame, rounds: int) -> DataFrame:
 
 
 def outcome(peeled: DataFrame) -> DataFrame:
-    """Rows ``rid, pair, differing``: null where cells were left over. Pairs without a difference have no row."""
-    by = peeled.groupBy("rid", "pair").agg(F.max("cell").alias("last"), F.sum(F.when(F.col("cell") < 0, F.col("n"))).alias("n"))
-    return by.select("rid", "pair", F.when(F.col("last") < 0, F.col("n")).alias("differing"))
+    """Rows ``range, rid, pair, differing``: null where cells of all sketches of the pair were left over. Pairs without a difference have no row."""
+    by = peeled.groupBy(*ROW, "pair", "salt").agg(F.max("cell").alias("last"), F.sum(F.when(F.col("cell") < 0, F.col("n"))).alias("n"))
+    return by.groupBy(*ROW, "pair").agg(F.max(F.when(F.col("last") < 0, F.col("n"))).alias("differing"))
 
 
-def _digest_rows(held: DataFrame, *keys: str) -> DataFrame:
-    """Rows ``*keys, which (0, 1, 2), digest`` of the digest arrays ``d0, d1, d2``."""
-    return held.select("rid", *keys, F.posexplode(F.array("d0", "d1", "d2")).alias("which", "ds")).select("rid", *keys, "which", F.explode("ds").alias("digest"))
+def _sides(pair: int, width: Column, salt: int) -> list[Column]:
+    """Both versions of a pair, to be filled into one sketch: the second with opposite signs, which subtracts its cells."""
+    named = {"pair": F.lit(pair), "width": width.cast("long"), "salt": F.lit(salt)}
+    return [F.struct(*[c.alias(k) for k, c in named.items()], F.lit(n).cast("long").alias("n"), F.col(d).alias("ds")) for n, d in ((1, "d0"), (-1, f"d{pair}"))]
 
 
-def by_row(held: DataFrame) -> DataFrame:
-    """Rows dealt by ``rid``. The number of partitions is fixed: a row grows to many cells, which Spark can't foresee when it merges partitions."""
-    return held.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
+def _room(pair: int, attempt: int) -> Column:
+    """Cells of a table with room for all digests of both versions, twice as many with each further try."""
+    return F.greatest(F.ceil((F.size("d0") + F.size(f"d{pair}")) / 1.5), F.lit(SMALL)) * 2 ** (attempt - 1)
 
 
-def fingerprint_cells(held: DataFrame) -> DataFrame:
-    """Cells of the fingerprints of ``d0, d1, d2``: rows ``rid, which, cell, n, digest, checksum``."""
-    digests = _digest_rows(by_row(held.select("rid", "d0", "d1", "d2")))
-    return fill(digests.withColumns({"n": F.lit(1).cast("long"), "width": F.lit(SMALL).cast("long"), "salt": F.lit(0)}), "rid", "which")
+def _try(rows: DataFrame, sides: Column) -> DataFrame:
+    digests = rows.select(*ROW, F.explode(sides).alias("side")).select(*ROW, "side.*")
+    return outcome(peel(fill(digests.select(*KEYS, "n", F.explode("ds").alias("digest")), *KEYS), ROUNDS))
 
 
 def compare(held: DataFrame) -> DataFrame:
-    """For rows ``rid, d0, d1, d2``: ``rid, pair, differing`` digests of (0, 1) and (0, 2).
+    """For rows ``range, rid, d0, d1, d2``: ``range, rid, pair, differing`` digests of (0, 1) and (0, 2).
 
-    The fingerprints are tried first. What they can't give goes into sketches with room for all
-    digests of both, twice as large with each further try; a set difference settles what is left
-    after ``TRIES``.
+    The fingerprints and the first larger sketches are filled in one pass; the larger one counts
+    where the fingerprint can't be peeled. What fails again is tried with sketches twice as large,
+    and a set difference settles what is left after ``TRIES``.
     """
-    held = held.select("rid", "d0", "d1", "d2")
-    by_pair = F.when(F.col("which") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array("which"))
-    signed = fingerprint_cells(held).select("rid", F.explode(by_pair).alias("pair"), F.lit(SMALL).cast("long").alias("width"), F.lit(0).alias("salt"), "cell", F.when(F.col("which") == 0, F.col("n")).otherwise(-F.col("n")).alias("n"), "digest", "checksum")
-    results = [settle(outcome(peel(_sum_up(signed, *KEYS), FEW)), "peeled")]
-    other = F.when(F.col("pair") == 1, F.col("d1")).otherwise(F.col("d2"))
-    for attempt in range(1, TRIES + 1):
-        failed = results[-1].where("differing IS NULL").select("rid", "pair")
-        if attempt > 1 and failed.isEmpty():
+    held = held.select(*ROW, "d0", "d1", "d2")
+    both = [x for p in (1, 2) for w, salt in ((F.lit(SMALL), 0), (_room(p, 1), 1)) for x in _sides(p, w, salt)]
+    results = [settle(_try(held, F.array(*both)), "peeled")]
+    for attempt in range(2, TRIES + 1):
+        failed = results[-1].where("differing IS NULL").select(*ROW, "pair")
+        if failed.isEmpty():
             break
-        # at first most rows take part and are dealt before the join, which would merge partitions; later few, and dealing them alone is cheaper
-        again = by_row(held).join(failed, "rid") if attempt == 1 else by_row(held.join(failed, "rid"))
-        again = again.select("rid", "pair", "d0", other.alias("d1"))
-        width = F.greatest(F.ceil((F.size("d0") + F.size("d1")) / 1.5), F.lit(SMALL)).cast("long") * 2 ** (attempt - 1)
-        sides = again.select("rid", "pair", width.alias("width"), F.lit(attempt).alias("salt"), F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.col(d).alias("ds")) for n, d in ((1, "d0"), (-1, "d1"))])).alias("side"))
-        digests = sides.select(*KEYS, "side.n", F.explode("side.ds").alias("digest"))
-        results.append(settle(outcome(peel(fill(digests, *KEYS), MANY)), "peeled"))
-    last = held.join(results[-1].where("differing IS NULL").select("rid", "pair"), "rid")
-    exact = last.select("rid", "pair", (F.size(F.array_except("d0", other)) + F.size(F.array_except(other, F.col("d0")))).cast("long").alias("differing"))
+        again = held.join(failed, ROW)
+        results.append(settle(_try(again, F.when(F.col("pair") == 1, F.array(*_sides(1, _room(1, attempt), attempt))).otherwise(F.array(*_sides(2, _room(2, attempt), attempt)))), "peeled"))
+    last = held.join(results[-1].where("differing IS NULL").select(*ROW, "pair"), ROW)
+    other = F.when(F.col("pair") == 1, F.col("d1")).otherwise(F.col("d2"))
+    exact = last.select(*ROW, "pair", (F.size(F.array_except("d0", other)) + F.size(F.array_except(other, F.col("d0")))).cast("long").alias("differing"))
     return reduce(DataFrame.unionByName, [r.where("differing IS NOT NULL") for r in results], exact)
 
 
+def fingerprint(digests: Column) -> Column:
+    """The filled cells of a text's small sketch as text, in order: number, count, XOR of digests, XOR of checksums."""
+    named = F.transform(digests, lambda d: F.struct(d.alias("digest"), _checksum(d).alias("checksum"), *[_cell(d, i, F.lit(0), F.lit(SMALL).cast("long")).alias(f"c{i}") for i in range(3)]))
+
+    def cell(all_: Column, c: int) -> Column:
+        inside = F.filter(all_, lambda d: d[f"c{c // SMALL}"] == c)
+        xor = F.aggregate(inside, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).alias("k")), lambda x, d: F.struct((x["n"] + 1).alias("n"), x["d"].bitwiseXOR(d["digest"]).alias("d"), x["k"].bitwiseXOR(d["checksum"]).alias("k")))
+        return F.transform(F.array(xor), lambda x: F.when(x["n"] > 0, F.concat_ws(".", F.hex(F.lit(c)), F.hex(x["n"]), F.hex(x["d"]), F.hex(x["k"]))))[0]
+
+    return F.transform(F.array(named), lambda all_: F.array_join(F.array(*[cell(all_, c) for c in range(3 * SMALL)]), "-"))[0]  # named once
+
+
+def partitions_of(spark: SparkSession) -> int:
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Add ``next_text`` to rows of ``id, text``: the text of the row with the next smaller id; after the last, the first's.
+    """Add ``next_text`` to rows of ``id, text``, the text of the row with the next smaller id (after the last, the first's), and ``range, rid``, which name a row.
 
     Rows are dealt into ranges of ids whose bounds are quantiles, so one shuffle brings neighbours
-    together and no task sees all rows. The last row of a range takes the first text of the next
-    range that has rows; there is one such text a range.
+    together and no task sees all rows. Rows that share an id follow each other by a hash of the
+    text; where they fill several ranges, that hash deals them. The last row of a range takes the
+    first text of the next range that has rows; there is one such text a range.
     """
-    spark = docs.sparkSession
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(docs.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
-    # range 0 holds the largest ids
-    ranged = docs.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("id"))) if cuts else F.lit(0))
-    order = [F.desc("id"), F.asc("text")]
+    parts = parts or RANGES * partitions_of(docs.sparkSession)
+    cuts = sorted(docs.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or [], reverse=True)
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    # range 0 holds the largest ids. A bound is looked for among every ``step``-th one, then between two of these
+    step = max(1, int(len(cuts) ** 0.5))
+
+    def beyond(test) -> Column:  # noqa: ANN001
+        coarse = F.size(F.filter(F.array(*map(F.lit, cuts[::step])), test))
+        return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(F.slice(F.array(*map(F.lit, cuts)), F.greatest(coarse - 1, F.lit(0)) * step + 1, step), test)))
+
+    if cuts:
+        above, upto = beyond(lambda c: c > F.col("id")), beyond(lambda c: c >= F.col("id"))
+        share = F.col("hash").cast("double") / 2.0**64 + 0.5
+        number = above + F.least(F.floor((upto - above + 1) * share), upto - above).cast("int")
+    else:
+        number = F.lit(0)
+    ranged = docs.withColumn("range", number)
+    order = [F.desc("id"), F.asc("hash"), F.asc("text")]
+    tops = ranged.groupBy("range").agg(F.min(F.struct(F.bitwise_not("id").alias("below"), "hash")).alias("top")).select("range", F.bitwise_not("top.below").alias("id"), F.col("top.hash").alias("hash"))
+    tops = settle(tops, "tops")  # a row a range
+    following = tops.select("range", F.lead("range").over(Window.orderBy("range")).alias("after"))
+    following = following.withColumn("after", F.coalesce("after", F.lit(tops.agg(F.min("range")).first()[0])))
+    heads = ranged.join(tops, ["range", "id", "hash"]).groupBy("range").agg(F.min("text").alias("head"))
+    following = settle(following.join(heads.withColumnRenamed("range", "after"), "after").select("range", "head"), "heads")
     along = Window.partitionBy("range").orderBy(*order)
-    tops = ranged.groupBy("range").agg(F.max("id").alias("top")).withColumn("last", F.lead("range").over(Window.orderBy("range")))  # a row a range
-    first = tops.agg(F.min("range")).first()[0]
-    heads = ranged.join(tops.select("range", F.col("top").alias("id")), ["range", "id"]).groupBy("range").agg(F.min("text").alias("head"))
-    following = tops.select("range", F.coalesce("last", F.lit(first)).alias("after")).join(heads.withColumnRenamed("range", "after"), "after").select("range", "head")
-    led = ranged.withColumn("next", F.lead("text").over(along))
-    return led.join(following, "range", "left").withColumn("next_text", F.coalesce("next", "head")).drop("range", "next", "head")
+    led = ranged.withColumn("next", F.lead("text").over(along)).withColumn("rid", F.row_number().over(along))
+    return led.join(following, "range", "left").withColumn("next_text", F.coalesce("next", "head")).drop("next", "head", "hash")
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written into the shared folder in buckets of ``key``: what groups or joins by it needs no shuffle. The table is an external one of the session's catalogue."""
+    spark, name = df.sparkSession, f"tablekeel_{uuid.uuid4().hex}"
+    df.write.bucketBy(partitions_of(spark), key).option("path", scratch(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,29 +193,27 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text has the last half of the characters replaced by as many of the next document's
     first, in descending order of ids (see ``with_next``). ``near_*`` are shares of common among
     all paragraphs, 1 if there are none. A fingerprint's text lists its filled cells. Null text is
-    empty. Rows that repeat an id follow each other by text; a null id comes last. Other columns
-    are ignored. A document that is alone is its own next.
+    empty. Rows that repeat an id follow each other by a hash of the text; a null id comes last.
+    Other columns are ignored. A document that is alone is its own next. An empty table gives an
+    empty table.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     rows = with_next(rows).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 2)))"), F.substring("next_text", F.lit(1), half)))
     held = rows.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        *ROW, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         *[paragraph_digests(F.col(c)).alias(f"d{i}") for i, c in enumerate(("text", "edited", "next_text"))],
     )
-    held = settle(held, "digests")  # row ids hold from here on
+    held = bucketed(held, "range")
     differing = compare(held)
-    cell = F.concat_ws(".", F.hex("cell"), F.hex("n"), F.hex("digest"), F.hex("checksum"))
-    texts = fingerprint_cells(held).where("which < 2").groupBy("rid").agg(*[F.array_join(F.sort_array(F.collect_list(F.when(F.col("which") == w, cell))), "-").alias(a) for w, a in ((0, "fingerprint"), (1, "edited_fingerprint"))])
-    lost = differing.groupBy("rid").agg(*[F.max(F.when(F.col("pair") == p, F.col("differing"))).alias(f"lost{p}") for p in (1, 2)])
-    sizes = held.select("rid", "doc_id", "n_chars", "edited_sha256", *[F.size(f"d{i}").alias(f"size{i}") for i in range(3)])
-    whole = sizes.join(texts, "rid", "left").join(lost, "rid", "left")
+    lost = differing.groupBy(*ROW).agg(*[F.max(F.when(F.col("pair") == p, F.col("differing"))).alias(f"lost{p}") for p in (1, 2)])
+    whole = held.select(*ROW, "doc_id", "n_chars", "edited_sha256", "d0", "d1", *[F.size(f"d{i}").alias(f"size{i}") for i in range(3)]).join(lost, ROW, "left")
 
     def near(p: int) -> Column:
         both, d = F.col("size0") + F.col(f"size{p}"), F.coalesce(f"lost{p}", F.lit(0))
         return F.when(both == 0, 1.0).otherwise((both - d) / (both + d))
 
-    return whole.select("doc_id", "n_chars", "edited_sha256", *[F.coalesce(c, F.lit("")).alias(c) for c in ("fingerprint", "edited_fingerprint")], near(1).alias("near_edited"), near(2).alias("near_next"))
+    return whole.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("d0")).alias("fingerprint"), fingerprint(F.col("d1")).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
