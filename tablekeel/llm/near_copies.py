@@ -4,7 +4,8 @@ A text gets ``FINGERPRINTS`` SimHash fingerprints of its two-word shingles, from
 of hashes. Two texts are candidates if their segment-popcount points share a cell of a grid over
 two of five groups of segments, for at least one fingerprint, and if their Manhattan distance over
 all fingerprints is small enough (see ``simhash``). Every candidate pair is then verified by the
-five-word shingles of both texts before it links anything.
+five-word shingles of both whole texts before it links anything. Shingles are told apart by 64
+hashed bits.
 
 Fingerprints of five-word shingles lie further apart than those of two-word shingles, since an
 edited word changes five of them; that is why the shorter ones find the candidates.
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeel.llm.common import settle
-from tablekeel.llm.simhash import embed, grids, link_components, majority, remixed, shingle_hashes, stay_in
+from tablekeel.llm.common import ascii_lower, settle
+from tablekeel.llm.simhash import embed, grids, link_components, majority, stay_in
 
 SHINGLE = 5
 #: Similarity of near copies, as a fraction: 0.8.
@@ -33,24 +34,26 @@ FINGERPRINTS, WORDS, GROUPS, AGREE = 8, 2, 5, 2
 WITHIN, ON_AVERAGE = 16, 14
 #: 64-bit words of a text's parities.
 PARITIES = 8
+#: Odd factors: one for each place in a shingle, and one for each fingerprint's family of hashes.
+PLACES, FAMILIES = (np.random.default_rng(n).integers(0, 2**64, k, np.uint64) | np.uint64(1) for n, k in ((1, SHINGLE), (2, FINGERPRINTS)))
 
 
-def shingles(text: str | None) -> set[bytes]:
-    """Shingles of lower-cased words; a text of fewer words is one shingle, and one without words the empty one."""
-    ws = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII blanks only
-    return {b" ".join(ws[i : i + SHINGLE]) for i in range(max(1, len(ws) - SHINGLE + 1))}
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    return hashes ^ (hashes >> np.uint64(32))
 
 
-def alike(a: set[bytes], b: set[bytes]) -> bool:
-    both = len(a & b)
-    return OF * both >= LIKE * (len(a) + len(b) - both)
+def shingled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all shingles of ``size`` words from the words' hashes; fewer words make one shingle, none make the empty one."""
+    n = max(1, len(words) - size + 1)
+    return mixed(sum((words[i : i + n] * PLACES[i] for i in range(min(size, len(words)))), np.zeros(n, np.uint64)))
 
 
-def sketch(text: str | None) -> tuple[int, list[int], np.ndarray]:
+def sketch(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of distinct five-word shingles, the fingerprints, and for each of 512 buckets whether its number of shingles is odd."""
-    hashes = shingle_hashes(text, WORDS)
-    fps = [majority(remixed(hashes, seed)) for seed in range(FINGERPRINTS)]
-    distinct = np.unique(shingle_hashes(text, SHINGLE)) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
+    ws = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII blanks only
+    words = np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+    fps = majority(mixed(shingled(words, WORDS) * FAMILIES[:, None]))
+    distinct = np.unique(shingled(words, SHINGLE))
     odd = np.bincount((distinct % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) % 2
     return len(distinct), fps, np.packbits(odd.astype(bool)).view(np.int64)
 
@@ -81,20 +84,23 @@ def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.where(sizes & ((OF + LIKE) * apart <= (OF - LIKE) * (F.col("n_a") + F.col("n_b"))) & (points <= ON_AVERAGE * FINGERPRINTS)).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose ``texts`` (node, text; rows may repeat) are near copies. Only texts that a pair names are read on."""
+def shingle_set(text: Column) -> Column:
+    """Distinct 64-bit hashes of the five-word shingles of a whole text; a text of fewer words is one shingle, and one without words the empty one."""
+    words = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    made = F.transform(F.array(words), lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(ws, i, SHINGLE))))
+    return F.array_distinct(made[0])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            stay = [alike(shingles(x), shingles(y)) for x, y in zip(batch.text_a, batch.text_b, strict=True)]
-            yield batch.loc[np.array(stay, bool), ["a", "b"]]
 
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose ``texts`` (node, text; rows may repeat) are near copies. Only texts that a pair names are looked at."""
     pairs = settle(pairs, "candidates")
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = settle(texts.join(named, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    held = texts.join(named, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    held = settle(held.select("node", shingle_set(F.col("text")).alias("held")), "shingles")
     for side in "ab":
-        pairs = pairs.join(held.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return settle(pairs.select("a", "b", "text_a", "text_b").mapInPandas(work, "a long, b long"), "verified")
+        pairs = pairs.join(held.select(F.col("node").alias(side), F.col("held").alias(f"held_{side}")), side)
+    both = F.size(F.array_intersect("held_a", "held_b"))
+    return settle(pairs.where(OF * both >= LIKE * (F.size("held_a") + F.size("held_b") - both)).select("a", "b"), "verified")
 
 
 def near_copies(texts: DataFrame) -> DataFrame:

@@ -43,22 +43,16 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[: len(ws) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits set in more than half of the hashes, as a signed 64-bit integer; of no hashes: 0."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 100_000):
-        ones += np.unpackbits(hashes[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
-
-
-def remixed(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """Other hashes of the same shingles, one family for each seed; seed 0 leaves them as they are."""
-    if not seed:
-        return hashes
-    h = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)  # the finishing steps of SplitMix64
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each row of ``hashes`` (unsigned, 64 bits) the bits set in more than half of them, as a signed integer; of none: 0."""
+    rows, n = hashes.shape
+    ones = np.zeros((rows, 8, 8), np.int64)
+    for at in range(0, n, 255):  # every eighth bit, added up in the bytes of a word
+        part = hashes[:, at : at + 255]
+        for k in range(8):
+            ones[:, k] += np.add.reduce((part >> np.uint64(k)) & np.uint64(0x0101010101010101), axis=1).astype("<u8").view(np.uint8).reshape(rows, 8)
+    bits = 2 * ones.transpose(0, 2, 1).reshape(rows, 64) > n
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(rows).astype(np.int64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "row": b.row, "fp": np.array([majority(shingle_hashes(t, shingle)) for t in b.text], np.int64)})
+            yield pd.DataFrame({"doc_id": b.doc_id, "row": b.row, "fp": np.array([majority(shingle_hashes(t, shingle)[None])[0] for t in b.text], np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     return rows.mapInPandas(work, "doc_id string, row long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
