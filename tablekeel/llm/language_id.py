@@ -1,15 +1,16 @@
 """Language ID by compression: the language whose zstandard dictionary shortens a text most.
 
 For every language a raw-content dictionary is made of slices of a bounded sample of labelled
-texts. A text's letters are encoded in blocks with each dictionary; the smallest total wins, and a
-narrow margin to the second is rejected.
+texts. A whole text's letters are encoded in blocks with each dictionary; the smallest total wins.
+A narrow margin to the second is rejected, and so is a text that its own language's dictionary
+shortens much less than labelled texts of that language.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -30,11 +31,22 @@ def letters(text: str | None) -> bytes:
 
 @dataclass
 class Dictionaries:
-    """``contents``: language -> dictionary, the most frequent language first: it wins ties."""
+    """``contents``: language -> dictionary, the most frequent language first: it wins ties.
+
+    ``usual``: language -> encoded bytes a byte of its labelled texts. A text of n bytes of letters
+    is rejected if its margin is below ``min_margin * (n - spare_margin)`` bytes, or its encoded
+    size above ``unlike * usual * n + spare`` bytes: one rule for all lengths, which leaves the
+    shortest texts, that can't show either, with the most frequent language.
+    """
 
     contents: dict[str, bytes]
+    usual: dict[str, float] = field(default_factory=dict)
     level: int = 6
     block: int = 1000
+    min_margin: float = 0.0005
+    spare_margin: int = 100
+    unlike: float = 1.3
+    spare: int = 20
 
     @cached_property
     def encoders(self) -> list[zstandard.ZstdCompressor]:
@@ -49,69 +61,81 @@ class Dictionaries:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "encoders"}
 
-    def best(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score from 0 to 1, and the margin to the second in bytes per byte of letters."""
+    def sizes(self, said: bytes) -> np.ndarray:
+        """Encoded bytes with each dictionary, without what a block of nothing takes."""
+        blocks = [said[a : a + self.block] for a in range(0, len(said), self.block)]
+        return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.encoders], float) - len(blocks) * len(self.encoders[0].compress(b""))
+
+    def best(self, text: str | None) -> tuple[str, float, float, bool]:
+        """Language, score from 0 to 1, the margin to the second in bytes per byte of letters, and whether the text is rejected."""
         said = letters(text)
         if not said or not self.contents:
-            return UNKNOWN, 0.0, 0.0
-        blocks = [said[a : a + self.block] for a in range(0, len(said), self.block)]
-        sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in self.encoders], float)
+            return UNKNOWN, 0.0, 0.0, True
+        sizes = self.sizes(said)
         k = int(sizes.argmin())
+        lang = list(self.contents)[k]
         rest = np.delete(sizes, k) - sizes[k]
         score = 1 / (1 + float(np.exp(-np.minimum(rest, 500) / 4).sum()))
-        return list(self.contents)[k], score, float(rest.min()) / len(said) if len(rest) else 1.0
+        margin = float(rest.min()) if len(rest) else float(len(said))
+        narrow = margin < self.min_margin * (len(said) - self.spare_margin)
+        unlike = float(sizes[k]) > self.unlike * self.usual.get(lang, 1.0) * len(said) + self.spare
+        return lang, score, margin / len(said), narrow or unlike
 
 
-def learn(labelled: DataFrame, sample: int = 600, chars: int = 500, size: int = 200_000) -> Dictionaries:
+def learn(labelled: DataFrame, sample: int = 400, chars: int = 500) -> Dictionaries:
     """Dictionaries from rows of ``doc_id, text, lang``.
 
-    For each language, ``sample`` texts with the lowest hash of their id give their first ``chars``
-    characters, and at most ``size`` bytes of that are kept: the driver holds no more than about
-    twice ``sample`` slices a language. Rows without a language or without letters are passed over.
+    For each language, about ``2 * sample`` rows with the lowest hashes of id and text give a slice
+    of ``chars`` characters each, from any place of the whole text; rows that repeat count once.
+    The first ``sample`` slices are the dictionary, the others show how it usually encodes texts of
+    its language. That is all the driver holds. Rows without a language or without letters are
+    passed over; an empty table gives no dictionary.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31)))
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31))
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", hashed)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Dictionaries({})
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, 2 * sample / n) * 2**31))]), F.col("lang"))
+    at = F.pmod(F.xxhash64(F.lit("slice"), "_h"), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
     found = defaultdict(list)
-    for r in rows.where(F.col("_h") < share).select("lang", "_h", F.substring("text", 1, chars).alias("part")).collect():
-        found[r["lang"]].append((r["_h"], r["part"]))
-    contents = {}
-    for lang in sorted(counts, key=lambda k: (-counts[k], k)):
-        content = b" ".join(filter(None, (letters(p) for _, p in sorted(found[lang])[:sample])))[:size]
-        if content:
-            contents[lang] = content
-    return Dictionaries(contents)
-
-
-def language_of(text: Column, known: Dictionaries, min_margin: float = 0.0005, min_chars: int = 100) -> Column:
+    for r in rows.where(F.col("_h") < share).select("lang", "_h", F.substring(F.col("text"), at, F.lit(chars)).alias("part")).dropDuplicates(["lang", "_h"]).collect():
+        if said := letters(r["part"]):
+            found[r["lang"]].append((r["_h"], said))
+    kept = {lang: [said for _, said in sorted(found[lang])] for lang in sorted(counts, key=lambda k: (-counts[k], k)) if found[lang]}
+    known = Dictionaries({lang: b" ".join(parts[:sample]) for lang, parts in kept.items()})
+    for k, (lang, parts) in enumerate(kept.items()):
+        if len(parts) > sample:
+            known.usual[lang] = float(np.median([known.sizes(said)[k] / len(said) for said in parts[sample:]]))
+    return known
+
+
+def language_of(text: Column, known: Dictionaries) -> Column:
     """A struct of ``lang_pred, score, margin, rejected`` for whole texts.
 
-    ``lang_pred`` is ``und`` for null texts and texts without a letter. These are rejected, and so
-    are texts of ``min_chars`` characters or more whose margin is below ``min_margin``; shorter
-    ones can't show a wide margin and stay. Ties go to the language with more labelled texts.
+    ``lang_pred`` is ``und`` for null texts and texts without a letter, which are rejected. Ties go
+    to the language with more labelled texts.
     """
-    sent = SparkSession.active().sparkContext.broadcast(known)  # bounded: at most ``size`` bytes a language
+    sent = SparkSession.active().sparkContext.broadcast(known)  # bounded by the sample that ``learn`` takes
 
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            lang, score, margin = sent.value.best(t)
-            out.append((lang, score, margin, lang == UNKNOWN or (margin < min_margin and len(t) >= min_chars)))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "margin", "rejected"])
+        return pd.DataFrame([sent.value.best(t) for t in texts], columns=["lang_pred", "score", "margin", "rejected"])
 
     return judge(text)
 
 
 def identify(docs: DataFrame, known: Dictionaries, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return per row ``doc_id, lang_pred, score, margin, rejected``. Rows that repeat an id are judged each by itself; other columns are ignored."""
+    """Return per row ``doc_id, lang_pred, score, margin, rejected``. Rows that repeat an id are judged each by itself; other columns are ignored. An empty table gives an empty table."""
     return docs.select(F.col(id_col).alias("doc_id"), language_of(F.col(text_col), known).alias("said")).select("doc_id", "said.*")
 
 
 def keep_identified(docs: DataFrame, known: Dictionaries, text_col: str = "text") -> DataFrame:
-    """The rows whose language is not rejected, with all their columns."""
+    """The rows whose language is not rejected, with all their columns.
+
+    Null texts and texts without a letter go; rows that repeat are judged each by itself. An empty
+    table gives an empty table.
+    """
     return docs.select(F.struct("*").alias("row"), language_of(F.col(text_col), known).alias("said")).where(~F.col("said.rejected")).select("row.*")
 
 
