@@ -12,8 +12,8 @@ from tablekeel.core import scratch
 
 #: Rows that Python gets at once, unless the session says otherwise: ten thousand long texts would not fit.
 BATCH_ROWS = 1000
-#: Parts that one hot key's rows are split into when they are numbered.
-SALTS = 64
+#: Parts that one hot key's rows are split into when they are numbered: so many at least, and no larger than this.
+SALTS, SALTED_ROWS = 64, 100_000
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def salts_for(most: int) -> int:
+    """Salts for ``rank_within`` where the largest part has ``most`` rows."""
+    return max(SALTS, -(-most // SALTED_ROWS))
+
+
 def rank_within(df: DataFrame, part: str, order: list[str], ties: list[str], out: str = "rank", salts: int = SALTS) -> DataFrame:
     """Number the rows of each ``part`` from 0, ordered by ``order``, without bringing a part into one task.
 

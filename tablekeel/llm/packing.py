@@ -22,23 +22,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablekeel.llm.common import rank_within, settle, table
+from tablekeel.llm.common import rank_within, salts_for, settle, table
 
 #: Characters that neither normal form C nor a special rule of lower-casing changes, and that hold no white space but these four.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ‐-‧‰-⁞]*")
 #: The vocabulary file's own pattern for its words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Distinct words that a Python worker remembers; beyond that it starts again.
-REMEMBERED = 1_000_000
 
 
 class Words(dict):
     """Ids (little-endian unsigned 32 bits) of lower-cased texts without white space, each tokenised once."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = 300_000) -> None:
+        """``remembered``: distinct words that a Python worker keeps; beyond that it starts again."""
         super().__init__()
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole, self.remembered = Tokenizer.from_file(path), remembered
+        self.control = [t.content for t in self.whole.get_added_tokens_decoder().values()]  # these strings in a text have ids of their own
         self.model, self.parts = self.whole.model, {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
@@ -56,10 +55,10 @@ class Words(dict):
         return out
 
     def ids(self, text: str) -> bytes:
-        if len(self) + len(self.parts) > REMEMBERED:
+        if len(self) + len(self.parts) > self.remembered:
             self.clear()
             self.parts.clear()
-        if PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and not any(x in text for x in self.control):
             return b"".join(map(self.__getitem__, text.lower().split()))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -198,7 +197,7 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
             nth = rank - starts[span]
             yield b.drop(columns="rank").assign(sequence_id=first[span] + nth // each[span], offset=place[span] + nth % each[span] * length)
 
-    ranked = rank_within(pieces, "length", [], ["doc_id", "piece", "start", "ids_crc32"]).withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make a column with nulls inexact
+    ranked = rank_within(pieces, "length", [], ["doc_id", "piece", "start", "ids_crc32"], salts=salts_for(max((h[1] for h in histogram), default=0))).withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make a column with nulls inexact
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInPandas(assign, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))
 

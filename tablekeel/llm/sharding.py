@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeel.llm.common import rank_within, settle, table
+from tablekeel.llm.common import rank_within, salts_for, settle, table
 
 
 def ring(shards: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, nodes: int = 64, headroom: flo
             part = np.searchsorted(starts, rank, side="right") - 1
             yield pd.DataFrame({"doc_id": b.doc_id, "size": b["size"], "text_crc32": b.text_crc32, "shard": to[part].astype(np.int32), "slot": slots[part] + rank - starts[part]})
 
-    ranked = rank_within(placed, "arc", ["pos"], ["doc_id", "size", "text_crc32"])
+    ranked = rank_within(placed, "arc", ["pos"], ["doc_id", "size", "text_crc32"], salts=salts_for(int(counts.max(initial=0))))
     out = ranked.select("doc_id", "size", "text_crc32", "arc", "rank").mapInPandas(assign, "doc_id string, size long, text_crc32 long, shard int, slot long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
