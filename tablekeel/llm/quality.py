@@ -1,8 +1,8 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 The features approximate a Gaussian kernel. Each partition sums its part of the normal equations;
-the sums are added up row by row and solved on the driver, whose work depends on the number of
-features alone.
+the sums are added up row by row, in two levels, and solved on the driver, whose work depends on
+the number of features alone.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,11 +94,12 @@ def rising(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(p[2]), p[0]) for p in pools])
 
 
-def fit(labelled: DataFrame, features: int = 192, width: float = 4.0, ridge: float = 1e-3, seed: int = 7, bins: int = 400) -> Model | None:
+def fit(labelled: DataFrame, features: int = 192, width: float = 4.0, ridge: float = 1e-3, seed: int = 7, bins: int = 400, groups: int = 256) -> Model | None:
     """Fit on rows of ``stats, label`` (0 or 1) and ``calibrate`` (boolean): such rows calibrate, the others fit.
 
     All labelled rows count. ``width`` is that of the Gaussian kernel in standard deviations. The
-    driver gets one row a feature and one a bin of raw scores. None if no row is labelled.
+    driver gets one row a feature and one a bin of raw scores. Partial sums are added up in
+    ``groups`` groups of partitions first. None if no row is labelled.
     """
     each = [F.col("stats")[i] for i in range(len(STATS))]
     sums = labelled.agg(F.count(F.lit(1)), F.count_if(~F.col("calibrate")), F.count_if("calibrate"), *[F.avg(c) for c in each], *[F.stddev_pop(c) for c in each]).first()
@@ -112,14 +114,15 @@ def fit(labelled: DataFrame, features: int = 192, width: float = 4.0, ridge: flo
         for b in batches:
             z = model.features(matrix(b.stats))
             total += z.T @ np.hstack([z, b.label.to_numpy(float)[:, None]])
-        yield pd.DataFrame({"row": range(features + 1), "sums": list(total)})
+        yield pd.DataFrame({"row": range(features + 1), "part": TaskContext.get().partitionId() % groups, "sums": list(total)})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": rows.row[:1], "sums": [np.sum(rows.sums.tolist(), axis=0)]})
+        return pd.DataFrame({"row": rows.row[:1], "part": rows.part[:1], "sums": [np.sum(rows.sums.tolist(), axis=0)]})
 
-    to_fit = labelled.where(~F.col("calibrate")) if sums[1] else labelled
-    parts = to_fit.select("stats", "label").mapInPandas(add_up, "row int, sums array<double>")
-    equations = np.array([r["sums"] for r in sorted(parts.groupBy("row").applyInPandas(merge, "row int, sums array<double>").collect(), key=lambda r: r["row"])])
+    to_fit = (labelled.where(~F.col("calibrate")) if sums[1] else labelled).select("stats", "label")
+    shape = "row int, part int, sums array<double>"
+    parts = to_fit.mapInPandas(add_up, shape).groupBy("row", "part").applyInPandas(merge, shape)
+    equations = np.array([r["sums"] for r in sorted(parts.groupBy("row").applyInPandas(merge, shape).collect(), key=lambda r: r["row"])])
     gram, right = equations[:, :-1], equations[:, -1]
     model.weights = np.linalg.solve(gram + ridge * max(1.0, gram[-1, -1]) * np.eye(features + 1) / features, right)
 
@@ -149,7 +152,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics are taken once, from whole texts, and settled; labels of the held-out quarter are never read into the fit.
 
     Rows that repeat an id are scored each by itself and count in the fit as often as they are
-    labelled; labels without quality, and null ids, are passed over there.
+    labelled; labels without quality, and null ids, are passed over there. Null and empty texts
+    have statistics of zero. An empty table of documents gives an empty table, and without labels
+    every score is 0.5. Other columns are ignored.
     """
     measured = settle(measure(table(spark, sf_dir, "documents")), "stats")
     labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("label"))
