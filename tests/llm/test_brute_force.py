@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tablekeel.llm import queries
-from tablekeel.llm.near_copies import shingles
+from test_near_copies import shingles
 
 
 @pytest.fixture(scope="module")

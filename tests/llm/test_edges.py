@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def test_lines(spark, docs):
 def test_language_and_quality_of_odd_texts(spark, docs):
     got = {(r["doc_id"], r["lang_pred"]): r["rejected"] for r in operators(spark)["language"](docs).collect()}
     assert got[1, "und"] and got[2, "und"] and got[6, "und"] and (8, "en") in got
-    assert language_id.learn(docs.where("false")).best("text") == ("und", 0.0, 0.0)
+    assert language_id.learn(docs.where("false")).best("text") == ("und", 0.0, 0.0, True)
     assert quality.statistics(None) == quality.statistics("") == [0.0] * len(quality.STATS)
     assert quality.fit(spark.createDataFrame([], "stats array<double>, label double, calibrate boolean")) is None
     one_kind = quality.measure(docs).select("stats", F.lit(1.0).alias("label"), F.lit(False).alias("calibrate"))
@@ -147,16 +148,32 @@ def test_stages_keep_the_columns(spark, docs, sf_dir):
 
 def test_hits_are_cut_out_until_none_is_left():
     a = decontaminate.Automaton.build([("1", [b"a", b"b", b"c"])], 10)
+    a = [a]
     assert decontaminate.cut_out("x a b c y", a) == ("x \n y", 0.6)
     assert decontaminate.cut_out("a a b c b c z", a)[0].split() == ["z"]
     assert decontaminate.cut_out("Ä b, c", a) == ("Ä b, c", 0.0)
 
 
-def test_items_beyond_one_automaton_take_further_passes(spark, docs, monkeypatch):
+@pytest.mark.parametrize(("block", "per_pass"), [(3, 1), (3, 2), (20, 3)])
+def test_items_beyond_one_automaton_take_further_passes(spark, docs, block, per_pass):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     key = lambda df: sorted((str(r["doc_id"]), r["n_words"], str(r["spans"]), r["items"]) for r in df.collect())
     left = lambda df: sorted((r["text"] or "").split() for r in df.collect())
     whole, cleaned = key(decontaminate.find_leaks(docs, items)), left(decontaminate.remove_leaks(docs, items, max_covered=1.0))
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
-    assert key(decontaminate.find_leaks(docs, items)) == whole
-    assert left(decontaminate.remove_leaks(docs, items, max_covered=1.0)) == cleaned
+    assert key(decontaminate.find_leaks(docs, items, block_words=block, per_pass=per_pass)) == whole
+    assert left(decontaminate.remove_leaks(docs, items, max_covered=1.0, block_words=block, per_pass=per_pass)) == cleaned
+
+
+def test_many_blocks_of_items_and_items_beyond_a_block(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 60)) for _ in range(100)]
+    texts.append(" ".join(f"w{k}" for k in rng.integers(0, 3000, 5000)))  # more words than a block holds
+    found = list(decontaminate.blocks(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"), 10, 600))
+    assert len(found) >= 10
+    ws = [decontaminate.words(t) for t in texts]
+    for i in (0, 50, 100):
+        for at in (0, 7, len(ws[i]) - 10, *([590, 595, 600, 1190, 3000] if i == 100 else [])):
+            text = [b"x", *ws[i][at : at + 10], b"y"]
+            spans, names = decontaminate.scan_all(found, text)
+            assert spans == [(1, 11)] and names == {str(i)}
+            assert decontaminate.scan_all(found, text[2:])[0] == []
