@@ -78,8 +78,9 @@ def distinct_with_null(c):  # noqa: ANN001, ANN201
 
 
 def exact_sum(c):  # noqa: ANN001, ANN201
-    """A sum that does not depend on the order of the rows; of nothing it is 0."""
-    return F.coalesce(F.sum(F.col(c).cast("decimal(28,6)") if isinstance(c, str) else c.cast("decimal(28,6)")), F.lit(0).cast("decimal(38,6)"))
+    """A sum that does not depend on the order of the rows; of nothing it is 0, and beyond 32 digits it is null. Not-a-number counts as null."""
+    value = (F.col(c) if isinstance(c, str) else c).try_cast("decimal(38,6)")
+    return F.when(F.count(value) == 0, F.lit(0).cast("decimal(38,6)")).otherwise(F.try_sum(value))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,20 +8,27 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Column names that tell of personal data, in the order in which they are tried. A
-# short word counts where no letter or digit touches it, so that customer_ssn is found as well.
-_WORD = "(^|[^a-z0-9])({})([^a-z0-9]|$)"
+# Column names that tell of personal data, in the order in which they are tried.
 NAMES = (
-    ("authentication_secret", "password|passwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|credential"),
-    ("government_identifier", f"{_WORD.format('ssn|ein')}|social[_-]?security|passport|national[_-]?id|tax[_-]?id"),
-    ("payment_data", f"credit[_-]?card|card[_-]?number|{_WORD.format('cvv|cvc')}|card[_-]?holder"),
-    ("financial_account_data", f"account[_-]?number|{_WORD.format('iban|swift')}|routing[_-]?number|bank[_-]?account"),
-    ("health_data", "diagnosis|icd[_-]?code|medical|health[_-]?record|prescription"),
-    ("precise_location", f"latitude|longitude|{_WORD.format('gps')}|geo[_-]?location|precise[_-]?location"),
-    ("contact_data", "e[-_]?mail|phone|mobile|street[_-]?address|zip[_-]?code|postal[_-]?code"),
-    ("employee_data", f"employee|{_WORD.format('staff')}|hire[_-]?date|salary|payroll"),
-    ("personal_identifier", f"full[_-]?name|first[_-]?name|last[_-]?name|customer[_-]?name|date[_-]?of[_-]?birth|{_WORD.format('dob')}|birth[_-]?date"),
+    ("authentication_secret", r"password|passwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|credential"),
+    ("government_identifier", r"\bssn\b|social[_-]?security|passport|national[_-]?id|tax[_-]?id|\bein\b"),
+    ("payment_data", r"credit[_-]?card|card[_-]?number|\bcvv\b|\bcvc\b|card[_-]?holder"),
+    ("financial_account_data", r"account[_-]?number|\biban\b|routing[_-]?number|bank[_-]?account|\bswift\b"),
+    ("health_data", r"diagnosis|icd[_-]?code|medical|health[_-]?record|prescription"),
+    ("precise_location", r"latitude|longitude|\bgps\b|geo[_-]?location|precise[_-]?location"),
+    ("contact_data", r"e[-_]?mail|phone|mobile|street[_-]?address|zip[_-]?code|postal[_-]?code"),
+    ("employee_data", r"employee|\bstaff\b|hire[_-]?date|salary|payroll"),
+    ("personal_identifier", r"full[_-]?name|first[_-]?name|last[_-]?name|customer[_-]?name|date[_-]?of[_-]?birth|\bdob\b|birth[_-]?date"),
 )
+#: Where a short word begins or ends: an underscore counts as a boundary too, so that customer_ssn is found.
+EDGE = "(?:(?<![a-z0-9])(?=[a-z0-9])|(?<=[a-z0-9])(?![a-z0-9]))"
+
+
+def by_name(pattern: str) -> str:
+    """The pattern for column names, whatever their case."""
+    return "(?i)" + pattern.replace(r"\b", EDGE)
+
+
 # Shapes of e-mail addresses, social security numbers and card numbers.
 VALUES = (("contact_data", r"^[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}$"), ("government_identifier", r"^\d{3}-\d{2}-\d{4}$"), ("payment_data", r"^(?:\d[ -]?){13,19}$"))
 # What a reader may see of each kind.
@@ -33,7 +40,8 @@ PROMPTS = (
     r"you are now (a|an|the)\b", r"act as (an?|the) (admin|root|system) (user|account)?", r"\bnew instructions?\s*:", r"\bsystem prompt\b",
 )
 PAYLOADS = (r";\s*drop\s+table\b", r"\bunion\s+select\b", r"\$\([^)]*\)", r"`[^`]+`", r"<script[\s>]", r"\bos\.system\(", r"\bexec\(", r"\beval\(")
-MASK = "[MASKED]"
+# Fixed value: what stands for a masked cell.
+MASK = "***MASKED***"
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -50,12 +58,12 @@ def classify_fields(df: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows ``column, classification, access, confidence`` for every column, from names and shapes.
 
     Both agree: HIGH; they differ: the stricter one, MEDIUM; only the name: MEDIUM; only the
-    shape: LOW; neither: public, HIGH.
+    shape: LOW; neither: public, MEDIUM.
     """
     spark = df.sparkSession
     name = F.lit(None).cast("string")
     for kind, pattern in reversed(NAMES):
-        name = F.when(F.col("column").rlike(f"(?i){pattern}"), kind).otherwise(name)
+        name = F.when(F.col("column").rlike(by_name(pattern)), kind).otherwise(name)
     named = spark.createDataFrame([(c,) for c in df.columns], "column string").withColumn("by_name", name)
     found = value_rates(df).where(F.col("rate") >= least).withColumn("n", F.element_at(F.create_map(*[F.lit(x) for i, (k, _) in enumerate(VALUES) for x in (k, i)]), F.col("kind"))) if text_columns(df) else None
     shaped = found.groupBy("column").agg(F.min_by("kind", "n").alias("by_value")) if found is not None else spark.createDataFrame([], "column string, by_value string")
@@ -65,7 +73,7 @@ def classify_fields(df: DataFrame, least: float = 0.5) -> DataFrame:
     stricter = F.when(strict[access[v]] > strict[access[n]], v).otherwise(n)
     joined = named.join(F.broadcast(shaped), "column", "left")  # a row a column
     kind = F.when(n.isNotNull() & v.isNotNull(), stricter).otherwise(F.coalesce(n, v, F.lit("public_non_sensitive")))
-    sure = F.when(n.isNotNull() & v.isNotNull() & (n == v), "HIGH").when(n.isNotNull(), "MEDIUM").when(v.isNotNull(), "LOW").otherwise("HIGH")
+    sure = F.when(n.isNotNull() & v.isNotNull() & (n == v), "HIGH").when(n.isNull() & v.isNotNull(), "LOW").otherwise("MEDIUM")
     return joined.select("column", kind.alias("classification"), sure.alias("confidence")).withColumn("access", access[F.col("classification")])
 
 
@@ -84,9 +92,9 @@ def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
 
 #: kind -> (test, severity, action)
 SCANS = {
-    "formula_injection": (is_formula, "MEDIUM", "SANITIZE"),
-    "prompt_injection": (lambda c: any_of(c, PROMPTS), "HIGH", "SANITIZE"),
-    "dangerous_payload": (lambda c: any_of(c, PAYLOADS), "HIGH", "BLOCK"),
+    "formula_injection": (is_formula, "HIGH", "SANITIZE"),
+    "prompt_injection": (lambda c: any_of(c, PROMPTS), "MEDIUM", "SANITIZE"),
+    "dangerous_payload": (lambda c: any_of(c, PAYLOADS), "HIGH", "SANITIZE"),
 }
 
 
@@ -97,7 +105,7 @@ def scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def decision(flags: DataFrame) -> DataFrame:
-    """One row: BLOCK, SANITIZE or ALLOW."""
+    """One row: BLOCK, SANITIZE or ALLOW. Cells never block a table by themselves; a caller's own flags may."""
     return flags.agg(F.when(F.count_if(F.col("action") == "BLOCK") > 0, "BLOCK").when(F.count_if(F.col("action") == "SANITIZE") > 0, "SANITIZE").otherwise("ALLOW").alias("decision"))
 
 

@@ -21,6 +21,14 @@ METRICS = {
 }
 
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def agree(a: float | None, b: float | None, tolerance: float, relative: float = 0.0) -> bool:
+    """Whether two totals agree; what is missing or not a number agrees with nothing."""
+    return a is not None and b is not None and abs(a - b) <= max(tolerance, relative * abs(b))
+
+
 def aggregate_plan(df: DataFrame, group_by: list[str], metrics: list[dict[str, str]]) -> DataFrame:
     made = [METRICS[m["fn"]](df, m["column"]).alias(m["name"]) for m in metrics]
     return df.groupBy(*group_by).agg(*made) if group_by else df.agg(*made)
@@ -36,17 +44,23 @@ def control_totals(df: DataFrame, output: DataFrame, metrics: list[dict[str, str
 
 
 def aggregate(df: DataFrame, group_by: list[str], metrics: list[dict[str, str]], reconcile_tolerance: float = 0.01, reconcile_to: float | None = None, relative: float = 0.0, guard: bool = True) -> Result:
-    """Group and aggregate; every ``sum`` is computed a second time and must agree, also with a given control total."""
-    require(missing(df, [*group_by, *(m["column"] for m in metrics)]) + [f"unknown function {m['fn']!r}" for m in metrics if m["fn"] not in METRICS] + ["a control total needs a sum metric"] * (reconcile_to is not None and all(m["fn"] != "sum" for m in metrics)))
+    """Group and aggregate; every ``sum`` is computed a second time and must agree, also with a given control total.
+
+    Totals that are not numbers, or too large to be added up exactly, do not agree with anything.
+    ``relative`` allows for rounding of large totals.
+    """
+    kinds = dict(df.dtypes)
+    texts = [f"{m['fn']} needs numbers, {m['column']!r} is {kinds[m['column']]}" for m in metrics if m["fn"] in ("sum", "mean") and m["column"] in kinds and not kinds[m["column"]].startswith(NUMBERS)]
+    require(texts + missing(df, [*group_by, *(m["column"] for m in metrics)]) + [f"unknown function {m['fn']!r}" for m in metrics if m["fn"] not in METRICS] + ["a control total needs a sum metric"] * (reconcile_to is not None and all(m["fn"] != "sum" for m in metrics)))
     output = aggregate_plan(df, group_by, metrics)
     if not guard:
         return Result(output)
     totals = control_totals(df, output, metrics).collect() if any(m["fn"] == "sum" for m in metrics) else []
     evidence: dict[str, Any] = {"totals": [t.asDict() for t in totals]}
     for t in totals:
-        if abs(t["grouped_total"] - t["input_total"]) > max(reconcile_tolerance, relative * abs(t["input_total"])):
+        if not agree(t["grouped_total"], t["input_total"], reconcile_tolerance, relative):
             raise Refused("RECONCILIATION_FAIL", f"totals of {t['metric']!r} differ", evidence)
-    if reconcile_to is not None and abs(totals[0]["grouped_total"] - reconcile_to) > max(reconcile_tolerance, relative * abs(reconcile_to)):
+    if reconcile_to is not None and not agree(totals[0]["grouped_total"], reconcile_to, reconcile_tolerance, relative):
         raise Refused("RECONCILIATION_FAIL", f"the total of {totals[0]['metric']!r} is not the control total", evidence)
     evidence |= coverage(df, group_by).first().asDict()
     return Result(output, evidence, evidence["rows_covered"], evidence["group_count"])
@@ -90,11 +104,17 @@ PIVOTS = {
 }
 
 
+#: Columns that a pivot may make.
+MOST_COLUMNS = 10_000
+
+
 def pivot(df: DataFrame, index: list[str], on: str, values: str, aggregate_function: str | None = None, order_by: list[str] | None = None, on_values: list[Any] | None = None, guard: bool = True) -> Result:
     """Long to wide. Without an aggregate each cell must have one row; ``first`` and ``last`` need an order."""
     require(missing(df, [*index, on, values, *(order_by or [])]) + [f"unknown function {aggregate_function!r}"] * (aggregate_function not in PIVOTS) + ["first and last need order_by"] * (aggregate_function in ("first", "last") and not order_by))
     if on_values is None:  # as many as columns of the result
-        on_values = sorted((r[0] for r in df.select(on).distinct().collect()), key=lambda v: (v is None, v))
+        found = df.select(on).distinct().limit(MOST_COLUMNS + 1).collect()
+        require([f"{on!r} has more than {MOST_COLUMNS} values"] if len(found) > MOST_COLUMNS else [])
+        on_values = sorted((r[0] for r in found), key=lambda v: (v is None, v))
     if guard and aggregate_function is None:
         clashes = duplicate_groups(df, [*index, on])
         if found := sample(clashes):

@@ -90,40 +90,80 @@ def join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: li
     return Result(output, evidence, evidence["rows_left"], evidence["rows_out"])
 
 
-def review(evidence: DataFrame, min_rate: float = 0.5, max_multiplication: float = 2.0) -> DataFrame:
-    """Issues of a join as rows (``issue, severity``) from ``join_evidence``; no rows: approve."""
+#: Least share of left rows that should match, and how often left rows may multiply.
+MATCH_RATE, MULTIPLICATION = 0.5, 2.0
+ISSUE = "issue string, severity string"
+KEY_EVIDENCE = ("GOVERNED_MAPPING", "USER_CONFIRMED", "PROFILED", "NAME_SIMILARITY_ONLY")
+
+
+def _must_be_unique(cardinality: str | None) -> tuple[bool, bool]:
+    return cardinality in ("one_to_one", "one_to_many"), cardinality in ("one_to_one", "many_to_one")
+
+
+def declared_issues(left: dict[str, str], right: dict[str, str], left_keys: list[str], right_keys: list[str], key_evidence: str, cardinality: str | None, allow_many_to_many: bool = False, ambiguous: list[str] | None = None) -> list[tuple[str, str]]:
+    """What is wrong with a join as it is declared, from the columns' types (name -> type) alone; each issue once."""
+    found = []
+    if not left_keys or not right_keys:
+        found.append(("NO_JOIN_KEYS", "BLOCKING"))
+    elif len(left_keys) != len(right_keys):
+        found.append(("KEY_COUNT_MISMATCH", "BLOCKING"))
+    if any(k not in left for k in left_keys) or any(k not in right for k in right_keys):
+        found.append(("KEY_MISSING", "BLOCKING"))
+    if key_evidence == "NAME_SIMILARITY_ONLY":
+        found.append(("NAME_SIMILARITY_ONLY", "BLOCKING"))
+    if not found or found == [("NAME_SIMILARITY_ONLY", "BLOCKING")]:
+        found += [("KEY_DTYPE_MISMATCH", "BLOCKING")] * any(left[a] != right[b] for a, b in zip(left_keys, right_keys, strict=True))
+    if ambiguous:
+        found.append(("AMBIGUOUS_KEY_CANDIDATES", "NEEDS_CLARIFICATION"))
+    if cardinality is None:
+        found.append(("CARDINALITY_UNDECLARED", "NEEDS_CLARIFICATION"))
+    elif cardinality == "many_to_many" and not allow_many_to_many:
+        found.append(("UNAPPROVED_MANY_TO_MANY", "BLOCKING"))
+    return found
+
+
+def _resolved(issues: list[tuple[str, str]]) -> bool:
+    return not {"NO_JOIN_KEYS", "KEY_COUNT_MISMATCH", "KEY_MISSING"} & {i for i, _ in issues}
+
+
+def data_issues(evidence: DataFrame, cardinality: str | None, match_rate: float = MATCH_RATE, multiplication: float = MULTIPLICATION) -> DataFrame:
+    """Issues that ``join_evidence`` shows: repeated keys where the cardinality has none block, the others only warn."""
+    left, right = _must_be_unique(cardinality)
+    repeated = (F.lit(left) & (F.col("duplicate_keys_left") > 0)) | (F.lit(right) & (F.col("duplicate_keys_right") > 0))
+
+    def issue(when: Column, name: str, severity: str) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity")))
+
     issues = F.array(
-        F.when((F.col("duplicate_keys_left") > 0) & (F.col("duplicate_keys_right") > 0), F.struct(F.lit("DUPLICATE_KEY").alias("issue"), F.lit("REJECT").alias("severity"))),
-        F.when((F.col("match_rate_left") < min_rate), F.struct(F.lit("LOW_MATCH_RATE").alias("issue"), F.lit("CLARIFY").alias("severity"))),
-        F.when((F.col("multiplication") > max_multiplication), F.struct(F.lit("AMPLIFICATION_RISK").alias("issue"), F.lit("CLARIFY").alias("severity"))),
+        issue(repeated, "DUPLICATE_KEY", "BLOCKING"),
+        issue(F.col("match_rate_left") < match_rate, "LOW_MATCH_RATE", "WARNING"),
+        issue(F.col("multiplication") > multiplication, "AMPLIFICATION_RISK", "WARNING"),
     )
     return evidence.select(F.explode(F.array_compact(issues)).alias("i")).select("i.*")
 
 
-def review_profiles(left: list[dict[str, Any]], right: list[dict[str, Any]], left_keys: list[str], right_keys: list[str], cardinality: str | None = None, allow_many_to_many: bool = False) -> tuple[str, list[tuple[str, str]]]:
-    """Decision and issues from stored profiles alone: rows of ``column, dtype, is_key``."""
-    l, r = ({p["column"]: p for p in side} for side in (left, right))
-    issues: list[tuple[str, str]] = []
-    if not left_keys or not right_keys:
-        issues.append(("NO_JOIN_KEYS", "REJECT"))
-    if len(left_keys) != len(right_keys):
-        issues.append(("KEY_COUNT_MISMATCH", "REJECT"))
-    for a, b in zip(left_keys, right_keys, strict=False):
-        if a not in l or b not in r:
-            issues.append(("KEY_MISSING", "REJECT"))
-            continue
-        if l[a]["dtype"] != r[b]["dtype"]:
-            issues.append(("KEY_DTYPE_MISMATCH", "REJECT"))
-        if a == b and not l[a]["is_key"] and not r[b]["is_key"]:
-            issues.append(("NAME_SIMILARITY_ONLY", "CLARIFY"))
-    if len([c for c in l if c in r and c not in left_keys and (l[c]["is_key"] or r[c]["is_key"])]) > 0:
-        issues.append(("AMBIGUOUS_KEY_CANDIDATES", "CLARIFY"))
-    if cardinality is None:
-        issues.append(("CARDINALITY_UNDECLARED", "CLARIFY"))
-    if cardinality == "many_to_many" and not allow_many_to_many:
-        issues.append(("UNAPPROVED_MANY_TO_MANY", "REJECT"))
-    for side, keys, unique in ((l, left_keys, ("one_to_one", "one_to_many")), (r, right_keys, ("one_to_one", "many_to_one"))):
-        if cardinality in unique and len(keys) == 1 and keys[0] in side and not side[keys[0]]["is_key"]:
-            issues.append(("UNIQUENESS_UNVERIFIED", "CLARIFY"))
-    worst = {s for _, s in issues}
-    return "REJECT" if "REJECT" in worst else "CLARIFY" if worst else "APPROVE", issues
+def review(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str, key_evidence: str, cardinality: str | None = None, allow_many_to_many: bool = False, ambiguous: list[str] | None = None, match_rate: float = MATCH_RATE, multiplication: float = MULTIPLICATION) -> DataFrame:
+    """Issues of a join as rows ``issue, severity``, from its declaration and, if its keys exist, from the data."""
+    declared = declared_issues(dict(left.dtypes), dict(right.dtypes), left_keys, right_keys, key_evidence, cardinality, allow_many_to_many, ambiguous)
+    out = left.sparkSession.createDataFrame(declared, ISSUE)
+    if not _resolved(declared) or ("KEY_DTYPE_MISMATCH", "BLOCKING") in declared:
+        return out
+    return out.unionByName(data_issues(join_evidence(left, right, left_keys, right_keys, how), cardinality, match_rate, multiplication))
+
+
+def review_profiles(left: list[dict[str, Any]], right: list[dict[str, Any]], left_keys: list[str], right_keys: list[str], key_evidence: str, cardinality: str | None = None, allow_many_to_many: bool = False, ambiguous: list[str] | None = None) -> list[tuple[str, str]]:
+    """Issues from stored profiles (rows of ``column, dtype, is_key``) without the data: uniqueness holds only for a single key column that is a candidate key."""
+    sides = [{p["column"]: p for p in side} for side in (left, right)]
+    types = [{c: p["dtype"] for c, p in side.items()} for side in sides]
+    issues = declared_issues(*types, left_keys, right_keys, key_evidence, cardinality, allow_many_to_many, ambiguous)
+    if _resolved(issues):
+        for side, keys, unique in zip(sides, (left_keys, right_keys), _must_be_unique(cardinality), strict=True):
+            if unique and not (len(keys) == 1 and side[keys[0]]["is_key"]):
+                issues.append(("UNIQUENESS_UNVERIFIED", "NEEDS_CLARIFICATION"))
+    return issues
+
+
+def decision(issues: DataFrame) -> DataFrame:
+    """One row ``decision``: REJECT if anything blocks, CLARIFY if anything has to be asked, else APPROVE. Warnings approve."""
+    blocks, asks = (F.count_if(F.col("severity") == s) > 0 for s in ("BLOCKING", "NEEDS_CLARIFICATION"))
+    return issues.agg(F.when(blocks, "REJECT").when(asks, "CLARIFY").otherwise("APPROVE").alias("decision"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -92,7 +92,8 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
 
 
-DERIVE = {"add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": divide}
+#: Whole numbers that overflow become null, which ``derive`` counts.
+DERIVE = {"add": F.try_add, "subtract": F.try_subtract, "multiply": F.try_multiply, "divide": divide}
 
 
 def derived(spec: dict[str, Any]) -> Column:
@@ -103,7 +104,7 @@ def derived(spec: dict[str, Any]) -> Column:
 
 
 def derive(df: DataFrame, specs: list[dict[str, Any]], guard: bool = True) -> Result:
-    """Add columns (``{output_column, op, inputs, null_policy="error"}``); refuse null inputs unless they may propagate."""
+    """Add columns (``{output_column, op, inputs, null_policy="error"}``); refuse null inputs unless they may propagate, and whole numbers that overflow."""
     problems = missing(df, [c for s in specs for c in s["inputs"]])
     for s in specs:
         if s["op"] not in (*DERIVE, "concat", "coalesce"):
@@ -116,12 +117,17 @@ def derive(df: DataFrame, specs: list[dict[str, Any]], guard: bool = True) -> Re
     output = df.withColumns({s["output_column"]: derived(s) for s in specs})
     if not guard:
         return Result(output)
-    gates = [reduce(lambda a, b: a | b, [F.col(c).isNull() for c in s["inputs"]]) if s.get("null_policy", "error") == "error" else F.lit(False) for s in specs]
-    marked = output.select("*", *[g.alias(f"_gate{i}") for i, g in enumerate(gates)])
-    found = marked.agg(F.count(F.lit(1)), *[x for i, s in enumerate(specs) for c in [s["output_column"]] for x in (F.count_if(f"_gate{i}"), F.count_if(F.col(c).isNull()), F.min(c), F.max(c))]).first()
-    evidence = {s["output_column"]: dict(zip(("null_inputs", "nulls", "min", "max"), found[1 + 4 * i : 5 + 4 * i], strict=True)) for i, s in enumerate(specs)}
+    empty = [reduce(or_, [F.col(c).isNull() for c in s["inputs"]]) for s in specs]
+    gates = [e if s.get("null_policy", "error") == "error" else F.lit(False) for s, e in zip(specs, empty, strict=True)]
+    spilt = [~e & F.col(s["output_column"]).isNull() if s["op"] in DERIVE else F.lit(False) for s, e in zip(specs, empty, strict=True)]
+    marked = output.select("*", *[g.alias(f"_gate{i}") for i, g in enumerate(gates)], *[x.alias(f"_spilt{i}") for i, x in enumerate(spilt)])
+    wanted = [(F.count_if(f"_gate{i}"), F.count_if(F.col(s["output_column"]).isNull()), F.min(s["output_column"]), F.max(s["output_column"]), F.count_if(f"_spilt{i}")) for i, s in enumerate(specs)]
+    found = marked.agg(F.count(F.lit(1)), *[x for w in wanted for x in w]).first()
+    evidence = {s["output_column"]: dict(zip(("null_inputs", "nulls", "min", "max", "overflows"), found[1 + 5 * i : 6 + 5 * i], strict=True)) for i, s in enumerate(specs)}
     for i, s in enumerate(specs):
-        if found[1 + 4 * i]:
-            evidence["sample"] = sample(df.filter(gates[i]))
-            raise Refused("DATA_QUALITY_BLOCK", f"{found[1 + 4 * i]} rows have null inputs of {s['output_column']!r}", evidence)
+        name = s["output_column"]
+        for what, gate in (("null_inputs", gates[i]), ("overflows", spilt[i])):
+            if n := evidence[name][what]:
+                evidence["sample"] = sample(output.filter(gate))
+                raise Refused("DATA_QUALITY_BLOCK", f"{n} rows have {what.replace('_', ' ')} of {name!r}", evidence)
     return Result(output, evidence, found[0], found[0])

@@ -30,28 +30,34 @@ def text_clean(df: DataFrame, normalize: list[dict[str, Any]] | None = None, reg
         except re.error as e:
             problems.append(f"pattern {x['pattern']!r}: {e}")
     require(problems)
-    output = df
+    # one chain of steps; what a step met on its way is kept beside it for the evidence
+    chain, cleaned = df, list(dict.fromkeys(x["column"] for x in normalize))
+    for i, c in enumerate(cleaned):
+        chain = chain.withColumn(f"_raw{i}", F.col(c))
     for x in normalize:
-        output = output.withColumn(x["column"], normalise(F.col(x["column"]), x["steps"]))
+        chain = chain.withColumn(x["column"], normalise(F.col(x["column"]), x["steps"]))
+    for i, c in enumerate(cleaned):
+        chain = chain.withColumn(f"_clean{i}", F.col(c))
     for x in regex_extract:
-        output = output.withColumn(x["output_column"], extract(F.col(x["column"]), x["pattern"], x.get("group", 1)))
-    for x in regex_replace:
-        output = output.withColumn(x["column"], F.regexp_replace(x["column"], x["pattern"], x["replacement"]))
+        chain = chain.withColumn(x["output_column"], extract(F.col(x["column"]), x["pattern"], x.get("group", 1)))
+    for i, x in enumerate(regex_replace):
+        chain = chain.withColumn(f"_old{i}", F.col(x["column"])).withColumn(x["column"], F.regexp_replace(x["column"], x["pattern"], x["replacement"])).withColumn(f"_new{i}", F.col(x["column"]))
+    output = chain.select(*df.columns, *dict.fromkeys(x["output_column"] for x in regex_extract))
     if not guard:
         return Result(output)
     wanted = [F.count(F.lit(1)).alias("rows")]
-    for i, x in enumerate(normalize):
-        wanted += [distinct_with_null(F.col(x["column"])).alias(f"before{i}"), distinct_with_null(normalise(F.col(x["column"]), x["steps"])).alias(f"after{i}")]
+    for i, _ in enumerate(cleaned):
+        wanted += [distinct_with_null(F.col(f"_raw{i}")).alias(f"before{i}"), distinct_with_null(F.col(f"_clean{i}")).alias(f"after{i}")]
     for i, x in enumerate(regex_extract):
-        wanted.append(F.count(extract(F.col(x["column"]), x["pattern"], x.get("group", 1))).alias(f"match{i}"))
-    for i, x in enumerate(regex_replace):
-        wanted.append(F.count_if(F.col(x["column"]) != F.regexp_replace(x["column"], x["pattern"], x["replacement"])).alias(f"changed{i}"))
-    found = df.agg(*wanted).first()
-    evidence: dict[str, Any] = {f"{x['column']}": {"distinct_before": found[f"before{i}"], "distinct_after": found[f"after{i}"]} for i, x in enumerate(normalize)}
+        wanted.append(F.count(x["output_column"]).alias(f"match{i}"))
+    for i, _ in enumerate(regex_replace):
+        wanted.append(F.count_if(F.col(f"_old{i}") != F.col(f"_new{i}")).alias(f"changed{i}"))
+    found = chain.agg(*wanted).first()
+    evidence: dict[str, Any] = {c: {"distinct_before": found[f"before{i}"], "distinct_after": found[f"after{i}"]} for i, c in enumerate(cleaned)}
     evidence |= {x["output_column"]: {"match_count": found[f"match{i}"]} for i, x in enumerate(regex_extract)}
     evidence |= {f"{x['column']} replaced": {"changed_count": found[f"changed{i}"]} for i, x in enumerate(regex_replace)}
-    for i, x in enumerate(normalize):
+    for i, c in enumerate(cleaned):
         if found[f"after{i}"] < found[f"before{i}"] and not allow_identity_collapse:
-            evidence["collapsed"] = sample(collapses(df, x["column"], x["steps"]))
-            raise Refused("DATA_QUALITY_BLOCK", f"different values of {x['column']!r} become equal", evidence)
+            evidence["collapsed"] = sample(collapses(df, c, [step for x in normalize if x["column"] == c for step in x["steps"]]))
+            raise Refused("DATA_QUALITY_BLOCK", f"different values of {c!r} become equal", evidence)
     return Result(output, evidence, found["rows"], found["rows"])

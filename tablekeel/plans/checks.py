@@ -86,7 +86,8 @@ def _compare(a: DataFrame, b: DataFrame, check_id: str, tolerance: float, relati
     return _result(a.crossJoin(b), check_id, F.col("b"), F.col("a"), tolerance, F.abs(F.col("a") - F.col("b")) <= allowed)
 
 
-def conservation(before: DataFrame, after: DataFrame, column: str, agg: str = "sum", tolerance: float = 0.01, relative: float = 0.0) -> DataFrame:
+def conservation(before: DataFrame, after: DataFrame, column: str, agg: str = "sum", tolerance: float = 0.0, relative: float = 0.0) -> DataFrame:
+    """The total before against the total after, both exact, so that no tolerance is needed."""
     a, b = (df.agg(TOTALS[agg](column).cast("double").alias(n)) for df, n in ((before, "a"), (after, "b")))
     return _compare(a, b, f"conservation:{agg}({column})", tolerance, relative)
 
@@ -113,21 +114,29 @@ def reconciliation(observed: DataFrame, expected: DataFrame, tolerance: float =
 
 
 def dual_computation(df: DataFrame, column: str, agg: str = "sum", tolerance: float = 0.01, relative: float = 1e-9) -> DataFrame:
-    """The same total in doubles and, on another plan, in decimals; nulls count in neither."""
+    """The same total in doubles and, on another plan, in decimals; nulls count in neither.
+
+    ``relative`` allows for what doubles lose while large totals are added up.
+    """
     plain = {"sum": F.coalesce(F.sum(F.col(column).cast("double")), F.lit(0.0)), "count": F.count(column).cast("double"), "mean": F.coalesce(F.avg(F.col(column).cast("double")), F.lit(0.0))}
     exact = df.where(F.col(column).isNotNull()).agg(TOTALS[agg](column).cast("double").alias("b"))
     return _compare(df.agg(plain[agg].alias("a")), exact, f"dual:{agg}({column})", tolerance, relative)
 
 
 def schema_checks(df: DataFrame, required_columns: list[str] | None = None, dtypes: dict[str, str] | None = None, null_policy: dict[str, float] | None = None, unique_keys: list[str] | None = None) -> DataFrame:
-    """All results at once: required columns, types, null rates and unique keys."""
+    """All results at once: required columns, types, null rates and unique keys.
+
+    Rules that name missing columns, and rates outside 0 to 1, are refused before any job runs.
+    """
     kinds = dict(df.dtypes)
+    problems = missing(df, [*(dtypes or {}), *(null_policy or {}), *(unique_keys or [])])
+    require(problems + [f"the null rate of {c!r} lies outside 0 to 1" for c, r in (null_policy or {}).items() if not 0 <= r <= 1])
     fixed = [(f"required_column:{c}", float(c in kinds), 1.0, 0.0, c in kinds, "BLOCKING") for c in required_columns or []]
     fixed += [(f"dtype:{c}", float(kinds.get(c) == spark_type(t)), 1.0, 0.0, kinds.get(c) == spark_type(t), "BLOCKING") for c, t in (dtypes or {}).items()]
     out = df.sparkSession.createDataFrame(fixed, RESULT)
     if null_policy:
         out = out.unionByName(run_checks(df, [null_rate(c, r) for c, r in null_policy.items()]))
-    if unique_keys and all(c in kinds for c in unique_keys):
+    if unique_keys:
         out = out.unionByName(no_duplicate_rows(df, unique_keys))
     return out
 
@@ -181,17 +190,100 @@ def scorecard(results: DataFrame) -> DataFrame:
     return results.agg(share(F.lit(True)).alias("validation_score"), share(quality).alias("data_quality_score"))
 
 
-def reconcile_stages(rows: DataFrame) -> DataFrame:
-    """Status of reconciliation from test rows: FAIL if one failed, UNAVAILABLE without a grouped total, else PASS."""
-    status = F.when(F.count_if(~F.col("passed")) > 0, "FAIL").when(F.count_if(F.col("check_id").startswith("subtotals")) == 0, "UNAVAILABLE").otherwise("PASS")
-    return rows.agg(status.alias("status"))
+REASON = "metric string, reason string"
+
+
+def reconcile_stages(rows: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """Status of reconciliation from test rows: FAIL if one failed, UNAVAILABLE if a metric has a ``reason`` why it could not be tested, else PASS."""
+    failed = rows.agg(F.count_if(~F.col("passed")).alias("failed"))
+    if reasons is None:
+        return failed.select(F.when(F.col("failed") > 0, "FAIL").otherwise("PASS").alias("status"))
+    both = failed.crossJoin(reasons.agg(F.count(F.lit(1)).alias("blocked")))  # one row each
+    return both.select(F.when(F.col("failed") > 0, "FAIL").when(F.col("blocked") > 0, "UNAVAILABLE").otherwise("PASS").alias("status"))
+
+
+#: Operations whose output must have all rows of their input.
+ROW_CONSERVING = ("cast", "derive", "export")
+
+
+def _is_sum(metric: dict[str, Any]) -> bool:
+    return (metric.get("formula") or "").strip().lower().startswith("sum(")
+
+
+def _covering(steps: list[dict[str, Any]], metric: str) -> dict[str, Any] | None:
+    return next((s for s in reversed(steps) if metric in s.get("covers", [])), None)
+
+
+def _metric_spec(step: dict[str, Any], metric: str) -> dict[str, Any] | None:
+    return next((m for m in step.get("params", {}).get("metrics", []) if m["name"] == metric), None)
+
+
+def reconcile_workflow(steps: list[dict[str, Any]], metrics: list[dict[str, Any]], tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Tests of a workflow as rows, and ``metric, reason`` for what can't be tested; ``reconcile_stages`` makes the status of both.
+
+    ``tables`` are by step id and ``source:name``. Steps that conserve rows are tested for it. Every
+    ``sum(`` metric that an aggregate step ``covers`` is tested by its groups' subtotals against
+    the step's input; one without groups, or whose tables are missing, has no anchor.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    tests = [row_conservation(tables[s["inputs"][0]], tables[s["id"]]) for s in steps if s["op"].split("@")[0] in ROW_CONSERVING and s["id"] in tables and s["inputs"][0] in tables]
+    reasons = []
+    for m in metrics:
+        step = _covering(steps, m["name"])
+        if not _is_sum(m) or step is None or step["op"].split("@")[0] != "aggregate":
+            continue
+        spec = _metric_spec(step, m["name"])
+        if not step.get("params", {}).get("group_by"):
+            reasons.append((m["name"], "no independent anchor: there are no groups to add up"))
+        elif spec is None or step["id"] not in tables or step["inputs"][0] not in tables:
+            reasons.append((m["name"], "the data to reconcile is not there"))
+        else:
+            tests.append(subtotals(tables[step["id"]], m["name"], tables[step["inputs"][0]], spec["column"]))
+    out = spark.createDataFrame([], RESULT)
+    for t in tests:
+        out = out.unionByName(t)
+    return out, spark.createDataFrame(reasons, REASON)
+
+
+def derive_suite(contract: dict[str, Any], steps: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    """Check specs for ``run_suite`` that follow from a contract and its workflow.
+
+    ``contract`` may have ``null_policy`` (column -> policy; only ``error`` is a check), ``stage``
+    (the table it speaks of), ``metrics`` (``name, formula``) and ``tolerances``. A ``sum(`` metric
+    is computed twice over the input of the aggregate step that covers it. Joins are checked for
+    their declared cardinality, schema steps for columns, keys and null rates.
+    """
+    suite: list[dict[str, Any]] = []
+    for column, policy in contract.get("null_policy", {}).items():
+        if policy == "error":
+            suite.append({"stage": contract["stage"], "check": null_rate(column, 0.0)})
+    for m in contract.get("metrics", []):
+        step = _covering(steps, m["name"])
+        spec = _metric_spec(step, m["name"]) if step else None
+        if _is_sum(m) and spec and len(step["inputs"]) == 1:
+            column, tolerance = spec["column"], contract.get("tolerances", {}).get(m["name"], 0.01)
+            suite.append({"check_id": f"reconciliation:{m['name']}", "stages": (step["inputs"][0],), "run": lambda df, c=column, t=tolerance: dual_computation(df, c, "sum", t)})
+    for s in steps:
+        op, params = s["op"].split("@")[0], s.get("params", {})
+        if op == "join":
+            suite.append({"check_id": f"join_cardinality:{s['id']}", "stages": tuple(s["inputs"]), "run": lambda a, b, p=params: join_cardinality(a, b, p["left_keys"], p["right_keys"], p["expected_cardinality"])})
+        if op == "validate_schema":
+            source = s["inputs"][0]
+            suite += [{"check_id": f"required_column:{c}", "stages": (source,), "run": lambda df, c=c: schema_checks(df, required_columns=[c])} for c in params.get("required_columns", [])]
+            suite += [{"stage": source, "check": null_rate(c, r)} for c, r in (params.get("null_policy") or {}).items()]
+            if keys := params.get("unique_keys"):
+                suite.append({"check_id": f"unique:{','.join(keys)}", "stages": (source,), "run": lambda df, k=keys: no_duplicate_rows(df, k)})
+    return suite
+
+
+def join_cardinality(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], cardinality: str) -> DataFrame:
+    """Keys that repeat on a side that the declared cardinality has unique."""
+    e = join_evidence(left, right, left_keys, right_keys)
+    repeated = sum((F.col(f"duplicate_keys_{side}") for side, held in (("left", ("one_to_one", "one_to_many")), ("right", ("one_to_one", "many_to_one"))) if cardinality in held), F.lit(0))
+    return _result(e, f"join_cardinality:{cardinality}", repeated, F.lit(0), 0, repeated == 0)
 
 
 def subtotals(grouped: DataFrame, metric: str, source: DataFrame, column: str, tolerance: float = 0.01, relative: float = 1e-12) -> DataFrame:
     """The groups' subtotals against the total of the ungrouped input."""
     a, b = source.agg(exact_sum(column).cast("double").alias("a")), grouped.agg(exact_sum(metric).cast("double").alias("b"))
     return _compare(a, b, f"subtotals:{metric}", tolerance, relative)
-
-
-def require_columns(df: DataFrame, columns: list[str]) -> None:
-    require(missing(df, columns))

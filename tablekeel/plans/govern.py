@@ -7,12 +7,14 @@ so the tables themselves are scanned once, on executors.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeel.core import Refused, Result, require
+from tablekeel.core import SAMPLE, Refused, Result, require
+from tablekeel.functions.guards import by_name
 from tablekeel.functions.text import trim
 from tablekeel.operators.groups import aggregate, aggregate_plan
 from tablekeel.operators.text_clean import text_clean
@@ -21,8 +23,8 @@ from tablekeel.operators.text_clean import text_clean
 MONEY = "revenue|amount|sales|price|cost|total|balance|payment|spend|margin|profit"
 IDENTIFIER = "(^id$|_id$)"
 TIME_ROLES = (("created_time", "created|create[_-]?date"), ("updated_time", "updated|modified"), ("posting_time", "posting|posted|book(ing)?[_-]?date"), ("effective_time", "effective"), ("event_time", "event|order[_-]?date|ship[_-]?date|transaction[_-]?date|occurred"))
-# Names of protected attributes; a short word counts where no letter or digit touches it.
-PROTECTED = "gender|race|ethnicit|religio|disabilit|marital|pregnan|sexual[_-]?orientation|(^|[^a-z0-9])(sex|age)([^a-z0-9]|$)"
+# Names of protected attributes.
+PROTECTED = r"gender|\bsex\b|race|ethnicit|religio|disabilit|marital|pregnan|sexual[_-]?orientation|\bage\b"
 NUMERIC = "^(tinyint|smallint|int|bigint|float|double|decimal)"
 DATED = "^(date|timestamp)"
 #: Shares beyond which data are not fit, and least rows to train on.
@@ -101,11 +103,14 @@ def propose_cleaning(issues: DataFrame, null_policy: DataFrame) -> DataFrame:
     """Rules from null policies (``column, policy``) and issues: ``rule_id, operation, needs_approval``. A fill value is never made up.
 
     ``error`` and ``ignore`` need nothing; ``fill:<v>`` and rules that change or drop rows need
-    approval; what no rule can settle comes with operation ``blocked``.
+    approval; what no rule can settle comes with operation ``blocked``. Nulls of a column that has
+    a policy are settled by it.
     """
     policy = F.col("policy")
     from_policy = null_policy.select(F.concat(F.lit("null:"), "column").alias("rule_id"), F.when(policy.isin("error", "ignore"), policy).when(policy.startswith("fill:"), policy).otherwise("blocked").alias("operation"), policy.startswith("fill:").alias("needs_approval"))
-    from_issues = issues.where(F.col("severity").isin("REQUIRES_RULE", "BLOCKING")).select(
+    column = F.when(F.col("rule").startswith("completeness:"), F.substring_index("rule", ".", -1))
+    open_ = issues.where(F.col("severity").isin("REQUIRES_RULE", "BLOCKING")).join(null_policy.select(F.col("column").alias("_governed")).distinct(), column == F.col("_governed"), "left_anti")
+    from_issues = open_.select(
         F.when(F.col("rule").startswith("duplicates:"), F.regexp_replace("rule", "^duplicates:", "dedup:")).when(F.col("rule").startswith("text_formatting:"), F.regexp_replace("rule", "^text_formatting:", "text_clean:")).otherwise(F.col("rule")).alias("rule_id"),
         F.when(F.col("rule").startswith("duplicates:"), "dedup").when(F.col("rule").startswith("text_formatting:"), "text_clean").otherwise("blocked").alias("operation"),
         F.col("rule").rlike("^(duplicates|text_formatting):").alias("needs_approval"),
@@ -146,33 +151,92 @@ def evaluate_metric(formula: str, tables: dict[str, DataFrame], group_by: list[s
     return aggregate_plan(tables[m[2]], group_by, [{"name": name, "column": m[3], "fn": m[1]}])
 
 
-def load_dictionary(spark, path: str) -> DataFrame:  # noqa: ANN001
-    return spark.read.json(path, multiLine=True)
+METRIC = "semantic_id string, name string, aliases array<string>, formula string, grain string, filters array<string>, source_fields array<string>, currency string, rounding string, owner string, version int, effective_from string"
+DIMENSION = "semantic_id string, name string, aliases array<string>, source_field string, allowed_values array<string>, hierarchy array<string>"
+ENTITY = "semantic_id string, name string, key_fields array<string>, aliases array<string>"
+CALENDAR = "timezone string, week_start string, fiscal_year_start_month int"
+
+
+@dataclass
+class Dictionary:
+    """Governed definitions as tables with a row a definition; ``calendar`` has one row or none."""
+
+    metrics: DataFrame
+    dimensions: DataFrame
+    entities: DataFrame
+    calendar: DataFrame
+
+
+def load_dictionary(spark: SparkSession, path: str) -> Dictionary:
+    """Read a JSON document ``{metrics: {id: {...}}, dimensions: {...}, entities: {...}, calendar: {...}}``; parts that are missing are empty."""
+    text = spark.read.text(path, wholetext=True)
+    shape = f"metrics map<string, struct<{_fields(METRIC)}>>, dimensions map<string, struct<{_fields(DIMENSION)}>>, entities map<string, struct<{_fields(ENTITY)}>>, calendar struct<{_fields(CALENDAR)}>"
+    whole = text.select(F.from_json("value", shape, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    tables = []
+    for part in ("metrics", "dimensions", "entities"):
+        rows = whole.select(F.explode(part).alias("key", "v"))
+        tables.append(rows.select(F.coalesce("v.semantic_id", "key").alias("semantic_id"), *[f"v.{c}" for c in rows.schema["v"].dataType.names if c != "semantic_id"]))
+    metrics = tables[0].withColumns({"aliases": F.coalesce("aliases", F.array().cast("array<string>")), "version": F.coalesce("version", F.lit(1))})
+    return Dictionary(metrics, tables[1].withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))), tables[2], whole.where("calendar IS NOT NULL").select("calendar.*"))
+
+
+def _fields(shape: str) -> str:
+    return re.sub(r"(\w+) (\S+)", r"\1: \2", shape)
+
+
+def save_dictionary(known: Dictionary, path: str) -> None:
+    """Write the document that ``load_dictionary`` reads. A dictionary is a small file: one row, one task."""
+
+    def part(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("semantic_id").alias("key"), F.struct(*df.columns).alias("value"))))).alias(name))
+
+    whole = part(known.metrics, "metrics").crossJoin(part(known.dimensions, "dimensions")).crossJoin(part(known.entities, "entities"))  # one row each
+    whole = whole.crossJoin(known.calendar.agg(F.first(F.struct(*known.calendar.columns)).alias("calendar")))
+    whole.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
 def add_metrics(known: DataFrame, new: DataFrame) -> DataFrame:
-    """Known metrics and new ones; a governed id is never overwritten."""
-    return known.unionByName(new.join(known, "semantic_id", "left_anti").select(*known.columns))
+    """Known metrics and new ones. An id that is governed already, or comes twice, is refused: definitions are never overwritten."""
+    taken = new.join(known, "semantic_id", "left_semi").select("semantic_id").unionByName(new.groupBy("semantic_id").count().where("count > 1").select("semantic_id"))
+    if clashes := [r[0] for r in taken.distinct().limit(SAMPLE).collect()]:
+        raise Refused("VALIDATION_FAIL", f"already governed: {sorted(clashes)}", {"semantic_ids": sorted(clashes)})
+    return known.unionByName(new.select(*known.columns))
+
 
+TASKS = ("classification", "regression", "forecasting")
 
-def readiness(df: DataFrame, profiles: DataFrame, target: str, features: list[str], forecasting: bool = False) -> DataFrame:
-    """Findings ``finding, verdict`` on whether ``df`` can train a model of ``target``; no rows: PROCEED."""
-    fixed = []
-    if target not in df.columns:
+
+def readiness(df: DataFrame, profiles: DataFrame, target: str, features: list[str], task: str = "classification", time_column: str | None = None) -> DataFrame:
+    """Findings ``finding, verdict`` on whether ``df`` can train a model of ``target``; no rows: PROCEED.
+
+    Forecasting needs a ``time_column`` of dates. Classes are weighed only for classification, and
+    only if nothing else rejects the table.
+    """
+    require([f"unknown task {task!r}"] * (task not in TASKS))
+    kinds, fixed = dict(df.dtypes), []
+    if target not in kinds:
         fixed.append(("target_missing", "REJECT"))
-    fixed += [(f"feature_missing:{f}", "REJECT") for f in features if f not in df.columns]
+    fixed += [(f"feature_missing:{f}", "REJECT") for f in features if f not in kinds]
     if target in features:
         fixed.append(("target_among_features", "REJECT"))
-    if forecasting and not any(re.match(DATED, t) for _, t in df.dtypes):
-        fixed.append(("no_date_column", "REJECT"))
-    named = df.sparkSession.createDataFrame([(f,) for f in features], "f string").where(F.col("f").rlike(f"(?i){PROTECTED}")).select(F.concat(F.lit("protected:"), "f").alias("finding"), F.lit("LIMITED").alias("verdict"))
-    out = df.sparkSession.createDataFrame(fixed, "finding string, verdict string").unionByName(named)
-    if target in df.columns:
-        p = profiles.where(F.col("column") == target)
-        out = out.unionByName(p.where(F.col("null_rate") > TARGET_NULLS).select(F.lit("target_nulls").alias("finding"), F.lit("REJECT").alias("verdict")))
-        out = out.unionByName(p.where(F.col("rows") < LEAST_ROWS).select(F.lit("too_few_rows").alias("finding"), F.lit("REJECT").alias("verdict")))
-        n = df.where(F.col(target).isNotNull()).groupBy(target).count().agg((F.min("count") / F.sum("count")).alias("least"), F.count(F.lit(1)).alias("classes"))
-        out = out.unionByName(n.where((F.col("least") < MINORITY) & (F.col("classes") > 1)).select(F.lit("class_imbalance").alias("finding"), F.lit("LIMITED").alias("verdict")))
+    if task == "forecasting":
+        if not time_column:
+            fixed.append(("no_time_column", "REJECT"))
+        elif time_column not in kinds:
+            fixed.append((f"time_column_missing:{time_column}", "REJECT"))
+        elif not re.match(DATED, kinds[time_column]):
+            fixed.append((f"time_column_undated:{time_column}", "REJECT"))
+    spark = df.sparkSession
+    named = spark.createDataFrame([(f,) for f in features], "f string").where(F.col("f").rlike(by_name(PROTECTED))).select(F.concat(F.lit("protected:"), "f").alias("finding"), F.lit("LIMITED").alias("verdict"))
+    out = spark.createDataFrame(fixed, "finding string, verdict string").unionByName(named)
+    p = profiles.where(F.col("column") == target)
+    rate = F.col("null_rate")
+    out = out.unionByName(p.where(rate > 0).select(F.when(rate > TARGET_NULLS, "target_nulls").otherwise("some_target_nulls").alias("finding"), F.when(rate > TARGET_NULLS, "REJECT").otherwise("LIMITED").alias("verdict")))
+    out = out.unionByName(profiles.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows")).where(F.col("rows") < LEAST_ROWS).select(F.lit("too_few_rows").alias("finding"), F.lit("REJECT").alias("verdict")))
+    if task == "classification" and target in kinds:
+        n = df.where(F.col(target).isNotNull()).groupBy(target).count().agg((F.min("count") / F.sum("count")).alias("least"))
+        sound = out.agg((F.count_if(F.col("verdict") == "REJECT") == 0).alias("sound"))
+        out = out.unionByName(n.where(F.col("least") < MINORITY).crossJoin(sound).where("sound").select(F.lit("class_imbalance").alias("finding"), F.lit("LIMITED").alias("verdict")))  # one row each
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekeel.core import Refused, Result, require
@@ -14,6 +14,7 @@ from tablekeel.operators.joins import join
 from tablekeel.operators.rows import cast, derive, select_filter
 from tablekeel.operators.text_clean import text_clean
 from tablekeel.plans.checks import report, validate_schema
+from tablekeel.sources.tables import load_stage, save_stage
 
 OPERATIONS = {
     ("select_filter", 1): select_filter, ("cast", 1): cast, ("derive", 1): derive, ("join", 1): join, ("aggregate", 1): aggregate, ("deduplicate", 1): deduplicate,
@@ -52,31 +53,54 @@ def check_spec(spec: dict[str, Any]) -> list[dict[str, Any]]:
     return ordered
 
 
-def run_pipeline(spec: dict[str, Any], sources: dict[str, DataFrame], run: str = "run", guard: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Tables by step id, and evidence as a table. The first step that refuses ends the chain; later ones are not run."""
+def run_pipeline(spec: dict[str, Any], sources: dict[str, DataFrame], run: str = "run", guard: bool = True, root: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables by step id, and evidence as a table. The first step that refuses or fails ends the chain; later ones are not run.
+
+    With ``root`` each step's table is written below it and read again, so that the guards of later
+    steps don't compute it anew, and each step's evidence is written as soon as it is there
+    (``stored_evidence``). Without, tables stay lazy.
+    """
     ordered = check_spec(spec)
     for s in ordered:
         lookup(s["op"])
+    spark = next(iter(sources.values())).sparkSession
     tables = {f"source:{n}": sources[n] for n in spec["sources"]}
-    rows, stopped = [], False
+    rows: list[tuple] = []
+
+    def note(*row: Any) -> None:
+        rows.append((run, *row))
+        if root:
+            spark.createDataFrame(rows[-1:], EVIDENCE).write.mode("append").parquet(f"{root}/run={run}/evidence")
+
+    stopped = False
     for s in ordered:
         if stopped:
-            rows.append((run, s["id"], s["op"], "NOT_RUN", None, None, "{}"))
+            note(s["id"], s["op"], "NOT_RUN", None, None, "{}")
             continue
         extra = {} if guard or s["op"].startswith("validate_schema") else {"guard": False}
         try:
             out: Result = lookup(s["op"])(*(tables[x] for x in s["inputs"]), **s.get("params", {}), **extra)
+            if root:
+                save_stage(out.output, root, run, s["id"])
+                out.output = load_stage(spark, root, run, s["id"])
         except Refused as e:
-            rows.append((run, s["id"], s["op"], f"REFUSED:{e.code}", None, None, json.dumps({"reason": e.reason}, default=str)))
+            note(s["id"], s["op"], f"REFUSED:{e.code}", None, None, json.dumps({"reason": e.reason}, default=str))
+            stopped = True
+            continue
+        except Exception as e:  # noqa: BLE001 - whatever goes wrong in a step, the evidence of the others stays
+            note(s["id"], s["op"], f"FAILED:{type(e).__name__}", None, None, json.dumps({"reason": str(e)[:1000]}))
             stopped = True
             continue
         tables[s["id"]] = out.output
         shown = {k: v for k, v in out.evidence.items() if not isinstance(v, DataFrame)}
-        rows.append((run, s["id"], s["op"], "COMPLETED", out.rows_in, out.rows_out, json.dumps(shown, default=str)))
-    spark = next(iter(sources.values())).sparkSession
+        note(s["id"], s["op"], "COMPLETED", out.rows_in, out.rows_out, json.dumps(shown, default=str))
     return {k: v for k, v in tables.items() if not k.startswith("source:")}, spark.createDataFrame(rows, EVIDENCE)
 
 
+def stored_evidence(spark: SparkSession, root: str, run: str) -> DataFrame:
+    return spark.read.schema(EVIDENCE).parquet(f"{root}/run={run}/evidence")
+
+
 def release(results: DataFrame, reconciliation: DataFrame) -> DataFrame:
     """One row ``decision``: RELEASED if no blocking check failed and reconciliation passed, else QUARANTINED."""
     return report(results).crossJoin(reconciliation).select(F.when(F.col("passed") & (F.col("status") == "PASS"), "RELEASED").otherwise("QUARANTINED").alias("decision"))

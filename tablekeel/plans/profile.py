@@ -79,7 +79,7 @@ def drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     ))
     columns = both.select(F.coalesce("b.column", "c.column").alias("column"), F.explode(kinds).alias("i")).select("column", "i.*")
     rows = baseline.agg(F.max("rows").alias("b")).crossJoin(current.agg(F.max("rows").alias("c")))  # one row each
-    shift = F.when(F.col("b") > 0, F.abs(F.col("c") - F.col("b")) / F.col("b")).otherwise(F.when(F.col("c") > 0, 1.0).otherwise(0.0))
+    shift = F.when(F.col("b") > 0, F.abs(F.coalesce("c", F.lit(0)) - F.col("b")) / F.col("b")).otherwise(0.0)  # against nothing there is no share
     return columns.unionByName(rows.where(shift > ROW_SHIFT).select(F.lit(None).cast("string").alias("column"), F.lit("row_count_shift").alias("kind"), F.lit("REVIEW_REQUIRED").alias("severity")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablekeel.core import scratch
 from tablekeel.plans import checks, govern, pipeline, profile
-from tablekeel.queries.registry import Registry
+from tablekeel.queries.registry import Registry, one_row, refusal
 from tablekeel.streaming.guarded import judge_batch, run_guarded
 
 REGISTRY = query = Registry()
@@ -82,10 +82,18 @@ def _(t):
     return govern.fitness(_issues(t))
 
 
-@query("cln_01_proposals", "SELECT * FROM (VALUES ('null:custkey', 'fill:0', true), ('null:o_totalprice', 'error', false), ('null:note', 'blocked', false), ('dedup:segments', 'dedup', true), ('text_clean:orders.o_orderpriority', 'text_clean', true), ('currency:orders.o_totalprice', 'blocked', false), ('currency:price level', 'blocked', false)) v(rule_id, operation, needs_approval) UNION ALL SELECT 'completeness:orders.custkey', 'blocked', false FROM orders HAVING count(*) FILTER (o_custkey = 8) > 0")
-def _(t):
-    policy = t.spark.createDataFrame([("custkey", "fill:0"), ("o_totalprice", "error"), ("note", "guess")], "column string, policy string")
-    return govern.propose_cleaning(_issues(t), policy)
+PROPOSED = """SELECT * FROM (VALUES ('null:o_totalprice', 'error', false), ('null:note', 'blocked', false), ('currency:orders.o_totalprice', 'blocked', false), ('currency:price level', 'blocked', false)) v(rule_id, operation, needs_approval)
+UNION ALL SELECT 'text_clean:orders.o_orderpriority', 'text_clean', true FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS p FROM orders) HAVING count(DISTINCT lower(trim(p))) < count(DISTINCT p)
+UNION ALL SELECT 'dedup:segments', 'dedup', true FROM {duplicates} WHERE d > 0"""
+for _name, _governed, _sql in (
+    ("cln_01_proposals", True, "SELECT 'null:custkey', 'fill:0', true"),
+    ("cln_01_without_policy", False, "SELECT 'completeness:orders.custkey', 'blocked', false FROM orders HAVING count(*) FILTER (o_custkey = 8) > 0"),
+):
+
+    @query(_name, PROPOSED.format(duplicates=DUPLICATES) + " UNION ALL " + _sql)
+    def _(t, governed=_governed):
+        policies = [("o_totalprice", "error"), ("note", "guess"), *[("custkey", "fill:0")] * governed]
+        return govern.propose_cleaning(_issues(t), t.spark.createDataFrame(policies, "column string, policy string"))
 
 
 @query("cln_02_applied", "SELECT DISTINCT lower(trim(c_mktsegment)) AS c_mktsegment, c_nationkey FROM customer")
@@ -94,27 +102,43 @@ def _(t):
     return govern.apply_cleaning(tables, ["dedup:segments", "text_clean:segments.c_mktsegment"])["segments"]
 
 
-def _findings(t) -> DataFrame:
-    data = t.labels.join(t.documents.select("doc_id", "n_chars", "lang"), "doc_id").withColumn("age", F.lit(1)).withColumn("rare", F.when(F.col("doc_id") % 40 == 0, 1).otherwise(0))
-    return govern.readiness(data, profile.profile(data), "rare", ["n_chars", "age", "rare", "income"], True)
+def _training(t) -> DataFrame:
+    data = t.labels.join(t.documents.select("doc_id", "n_chars", "lang"), "doc_id")
+    return data.withColumn("age", F.lit(1)).withColumn("rare", F.expr("CASE WHEN doc_id % 40 = 0 THEN 1 WHEN doc_id % 40 > 2 THEN 0 END")).withColumn("day", F.lit("2024-01-05"))
 
 
-@query("mls_01_readiness", "SELECT * FROM (VALUES ('feature_missing:income', 'REJECT'), ('target_among_features', 'REJECT'), ('no_date_column', 'REJECT')) v(finding, verdict) UNION ALL SELECT 'too_few_rows', 'REJECT' FROM labels JOIN documents USING (doc_id) HAVING count(*) < 100")
-def _(t):
-    return _findings(t).where("verdict = 'REJECT'")
+TRAINING = "d AS (SELECT *, CASE WHEN doc_id % 40 = 0 THEN 1 WHEN doc_id % 40 > 2 THEN 0 END AS rare FROM labels JOIN documents USING (doc_id))"
+LIMITED = """SELECT 'some_target_nulls' AS finding, 'LIMITED' AS verdict FROM d HAVING count(rare) < count(*) AND avg((rare IS NULL)::INT) <= 0.2
+UNION ALL SELECT 'target_nulls', 'REJECT' FROM d HAVING avg((rare IS NULL)::INT) > 0.2 UNION ALL SELECT 'too_few_rows', 'REJECT' FROM d HAVING count(*) < 100"""
 
 
-@query("mls_02_imbalance", "SELECT 'class_imbalance' AS finding, 'LIMITED' AS verdict FROM labels JOIN documents USING (doc_id) HAVING least(avg((doc_id % 40 = 0)::INT), 1 - avg((doc_id % 40 = 0)::INT)) < 0.05 AND count(DISTINCT doc_id % 40 = 0) > 1")
+@query("mls_01_readiness", f"WITH {TRAINING} SELECT * FROM (VALUES ('feature_missing:income', 'REJECT'), ('target_among_features', 'REJECT'), ('time_column_undated:day', 'REJECT'), ('protected:age', 'LIMITED')) v(finding, verdict) UNION ALL {LIMITED}")
 def _(t):
-    return _findings(t).where("finding = 'class_imbalance'")
+    data = _training(t)
+    return govern.readiness(data, profile.profile(data), "rare", ["n_chars", "age", "rare", "income"], "forecasting", "day")
+
+
+IMBALANCE = f"{LIMITED} UNION ALL SELECT 'class_imbalance', 'LIMITED' FROM d HAVING count(*) >= 100 AND least(avg(rare), 1 - avg(rare)) < 0.05"
+for _task, _sql in (("classification", IMBALANCE), ("regression", LIMITED)):
 
+    @query(f"mls_02_{_task}", f"WITH {TRAINING} {_sql}")
+    def _(t, task=_task):
+        data = _training(t)
+        return govern.readiness(data, profile.profile(data), "rare", ["n_chars"], task)
 
-@query("mls_03_protected_and_verdict", "SELECT 'protected:age' AS finding, 'REJECT' AS verdict")
+
+@query("mls_03_protected_and_verdict", f"WITH {TRAINING}, f AS ({IMBALANCE} UNION ALL SELECT 'protected:age', 'LIMITED') SELECT 'protected:age' AS finding, CASE WHEN count(*) FILTER (verdict = 'REJECT') > 0 THEN 'REJECT' ELSE 'LIMITED' END AS verdict FROM f")
 def _(t):
-    found = _findings(t)
+    data = _training(t)
+    found = govern.readiness(data, profile.profile(data), "rare", ["n_chars", "age"])
     return found.where("finding LIKE 'protected:%'").select("finding").crossJoin(govern.verdict(found))  # one row each
 
 
+@query("mls_03_proceed", "SELECT CASE WHEN count(*) < 100 THEN 'REJECT' ELSE 'PROCEED' END AS verdict FROM orders")
+def _(t):
+    return govern.verdict(govern.readiness(t.orders, profile.profile(t.orders), "o_totalprice", ["o_orderstatus"], "forecasting", "o_orderdate"))
+
+
 def _metrics(t) -> DataFrame:
     rows = [("m1", "Revenue", ["sales", "turnover"], "sum(orders.o_totalprice)", 1), ("m2", "Net revenue", ["revenue"], "sum(orders.o_totalprice)", 1), ("m3", "Order count", ["orders"], "count(orders.o_orderkey)", 1)]
     return t.spark.createDataFrame(rows, "semantic_id string, name string, aliases array<string>, formula string, version int")
@@ -131,14 +155,33 @@ def _(t):
     return govern.evaluate_metric("sum(orders.o_totalprice)", {"orders": t.orders}, ["o_orderstatus"]).withColumn("value", F.round("value", 2))
 
 
-@query("sem_03_dictionary", "SELECT DISTINCT lower(c_mktsegment) AS semantic_id, 1 AS version FROM customer UNION ALL SELECT 'new_metric', 7")
+def _dictionary(t) -> govern.Dictionary:
+    """Definitions that follow from the tables: a metric a market segment, and dimensions, entities and a calendar."""
+    spark = t.spark
+    metrics = t.customer.select("c_mktsegment").distinct().select(F.lower("c_mktsegment").alias("semantic_id"), F.col("c_mktsegment").alias("name"), F.array(F.concat(F.col("c_mktsegment"), F.lit(" revenue"))).alias("aliases"), F.lit("sum(orders.o_totalprice)").alias("formula"), F.lit(1).alias("version"))
+    for column in govern.METRIC.split(", "):
+        name, kind = column.split()
+        metrics = metrics if name in metrics.columns else metrics.withColumn(name, F.lit(None).cast(kind))
+    dimensions = spark.createDataFrame([("d1", "Segment", ["market segment"], "customer.c_mktsegment", None, ["customer.c_nationkey"])], govern.DIMENSION)
+    entities = spark.createDataFrame([("e1", "Customer", ["c_custkey"], ["client"])], govern.ENTITY)
+    return govern.Dictionary(metrics, dimensions, entities, spark.createDataFrame([("UTC", "Monday", 4)], govern.CALENDAR))
+
+
+@query("sem_03_dictionary", "SELECT DISTINCT lower(c_mktsegment) AS semantic_id, c_mktsegment || ' revenue' AS alias, 1 AS version, 4 AS fiscal_year_start_month FROM customer UNION ALL SELECT 'new_metric', NULL, 7, 4")
+def _(t):
+    path, known = scratch(t.spark, "dictionary"), _dictionary(t)
+    govern.save_dictionary(known, path)
+    stored = govern.load_dictionary(t.spark, path)
+    new = stored.metrics.limit(1).withColumns({"semantic_id": F.lit("new_metric"), "aliases": F.array().cast("array<string>"), "version": F.lit(7)})
+    made = govern.add_metrics(stored.metrics, new).select("semantic_id", F.get("aliases", F.lit(0)).alias("alias"), "version")
+    return made.crossJoin(stored.calendar.select("fiscal_year_start_month"))  # one row
+
+
+@query("sem_03_conflict", "SELECT 'VALIDATION_FAIL' AS code, count(DISTINCT c_mktsegment) AS conflicts FROM customer HAVING count(*) > 0")
 def _(t):
-    path = scratch(t.spark, "dictionary")
-    known = t.customer.select(F.lower("c_mktsegment").alias("semantic_id"), F.lit(1).alias("version")).distinct()
-    known.agg(F.to_json(F.sort_array(F.collect_list(F.struct("semantic_id", "version")))).alias("value")).write.text(path)  # a dictionary is a small file
-    stored = govern.load_dictionary(t.spark, path).select("semantic_id", F.col("version").cast("int").alias("version"))
-    new = t.spark.createDataFrame([("building", 7), ("new_metric", 7)], "semantic_id string, version int")
-    return govern.add_metrics(stored, new)
+    metrics = _dictionary(t).metrics
+    found = refusal(govern.add_metrics, metrics, metrics)
+    return one_row(t, "code string, conflicts long", found.code, len(found.evidence["semantic_ids"]))
 
 
 PRICE = {"name": "price", "column": "o_totalprice", "fn": "sum"}
@@ -204,9 +247,16 @@ query("pip_01_pipeline", FLAGSHIP)(flagship)
 
 @query("pip_02_evidence", "SELECT 'finished' AS step, 'COMPLETED' AS status, count(*) AS rows_in, count(*) FILTER (o_orderstatus = 'F') AS rows_out FROM orders UNION ALL SELECT 'joined', 'REFUSED:DATA_QUALITY_BLOCK', NULL, NULL UNION ALL SELECT 'totals', 'NOT_RUN', NULL, NULL")
 def _(t):
-    spec = _spec()
+    spec, root = _spec(), scratch(t.spark, "runs")
     spec["steps"][1]["params"]["expected_cardinality"] = "one_to_one"
-    return pipeline.run_pipeline(spec, {"orders": t.orders, "customer": t.customer})[1].select("step", "status", "rows_in", "rows_out")
+    pipeline.run_pipeline(spec, {"orders": t.orders, "customer": t.customer}, "r1", root=root)
+    return pipeline.stored_evidence(t.spark, root, "r1").select("step", "status", "rows_in", "rows_out")
+
+
+@query("pip_02_materialised", FLAGSHIP)
+def _(t):
+    out, _ = pipeline.run_pipeline(_spec(), {"orders": t.orders, "customer": t.customer}, "r1", root=scratch(t.spark, "runs"))
+    return out["totals"].withColumn("price", F.round("price", 2))
 
 
 @query("pip_03_drift_guarded_batches", "SELECT event_id, user_id, event_type FROM events WHERE event_id % 4 < 2")
@@ -220,15 +270,18 @@ def _(t):
     return passed[0].select("event_id", "user_id", "event_type")
 
 
-@query("pip_03_guarded_stream", "SELECT event_id, user_id, event_type FROM events")
+@query("pip_03_guarded_stream", "SELECT 'good' AS place, event_id, user_id, event_type FROM events UNION ALL SELECT 'quarantine', event_id, CASE WHEN event_id % 2 = 0 THEN user_id END, event_type FROM events")
 def _(t):
-    """The same as a stream: micro-batches go to the good or the quarantine folder."""
+    """The same as a stream: a micro-batch like the baseline goes to the good folder, one that lost half of its users to quarantine."""
     root = scratch(t.spark, "stream")
     events = t.events.select("event_id", "user_id", "event_type")
-    events.write.parquet(f"{root}/in")
-    stream = t.spark.readStream.schema(events.schema).parquet(f"{root}/in")
-    run_guarded(stream, profile.profile(events), f"{root}/good", f"{root}/quarantine", f"{root}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{root}/good").select("event_id", "user_id", "event_type")
+    holed = events.withColumn("user_id", F.expr("CASE WHEN event_id % 2 = 0 THEN user_id END"))
+    for batch in (events, holed):  # the stream reads what is new since its checkpoint
+        batch.write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        run_guarded(stream, profile.profile(events), f"{root}/good", f"{root}/quarantine", f"{root}/checkpoint").awaitTermination()
+    places = [t.spark.read.parquet(f"{root}/{p}").select(F.lit(p).alias("place"), "event_id", "user_id", "event_type") for p in ("good", "quarantine")]
+    return places[0].unionByName(places[1])
 
 
 @query("pip_04_release", "SELECT 'RELEASED' AS decision")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablekeel.core import Refused
+
 
 class Tables:
     """Tables of one folder, read when they are named."""
@@ -30,3 +33,17 @@ class Registry:
             return f
 
         return add
+
+
+def one_row(t: Tables, shape: str, *values: Any) -> DataFrame:
+    """What an operator found out about a table, as a row."""
+    return t.spark.createDataFrame([values], shape)
+
+
+def refusal(operator: Callable[..., Any], *args: Any, **kwargs: Any) -> Refused:
+    """What an operator refuses with; an error if it does not refuse."""
+    try:
+        operator(*args, **kwargs)
+    except Refused as e:
+        return e
+    raise AssertionError(f"{operator.__name__} did not refuse")

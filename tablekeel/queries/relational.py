@@ -8,7 +8,8 @@ from tablekeel.core import exact_sum
 from tablekeel.functions import text
 from tablekeel.operators import groups, joins, rows
 from tablekeel.operators.text_clean import collapses, text_clean
-from tablekeel.queries.registry import Registry
+from tablekeel.plans import profile
+from tablekeel.queries.registry import Registry, one_row, refusal
 
 REGISTRY = query = Registry()
 
@@ -40,13 +41,16 @@ for _name, (_column, _op, _value, _where) in FILTERS.items():
         return rows.select_filter(lines, LINE, [{"column": column, "op": op, "value": value}], guard=False).output
 
 
-@query("flt_11_all_conditions", "SELECT count(*) - count(*) FILTER (l_quantity >= 10 AND l_discount < 0.05 AND l_returnflag IN ('A', 'R')) AS rows_filtered_out, count(*) FILTER (l_quantity >= 10 AND l_discount < 0.05 AND l_returnflag IN ('A', 'R')) AS rows_out FROM lineitem")
+KEPT = "l_quantity >= 10 AND l_discount < 0.05 AND l_returnflag IN ('A', 'R')"
+
+
+@query("flt_11_all_conditions", f"SELECT count(*) AS rows_in, count(*) FILTER ({KEPT}) AS rows_out, count(*) - count(*) FILTER ({KEPT}) AS rows_filtered_out FROM lineitem")
 def _(t):
-    found = rows.condition([{"column": "l_quantity", "op": ">=", "value": 10}, {"column": "l_discount", "op": "<", "value": 0.05}, {"column": "l_returnflag", "op": "in", "value": ["A", "R"]}])
-    return t.lineitem.agg((F.count(F.lit(1)) - F.count_if(found)).alias("rows_filtered_out"), F.count_if(found).alias("rows_out"))
+    filters = [{"column": "l_quantity", "op": ">=", "value": 10}, {"column": "l_discount", "op": "<", "value": 0.05}, {"column": "l_returnflag", "op": "in", "value": ["A", "R"]}]
+    got = rows.select_filter(t.lineitem, None, filters)
+    return one_row(t, "rows_in long, rows_out long, rows_filtered_out long", got.rows_in, got.rows_out, got.evidence["rows_filtered_out"])
 
 
-EVENT_TEXT = "substr(props, 1, 12)"
 CASTS = {
     "cst_01_integers": ("CASE WHEN event_id % 7 = 0 THEN ' ' || event_id WHEN event_id % 5 = 0 THEN event_id || '.5' ELSE cast(event_id AS {s}) END", "Int64", "CASE WHEN regexp_matches(raw, '^[+-]?[0-9]+$') THEN try_cast(raw AS BIGINT) END"),
     "cst_02_floats": ("CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE cast(event_id AS {s}) || '.25' END", "Float64", "CASE WHEN regexp_matches(raw, '^[+-]?[0-9]+[.]?[0-9]*$') THEN try_cast(raw AS DOUBLE) END"),
@@ -61,11 +65,21 @@ for _name, (_raw, _to, _sql) in CASTS.items():
         return rows.cast(made, [{"column": "made", "target_type": to}], guard=False).output
 
 
-@query("cst_05_parse_failures", "SELECT count(raw) AS filled, count(*) FILTER (raw IS NOT NULL AND NOT regexp_matches(raw, '^[+-]?[0-9]+$')) AS failed FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'x' || event_id WHEN event_id % 3 > 0 THEN cast(event_id AS VARCHAR) END AS raw FROM events)")
+RAW = "CASE WHEN event_id % 5 = 0 THEN 'x' || event_id WHEN event_id % 3 > 0 THEN cast(event_id AS {s}) END"
+FAILED = f"count(raw) AS filled, count(*) FILTER (raw IS NOT NULL AND NOT regexp_matches(raw, '^[+-]?[0-9]+$')) AS failed FROM (SELECT {RAW.format(s='VARCHAR')} AS raw FROM events)"
+
+
+@query("cst_05_parse_failures", f"SELECT failed, 1 - failed / filled AS parse_rate FROM (SELECT {FAILED})")
+def _(t):
+    raw = t.events.select(F.expr(RAW.format(s="string")).alias("raw"))
+    found = rows.cast(raw, [{"column": "raw", "target_type": "Int64", "parseability_threshold": 0.0}]).evidence["raw"]
+    return one_row(t, "failed long, parse_rate double", found["failed"], found["parse_rate"])
+
+
+@query("cst_05_refusal", f"SELECT CASE WHEN failed > 0 THEN 'DATA_QUALITY_BLOCK' END AS code, failed FROM (SELECT {FAILED})")
 def _(t):
-    raw = t.events.select(F.expr("CASE WHEN event_id % 5 = 0 THEN 'x' || event_id WHEN event_id % 3 > 0 THEN cast(event_id AS string) END").alias("raw"))
-    made = rows.strict_cast(raw, "raw", "bigint")
-    return raw.agg(F.count("raw").alias("filled"), F.count_if(F.col("raw").isNotNull() & made.isNull()).alias("failed"))
+    found = refusal(rows.cast, t.events.select(F.expr(RAW.format(s="string")).alias("raw")), [{"column": "raw", "target_type": "Int64"}])
+    return one_row(t, "code string, failed long", found.code, found.evidence["raw"]["failed"])
 
 
 DERIVED = {
@@ -91,27 +105,37 @@ def _(t):
     return rows.derive(p, [{"output_column": "made", "op": "coalesce", "inputs": ["b", "p_type"], "null_policy": "propagate"}], guard=False).output.select("p_partkey", "made")
 
 
-@query("drv_07_null_gate", "SELECT count(*) AS rows_in, count(*) FILTER (nullif(l_discount, 0) IS NULL OR l_quantity IS NULL) AS null_inputs FROM lineitem")
+@query("drv_07_null_gate", "SELECT CASE WHEN n > 0 THEN 'DATA_QUALITY_BLOCK' END AS code, n AS null_inputs FROM (SELECT count(*) FILTER (nullif(l_discount, 0) IS NULL OR l_quantity IS NULL) AS n FROM lineitem)")
 def _(t):
     lines = t.lineitem.withColumn("d", F.expr("nullif(l_discount, 0)"))
-    return lines.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col("d").isNull() | F.col("l_quantity").isNull()).alias("null_inputs"))
+    found = refusal(rows.derive, lines, [{"output_column": "m", "op": "multiply", "inputs": ["l_quantity", "d"]}])
+    return one_row(t, "code string, null_inputs long", found.code, found.evidence["m"]["null_inputs"])
 
 
 @query("drv_08_derivation_evidence", "SELECT count(*) FILTER (m IS NULL) AS nulls, min(m) AS min_value, max(m) AS max_value FROM (SELECT l_quantity * nullif(l_discount, 0) AS m FROM lineitem)")
 def _(t):
     lines = t.lineitem.withColumn("d", F.expr("nullif(l_discount, 0)"))
-    made = rows.derive(lines, [{"output_column": "m", "op": "multiply", "inputs": ["l_quantity", "d"], "null_policy": "propagate"}], guard=False).output
-    return made.agg(F.count_if(F.col("m").isNull()).alias("nulls"), F.min("m").alias("min_value"), F.max("m").alias("max_value"))
+    found = rows.derive(lines, [{"output_column": "m", "op": "multiply", "inputs": ["l_quantity", "d"], "null_policy": "propagate"}]).evidence["m"]
+    return one_row(t, "nulls long, min_value double, max_value double", found["nulls"], found["min"], found["max"])
+
+
+@query("drv_09_overflow", "SELECT CASE WHEN n > 0 THEN 'DATA_QUALITY_BLOCK' END AS code, n AS overflows FROM (SELECT count(*) FILTER (o_orderkey * 9000000000000000::HUGEINT > 9223372036854775807) AS n FROM orders)")
+def _(t):
+    large = t.orders.select("o_orderkey", F.lit(9_000_000_000_000_000).alias("k"))
+    found = refusal(rows.derive, large, [{"output_column": "m", "op": "multiply", "inputs": ["o_orderkey", "k"]}])
+    return one_row(t, "code string, overflows long", found.code, found.evidence["m"]["overflows"])
+
+
+LEFT_KEY = "CASE WHEN c_custkey % 7 = 0 THEN c_custkey + 10000000 ELSE c_custkey END"
+RIGHT_KEY = "CASE WHEN o_orderkey % 3 = 0 THEN -1 - o_custkey WHEN o_custkey <> 8 THEN o_custkey END"
 
 
 def _sides(t):
-    """Customers of even keys and orders of odd customers' keys nulled, so that both sides have rows without a partner."""
-    left = t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")
-    right = t.orders.where("o_orderkey % 3 = 0").select(F.expr("nullif(o_custkey, 8)").alias("o_custkey"), "o_orderkey", "o_totalprice")
-    return left, right
+    """All customers and all orders, some with changed or nulled keys, so that both sides have rows without a partner."""
+    return t.customer.select(F.expr(LEFT_KEY).alias("c_custkey"), "c_mktsegment"), t.orders.select(F.expr(RIGHT_KEY).alias("o_custkey"), "o_orderkey", "o_totalprice")
 
 
-SIDES = "l AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT nullif(o_custkey, 8) AS o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0)"
+SIDES = f"l AS (SELECT {LEFT_KEY} AS c_custkey, c_mktsegment FROM customer), r AS (SELECT {RIGHT_KEY} AS o_custkey, o_orderkey, o_totalprice FROM orders)"
 JOINS = {"jn_01_inner": ("inner", "c_custkey", ""), "jn_02_left": ("left", "c_custkey", ""), "jn_03_right": ("right", "o_custkey AS c_custkey", ""), "jn_04_outer": ("outer", "c_custkey, o_custkey", "FULL ")}
 for _name, (_how, _keys, _kind) in JOINS.items():
 
@@ -141,14 +165,50 @@ def _(t):
     return joins.join_evidence(*_sides(t), ["c_custkey"], ["o_custkey"], "left").drop("duplicate_keys_left", "duplicate_keys_right")
 
 
-@query("jn_08_duplicate_keys", f"WITH {SIDES} SELECT o_custkey, count(*) AS count FROM r GROUP BY o_custkey HAVING count(*) > 1")
+@query("jn_07_guarded_orders_lineitem", "SELECT count(DISTINCT o_orderkey) AS rows_left, count(*) AS rows_out, count(l_orderkey) AS matched, count(*) FILTER (l_orderkey IS NULL) AS unmatched_left FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
+def _(t):
+    got = joins.join(t.orders, t.lineitem, ["o_orderkey"], ["l_orderkey"], "left", "one_to_many")
+    names = ("rows_left", "rows_out", "matched", "unmatched_left")
+    return one_row(t, ", ".join(f"{n} long" for n in names), *(got.evidence[n] for n in names))
+
+
+REPEATED = "SELECT o_custkey, count(*) AS count FROM r GROUP BY o_custkey HAVING count(*) > 1"
+
+
+@query("jn_08_duplicate_keys", f"WITH {SIDES} {REPEATED}")
 def _(t):
     return joins.duplicate_keys(_sides(t)[1], ["o_custkey"])
 
 
-@query("jn_09_join_review", EVIDENCE + "SELECT issue, severity FROM e, (VALUES ('LOW_MATCH_RATE', 'CLARIFY'), ('AMPLIFICATION_RISK', 'CLARIFY')) v(issue, severity) WHERE (issue = 'LOW_MATCH_RATE' AND 1 - unmatched_left / rows_left < 0.5) OR (issue = 'AMPLIFICATION_RISK' AND (matched + unmatched_left) / rows_left > 2)")
+@query("jn_08_refusal", f"WITH {SIDES} SELECT 'DATA_QUALITY_BLOCK' AS code, count(*) AS duplicate_keys FROM ({REPEATED}) HAVING count(*) > 0")
+def _(t):
+    found = refusal(joins.join, *_sides(t), ["c_custkey"], ["o_custkey"], "inner", "one_to_one")
+    return one_row(t, "code string, duplicate_keys long", found.code, found.evidence["duplicate_keys_right"])
+
+
+REVIEWED = EVIDENCE + f""", i AS (SELECT 'DUPLICATE_KEY' AS issue, 'BLOCKING' AS severity WHERE {{repeated}} AND EXISTS ({REPEATED})
+UNION ALL SELECT 'LOW_MATCH_RATE', 'WARNING' FROM e WHERE 1 - unmatched_left / rows_left < 0.9
+UNION ALL SELECT 'AMPLIFICATION_RISK', 'WARNING' FROM e WHERE (matched + unmatched_left) / rows_left > 2)
+"""
+for _name, _cardinality in (("one_to_one", "one_to_one"), ("one_to_many", "one_to_many")):
+    _sql = REVIEWED.format(repeated="true" if _cardinality == "one_to_one" else "false")
+
+    @query(f"jn_09_review_{_name}", _sql + "SELECT * FROM i")
+    def _(t, cardinality=_cardinality):
+        return joins.review(*_sides(t), ["c_custkey"], ["o_custkey"], "left", "PROFILED", cardinality, match_rate=0.9)
+
+    @query(f"jn_09_decision_{_name}", _sql + "SELECT CASE WHEN count(*) FILTER (severity = 'BLOCKING') > 0 THEN 'REJECT' ELSE 'APPROVE' END AS decision FROM i")
+    def _(t, cardinality=_cardinality):
+        return joins.decision(joins.review(*_sides(t), ["c_custkey"], ["o_custkey"], "left", "PROFILED", cardinality, match_rate=0.9))
+
+
+KEY = "(SELECT count(DISTINCT {c}) = count(*) FROM {t})"
+
+
+@query("jn_09_review_of_profiles", f"SELECT 'NAME_SIMILARITY_ONLY' AS issue, 'BLOCKING' AS severity UNION ALL SELECT 'UNIQUENESS_UNVERIFIED', 'NEEDS_CLARIFICATION' WHERE NOT {KEY.format(c='c_custkey', t='customer')} UNION ALL SELECT 'UNIQUENESS_UNVERIFIED', 'NEEDS_CLARIFICATION' WHERE NOT {KEY.format(c='o_custkey', t='orders')}")
 def _(t):
-    return joins.review(joins.join_evidence(*_sides(t), ["c_custkey"], ["o_custkey"], "left"))
+    left, right = ([r.asDict() for r in profile.profile(df).collect()] for df in (t.customer.select("c_custkey"), t.orders.select("o_custkey")))  # a row a column
+    return t.spark.createDataFrame(joins.review_profiles(left, right, ["c_custkey"], ["o_custkey"], "NAME_SIMILARITY_ONLY", "one_to_one"), joins.ISSUE)
 
 
 def _nulled_lines(t):
@@ -185,18 +245,34 @@ def _(t):
 PRICE = [{"name": "price", "column": "l_extendedprice", "fn": "sum"}]
 
 
-@query("agg_09_dual_totals", "SELECT 'price' AS metric, round(sum(cast(l_extendedprice AS DECIMAL(28, 6)))::DOUBLE, 2) AS grouped_total, round(sum(cast(l_extendedprice AS DECIMAL(28, 6)))::DOUBLE, 2) AS input_total FROM lineitem")
+TOTAL = "round(sum(cast({c} AS DECIMAL(38, 6)))::DOUBLE, 2)"
+
+
+@query("agg_09_dual_totals", f"SELECT 'price' AS metric, {TOTAL.format(c='l_extendedprice')} AS grouped_total, {TOTAL.format(c='l_extendedprice')} AS input_total FROM lineitem")
 def _(t):
-    totals = groups.control_totals(t.lineitem, groups.aggregate_plan(t.lineitem, ["l_returnflag"], PRICE), PRICE)
-    return totals.select("metric", F.round("grouped_total", 2).alias("grouped_total"), F.round("input_total", 2).alias("input_total"))
+    found = groups.aggregate(t.lineitem, ["l_returnflag"], PRICE, relative=1e-9).evidence["totals"]
+    return t.spark.createDataFrame(found, "metric string, grouped_total double, input_total double").select("metric", *[F.round(c, 2).alias(c) for c in ("grouped_total", "input_total")])
 
 
-@query("agg_10_control_total", "SELECT round(sum(cast(o_totalprice AS DECIMAL(28, 6)))::DOUBLE, 2) AS control_total, true AS agrees FROM orders")
+@query("agg_09_not_a_number", "SELECT CASE WHEN count(*) FILTER (l_quantity = 1) > 0 THEN 'RECONCILIATION_FAIL' END AS code FROM lineitem")
 def _(t):
-    metric = [{"name": "price", "column": "o_totalprice", "fn": "sum"}]
-    control = t.orders.agg(exact_sum("o_totalprice").cast("double").alias("control_total"))
-    totals = groups.control_totals(t.orders, groups.aggregate_plan(t.orders, ["o_orderstatus"], metric), metric)
-    return totals.crossJoin(control).select(F.round("control_total", 2).alias("control_total"), (F.abs(F.col("grouped_total") - F.col("control_total")) <= 0.01 + 1e-9 * F.col("control_total")).alias("agrees"))  # one row each
+    holed = t.lineitem.select("l_returnflag", F.when(F.col("l_quantity") == 1, float("nan")).otherwise(F.col("l_extendedprice")).alias("l_extendedprice"))
+    return one_row(t, "code string", refusal(groups.aggregate, holed, ["l_returnflag"], PRICE, relative=1e-9).code)
+
+
+METRIC = [{"name": "price", "column": "o_totalprice", "fn": "sum"}]
+
+
+@query("agg_10_control_total", f"SELECT {TOTAL.format(c='o_totalprice')} AS control_total, count(DISTINCT o_orderstatus) AS group_count FROM orders")
+def _(t):
+    control = t.orders.agg(exact_sum("o_totalprice").cast("double")).first()[0]
+    found = groups.aggregate(t.orders, ["o_orderstatus"], METRIC, reconcile_to=control, relative=1e-9)
+    return one_row(t, "control_total double, group_count long", round(control, 2), found.evidence["group_count"])
+
+
+@query("agg_10_refusal", f"SELECT CASE WHEN {TOTAL.format(c='o_totalprice')} <> 1 THEN 'RECONCILIATION_FAIL' END AS code FROM orders")
+def _(t):
+    return one_row(t, "code string", refusal(groups.aggregate, t.orders, ["o_orderstatus"], METRIC, reconcile_to=1.0).code)
 
 
 @query("agg_11_group_coverage", "SELECT count(*) AS group_count, sum(n)::BIGINT AS rows_covered FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey)")
@@ -224,6 +300,12 @@ def _(t):
     return groups.deduplicate(t.events, ["user_id", "event_type"], "first", ["ts", "event_id"], guard=False).evidence["removed"]
 
 
+@query("ded_04_evidence", "SELECT count(*) AS duplicate_groups, sum(n - 1)::BIGINT AS rows_removed FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(*) > 1)")
+def _(t):
+    found = groups.deduplicate(t.events, ["user_id", "event_type"], "first", ["ts", "event_id"]).evidence
+    return one_row(t, "duplicate_groups long, rows_removed long", found["duplicate_groups"], found["rows_removed"])
+
+
 @query("dst_01_distinct_rows", "SELECT DISTINCT lang, source, text FROM documents")
 def _(t):
     d = t.documents.select("lang", "source", "text")
@@ -249,6 +331,11 @@ def _(t):
     return groups.duplicate_groups(t.orders, ["o_orderpriority", "o_orderstatus"])
 
 
+@query("piv_02_refusal", "SELECT 'DATA_QUALITY_BLOCK' AS code FROM (SELECT 1 FROM orders GROUP BY o_orderpriority, o_orderstatus HAVING count(*) > 1) HAVING count(*) > 0")
+def _(t):
+    return one_row(t, "code string", refusal(groups.pivot, t.orders, ["o_orderpriority"], "o_orderstatus", "o_totalprice").code)
+
+
 PIVOTS = {
     "piv_03_min": ("min", "min(o_totalprice) FILTER (o_orderstatus = '{s}')"), "piv_03_max": ("max", "max(o_totalprice) FILTER (o_orderstatus = '{s}')"), "piv_03_sum": ("sum", "round(sum(o_totalprice) FILTER (o_orderstatus = '{s}'), 2)"),
     "piv_03_mean": ("mean", "round(avg(o_totalprice) FILTER (o_orderstatus = '{s}'), 4)"), "piv_04_median": ("median", "round(median(o_totalprice) FILTER (o_orderstatus = '{s}'), 4)"),
@@ -310,3 +397,20 @@ def _(t):
     p = t.part.select("p_partkey", "p_type", F.col("p_type").alias("old"))
     out = text_clean(p, regex_replace=[{"column": "p_type", "pattern": "[AEIOU]", "replacement": "_"}], guard=False).output
     return out.select("p_partkey", "p_type", (F.col("old") != F.col("p_type")).alias("changed"))
+
+
+MATCHED = "regexp_extract(brand, '#([0-9])[1-3]', 1)"
+
+
+@query("txt_09_evidence", f"SELECT count(DISTINCT p_brand) AS distinct_before, count(DISTINCT brand) AS distinct_after, count(*) FILTER ({MATCHED} <> '') AS match_count, count(*) FILTER (replace(brand, '#', '') <> brand) AS changed_count FROM (SELECT p_brand, lower(p_brand) AS brand FROM part)")
+def _(t):
+    found = text_clean(
+        t.part.select("p_brand"), [{"column": "p_brand", "steps": ["lower"]}], [{"column": "p_brand", "pattern": "#([0-9])[1-3]", "output_column": "made"}], [{"column": "p_brand", "pattern": "#", "replacement": ""}]
+    ).evidence
+    return one_row(t, "distinct_before long, distinct_after long, match_count long, changed_count long", found["p_brand"]["distinct_before"], found["p_brand"]["distinct_after"], found["made"]["match_count"], found["p_brand replaced"]["changed_count"])
+
+
+@query("txt_07_refusal", "SELECT CASE WHEN count(DISTINCT lower(v)) < count(DISTINCT v) THEN 'DATA_QUALITY_BLOCK' END AS code FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS v FROM part)")
+def _(t):
+    p = t.part.select(F.expr("CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END").alias("v"))
+    return one_row(t, "code string", refusal(text_clean, p, [{"column": "v", "steps": ["lower"]}]).code)

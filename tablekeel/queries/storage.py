@@ -5,39 +5,44 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablekeel.core import scratch
-from tablekeel.queries.registry import Registry
+from tablekeel.queries.registry import Registry, one_row, refusal
 from tablekeel.sources import tables
 
 REGISTRY = query = Registry()
 COLUMNS = ["c_custkey", "c_name", "c_mktsegment"]
 
 
-def _ragged(t):
-    """Customers as CSV lines; every tenth has a field too many, every eleventh one too few."""
-    path = scratch(t.spark, "csv")
-    c = F.col
-    line = F.when(c("c_custkey") % 10 == 0, F.concat_ws(",", *COLUMNS, F.lit("more"))).when(c("c_custkey") % 11 == 0, F.concat_ws(",", *COLUMNS[:2])).otherwise(F.concat_ws(",", *COLUMNS))
-    t.customer.select(line.alias("value")).write.text(f"{path}/lines")
-    body = t.spark.read.schema(", ".join(f"{x} string" for x in [*COLUMNS, tables.CORRUPT])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", tables.CORRUPT).option("columnPruning", False).csv(f"{path}/lines")
-    return body
+def _ragged(t) -> str:
+    """Customers as a CSV with a header; every tenth has a field too many, every eleventh one too few."""
+    path, c = scratch(t.spark, "csv"), F.col("c_custkey")
+    line = F.when(c % 10 == 0, F.concat_ws(",", *COLUMNS, F.lit("more"))).when(c % 11 == 0, F.concat_ws(",", *COLUMNS[:2])).otherwise(F.concat_ws(",", *COLUMNS))
+    t.customer.select(line.alias(",".join(COLUMNS))).write.option("header", True).option("sep", "|").csv(path)  # one column to the writer, three to a reader
+    return path
+
 
+WHOLE = "c_custkey % 10 <> 0 AND c_custkey % 11 <> 0"
 
-@query("src_01_csv_permissive", "SELECT cast(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 11 <> 0")
+
+@query("src_01_csv_permissive", f"SELECT cast(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer WHERE {WHOLE}")
 def _(t):
-    raw = _ragged(t)
-    return raw.where(F.col(tables.CORRUPT).isNull()).select(*COLUMNS)
+    return tables.read_csv(t.spark, _ragged(t), mode="permissive")[0]
+
+
+@query("src_01_refusal", f"SELECT 'DATA_QUALITY_BLOCK' AS code FROM customer HAVING count(*) FILTER (NOT ({WHOLE})) > 0")
+def _(t):
+    return one_row(t, "code string", refusal(tables.read_csv, t.spark, _ragged(t)).code)
 
 
 @query("src_01_csv_strict", "SELECT cast(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
 def _(t):
     path = scratch(t.spark, "csv")
     t.customer.select(*COLUMNS).write.option("header", True).csv(path)
-    return tables.read_csv(t.spark, path, COLUMNS)[0]
+    return tables.read_csv(t.spark, path)[0]
 
 
-@query("src_02_parse_report", "SELECT count(*) AS rows_seen, count(*) FILTER (c_custkey % 10 <> 0 AND c_custkey % 11 <> 0) AS rows_parsed, count(*) FILTER (c_custkey % 10 = 0 OR c_custkey % 11 = 0) AS rows_rejected, bool_or(c_custkey % 10 = 0 OR c_custkey % 11 = 0) AS is_partial FROM customer")
+@query("src_02_parse_report", f"SELECT count(*) AS rows_seen, count(*) FILTER ({WHOLE}) AS rows_parsed, count(*) FILTER (NOT ({WHOLE})) AS rows_rejected, bool_or(NOT ({WHOLE})) AS is_partial FROM customer")
 def _(t):
-    return tables.parse_report(_ragged(t), COLUMNS)
+    return tables.read_csv(t.spark, _ragged(t), mode="permissive")[1]
 
 
 @query("src_03_parquet_scan", "SELECT o_orderkey, o_orderstatus FROM orders")
@@ -57,12 +62,21 @@ def _(t):
     return found.agg(F.lit("orders.parquet").alias("name"), F.bool_and(F.length("sha256") == 64).alias("has_digest"), F.bool_and(F.col("size") > 0).alias("has_size"))
 
 
-@query("src_06_snapshot", "SELECT * FROM nation")
+@query("src_06_snapshot", "SELECT * FROM orders")
 def _(t):
-    root, nation = scratch(t.spark, "snapshots"), t.nation
-    for _ in range(2):  # the second does nothing
-        path = tables.snapshot(nation, root, tables.content_id(nation).first()[0])
-    return tables.read_parquet(t.spark, path)
+    root = scratch(t.spark, "snapshots")
+    paths = {tables.snapshot(df, root) for df in (t.orders, t.orders.orderBy(F.desc("o_orderkey")))}  # the second does nothing
+    return tables.read_parquet(t.spark, paths.pop())
+
+
+@query("src_06_integrity", "SELECT 'INTEGRITY_FAIL' AS code, count(*) > 0 AS has_rows FROM orders")
+def _(t):
+    """Another table under the same id is refused, and so is the same one with its columns renamed."""
+    root, stored = scratch(t.spark, "snapshots"), t.orders
+    name = tables.content_id(stored).first()[0]
+    tables.snapshot(stored, root, name)
+    found = {refusal(tables.snapshot, df, root, name).code for df in (stored.where("o_orderkey > 1"), stored.withColumnRenamed("o_custkey", "custkey"))}
+    return t.orders.agg(F.lit("+".join(found)).alias("code"), (F.count(F.lit(1)) > 0).alias("has_rows"))
 
 
 @query("src_07_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey NULLS FIRST LIMIT 50 OFFSET 100")
@@ -91,6 +105,14 @@ def _(t):
     return tables.verify(t.spark, tables.export(t.orders, "parquet", scratch(t.spark, "export"))).select("status").distinct()
 
 
+@query("snk_03_tampering", "SELECT 'ADDED' AS status UNION ALL SELECT 'CHANGED' FROM orders HAVING count(*) > 0")
+def _(t):
+    """An export that somebody appends to: its row count changed, and a part is new."""
+    made = tables.export(t.orders, "parquet", scratch(t.spark, "export"))
+    t.orders.where("o_orderkey = 1").coalesce(1).write.mode("append").parquet(made["path"])
+    return tables.verify(t.spark, made).where("status <> 'OK'").select("status").distinct()
+
+
 @query("snk_04_stage_materialisation", "SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey")
 def _(t):
     root = scratch(t.spark, "stages")

@@ -6,44 +6,59 @@ import re
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tablekeel.core import Refused, missing, require
+from tablekeel.core import SAMPLE, Refused, missing, require
 from tablekeel.functions.guards import defuse
 
 CORRUPT = "_corrupt"
 PROMOTED = {"bigint": r"^[+-]?[0-9]+$", "double": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], mode: str = "strict", multi_line: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Text columns of a CSV with a header, its report (one row) and its malformed rows.
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the first line of a CSV, read as Spark's own reader does; an empty file has none."""
+    rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return [c.removeprefix("\ufeff") for c in rows.columns]
+
+
+def raw_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """Text columns, and ``CORRUPT`` with the line of each malformed row. A byte-order mark and blank lines pass."""
+    schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).option("columnPruning", False).csv(path)  # with columns pruned, the parser would not count fields
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, mode: str = "strict", multi_line: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Text columns of a CSV, its report (one row) and its malformed rows. Without ``columns`` the header of the file holds.
 
     A row with more or fewer fields than the header is malformed: ``strict`` refuses the file,
-    ``permissive`` leaves such rows out and reports them. A byte-order mark and blank lines pass.
+    ``permissive`` leaves such rows out and reports them. An empty file gives a table without
+    columns.
     """
-    schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).option("columnPruning", False).csv(path)  # with columns pruned, the parser would not count fields
+    columns = columns if columns is not None else csv_header(spark, path)
+    if not columns:
+        empty = spark.createDataFrame([], StructType())
+        return empty, spark.createDataFrame([(0, 0, 0, False)], REPORT), spark.createDataFrame([], f"{CORRUPT} string")
+    raw = raw_csv(spark, path, columns, multi_line)
     bad = F.col(CORRUPT).isNotNull()
     read = F.length(F.coalesce(columns[0], F.lit(""))) >= 0  # always so; a scan of the corrupt column alone is not allowed
     good, rejected = raw.where(~bad & read).drop(CORRUPT), raw.where(bad & read).select(CORRUPT, *columns)
     report = parse_report(raw, columns)
-    if mode == "strict" and (lost := rejected.limit(20).collect()):
+    if mode == "strict" and (lost := rejected.limit(SAMPLE).collect()):
         raise Refused("DATA_QUALITY_BLOCK", "the file has malformed rows", {"sample": [r[0] for r in lost]})
     return good, report, rejected
 
 
+REPORT = "rows_seen long, rows_parsed long, rows_rejected long, is_partial boolean"
+
+
 def parse_report(raw: DataFrame, columns: list[str]) -> DataFrame:
     seen = F.count(columns[0]) + F.count_if(F.isnull(columns[0]))
     n = raw.agg(seen.alias("rows_seen"), F.count_if(F.col(CORRUPT).isNotNull()).alias("rows_rejected"))
     return n.select("rows_seen", (F.col("rows_seen") - F.col("rows_rejected")).alias("rows_parsed"), "rows_rejected", (F.col("rows_rejected") > 0).alias("is_partial"))
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    line = spark.read.text(path).limit(1).first()[0].lstrip("﻿")
-    return [c.strip('"') for c in line.split(",")]
-
-
 def promote(df: DataFrame) -> DataFrame:
     """Text columns become bigint, double or boolean where all their values have that format; dates stay text."""
     texts = [c for c, t in df.dtypes if t == "string"]
@@ -58,24 +73,36 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Bytes of a file that one row can hold.
+LARGEST_FILE = 2**31 - 1
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file: ``name, sha256, size``; equal bytes have equal ids. A file must fit in a row."""
+    """One row a file: ``name, sha256, size``; equal bytes have equal ids. A file that does not fit in a row is refused."""
     files = spark.read.format("binaryFile").load(path)
+    if large := [r[0] for r in files.where(F.col("length") > LARGEST_FILE).select("path").limit(SAMPLE).collect()]:  # contents are not read for this
+        raise Refused("VALIDATION_FAIL", "files are too large for a digest", {"files": large})
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
-def snapshot(df: DataFrame, root: str, snapshot_id: str) -> str:
-    """Store a table once under its content's id; storing it again does nothing."""
+def snapshot(df: DataFrame, root: str, snapshot_id: str | None = None) -> str:
+    """Store a table once under its content's id; storing it again does nothing. What is stored is read again and compared."""
+    snapshot_id = snapshot_id or content_id(df).first()[0]
     require([] if re.fullmatch("[0-9a-f]{8,64}", snapshot_id) else ["a snapshot id is a hexadecimal digest"])
     path = f"{root}/snapshot_id={snapshot_id}"
     df.write.mode("ignore").parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    if stored.columns != df.columns or content_id(stored).first()[0] != content_id(df).first()[0]:
+        raise Refused("INTEGRITY_FAIL", f"another table is stored under {snapshot_id}")
     return path
 
 
 def content_id(df: DataFrame) -> DataFrame:
-    """One row: a digest of the rows that does not depend on their order."""
-    row = F.xxhash64(*df.columns)
-    return df.agg(F.sha2(F.concat_ws(",", F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(row))), 256).alias("snapshot_id"))
+    """One row: a digest of names, types and rows that does not depend on the rows' order. Nulls count by their place."""
+    cells = [x for c, t in df.dtypes for x in (F.isnull(c), F.to_json(F.struct(c)) if "map<" in t else F.col(c))]
+    one, two = F.xxhash64(*cells), F.xxhash64(F.lit("second"), *cells)
+    sums = [F.count(F.lit(1)), *[F.sum(h.cast("decimal(38,0)")) for h in (one, two)], F.bit_xor(F.xxhash64(one, two))]
+    return df.agg(F.sha2(F.concat_ws(",", F.lit(str(df.dtypes)), *[s.cast("string") for s in sums]), 256).alias("snapshot_id"))
 
 
 def page(df: DataFrame, order_by: list[str], limit: int, offset: int = 0) -> DataFrame:
@@ -86,23 +113,26 @@ def page(df: DataFrame, order_by: list[str], limit: int, offset: int = 0) -> Dat
 FORMATS = ("csv", "parquet", "json")
 
 
-def export(df: DataFrame, fmt: str, destination: str, safe_for_spreadsheets: bool = True) -> dict[str, Any]:
-    """Write a table and return its manifest: checksum of all part files, row count, types."""
+def export(df: DataFrame, fmt: str, destination: str, safe_for_spreadsheets: bool = True, schemes: tuple[str, ...] = ("file",)) -> dict[str, Any]:
+    """Write a table and return its manifest: checksum of all part files, row count, types.
+
+    Only local targets are allowed; on a cluster ``schemes`` names the shared stores that may be
+    written to as well. The digests of the parts are a table below the destination (``_parts``).
+    """
     if fmt not in FORMATS:
         raise Refused("POLICY_DENIED", f"format {fmt!r} is not allowed")
     if ".." in destination.split("/"):
         raise Refused("POLICY_DENIED", "the destination climbs out of its folder")
     scheme = re.match(r"^([A-Za-z][A-Za-z0-9+.-]+):", destination)
-    if scheme and scheme[1].lower() != "file":
-        raise Refused("POLICY_DENIED", f"scheme {scheme[1]!r} is not local")
-    from pyspark.sql import Observation
-
+    if scheme and scheme[1].lower() not in schemes:
+        raise Refused("POLICY_DENIED", f"scheme {scheme[1]!r} is not allowed")
     seen = Observation(f"export-{uuid.uuid4().hex}")
     out = (defuse(df) if fmt == "csv" and safe_for_spreadsheets else df).observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = out.write.mode("overwrite")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(destination)
-    parts = manifest(df.sparkSession, destination)
-    return {"checksum": checksum(parts).first()[0], "row_count": seen.get["rows"], "column_types": dict(df.dtypes), "format": fmt, "path": destination, "parts": {r["name"]: r["sha256"] for r in parts.collect()}}
+    spark, parts = df.sparkSession, f"{destination}/_parts"
+    manifest(spark, destination).write.parquet(parts)
+    return {"checksum": checksum(spark.read.parquet(parts)).first()[0], "row_count": seen.get["rows"], "column_types": dict(df.dtypes), "format": fmt, "path": destination, "parts": parts}
 
 
 def checksum(parts: DataFrame) -> DataFrame:
@@ -111,7 +141,7 @@ def checksum(parts: DataFrame) -> DataFrame:
 
 def verify(spark: SparkSession, made: dict[str, Any]) -> DataFrame:
     """Read an export again and compare: rows ``part, status`` for parts and the row count; all OK if nothing changed."""
-    stored = spark.createDataFrame(list(made["parts"].items()) or [], "name string, stored string")
+    stored = spark.read.parquet(made["parts"]).select("name", F.col("sha256").alias("stored"))
     now = manifest(spark, made["path"])
     both = stored.join(now.select("name", "sha256"), "name", "full")
     status = F.when(F.col("stored").isNull(), "ADDED").when(F.col("sha256").isNull(), "MISSING").when(F.col("stored") != F.col("sha256"), "CHANGED").otherwise("OK")

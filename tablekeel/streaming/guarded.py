@@ -17,12 +17,18 @@ def judge_batch(batch: DataFrame, baseline: DataFrame | None, ignore: tuple[str,
 
 
 def run_guarded(stream: DataFrame, baseline: DataFrame, good: str, quarantine: str, checkpoint: str):  # noqa: ANN201
-    """Write each micro-batch to ``good`` or ``quarantine``; the query ends when what is there has been read."""
+    """Write each micro-batch to ``good`` or ``quarantine``; the query ends when what is there has been read.
+
+    The baseline is a profile, a row a column; it is computed once, before the first batch.
+    """
+    known = stream.sparkSession.createDataFrame(baseline.collect(), baseline.schema)
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        action = judge_batch(batch, baseline).first()["action"]
-        batch.write.mode("overwrite").parquet(f"{good if action == 'CONTINUE' else quarantine}/batch={number}")  # a batch that is repeated replaces itself
-        batch.unpersist()
+        try:
+            action = judge_batch(batch, known).first()["action"]
+            batch.write.mode("overwrite").parquet(f"{good if action == 'CONTINUE' else quarantine}/batch={number}")  # a batch that is repeated replaces itself
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

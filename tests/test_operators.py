@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablekeel.core import Refused
 from tablekeel.operators.groups import aggregate, deduplicate, pivot, unpivot
-from tablekeel.operators.joins import join, join_evidence, review, review_profiles
+from tablekeel.operators.joins import decision, join, review, review_profiles
 from tablekeel.operators.rows import cast, derive, select_filter
 from tablekeel.operators.text_clean import text_clean
 
@@ -68,11 +68,51 @@ def test_join_evidence_and_refusals(spark):
     assert join(twice, twice, ["id"], ["id"], "inner", "many_to_many", True).output.count() == 5
     assert refused("DATA_QUALITY_BLOCK", join, twice, twice, ["id"], ["id"], "inner", "one_to_one").evidence["duplicates"]
     refused("VALIDATION_FAIL", join, left, spark.createDataFrame([("1",)], "order_id string"), ["order_id"], ["order_id"], "inner", "one_to_one")
-    assert ("DUPLICATE_KEY", "REJECT") in rows(review(join_evidence(twice, twice, ["id"], ["id"])))
+
+
+def test_join_review(spark):
+    once, twice = (spark.createDataFrame([(k,) for k in ks], "id long") for ks in ([1, 2, 3], [1, 1, 2]))
+    kinds = lambda *a, **k: rows(review(*a, **k))
+    assert kinds(once, twice, ["id"], ["id"], "left", "PROFILED", "one_to_one") == [("DUPLICATE_KEY", "BLOCKING")]  # one repeated side is enough
+    assert kinds(once, twice, ["id"], ["id"], "left", "PROFILED", "one_to_many") == []
+    far = spark.createDataFrame([(k,) for k in (1, 8, 9)], "id long")
+    low = review(far, once, ["id"], ["id"], "left", "PROFILED", "one_to_one")
+    assert rows(low) == [("LOW_MATCH_RATE", "WARNING")] and rows(decision(low)) == [("APPROVE",)]  # warnings approve
+    many = spark.createDataFrame([(1,)] * 9, "id long")
+    assert kinds(once, many, ["id"], ["id"], "left", "PROFILED", "one_to_many", match_rate=0.0) == [("AMPLIFICATION_RISK", "WARNING")]
+    assert kinds(once, once, ["id"], ["id"], "left", "NAME_SIMILARITY_ONLY", "one_to_one") == [("NAME_SIMILARITY_ONLY", "BLOCKING")]
+    assert kinds(once, once, ["id"], ["no"], "left", "PROFILED") == [("CARDINALITY_UNDECLARED", "NEEDS_CLARIFICATION"), ("KEY_MISSING", "BLOCKING")]
+    assert kinds(once, once, [], [], "left", "PROFILED", "one_to_one") == [("NO_JOIN_KEYS", "BLOCKING")]
+    assert kinds(once, once, ["id"], ["id"], "left", "PROFILED", "many_to_many") == [("UNAPPROVED_MANY_TO_MANY", "BLOCKING")]
+    assert rows(decision(review(once, once, ["id"], ["id"], "left", "PROFILED", "one_to_one", ambiguous=["a", "b"]))) == [("CLARIFY",)]
     key = {"column": "id", "dtype": "bigint", "is_key": True}
-    assert review_profiles([key], [key], ["id"], ["id"], "one_to_one") == ("APPROVE", [])
-    assert review_profiles([key], [key | {"dtype": "string"}], ["id"], ["id"], "one_to_one")[0] == "REJECT"
-    assert review_profiles([key], [key], ["id"], ["id"])[1] == [("CARDINALITY_UNDECLARED", "CLARIFY")]
+    assert review_profiles([key], [key], ["id"], ["id"], "PROFILED", "one_to_one") == []
+    assert review_profiles([key], [key | {"is_key": False}], ["id"], ["id"], "PROFILED", "one_to_one") == [("UNIQUENESS_UNVERIFIED", "NEEDS_CLARIFICATION")]
+    assert review_profiles([key], [key | {"dtype": "string"}], ["id"], ["id"], "PROFILED", "one_to_one") == [("KEY_DTYPE_MISMATCH", "BLOCKING")]
+
+
+def test_overflow_is_refused(spark):
+    df = spark.createDataFrame([(2**62, 4), (1, 1)], "a long, b long")
+    assert refused("DATA_QUALITY_BLOCK", derive, df, [{"output_column": "c", "op": "multiply", "inputs": ["a", "b"]}]).evidence["c"]["overflows"] == 1
+    assert rows(derive(df, [{"output_column": "c", "op": "multiply", "inputs": ["a", "b"]}], guard=False).output) == [(1, 1, 1), (2**62, 4, None)]
+
+
+def test_totals_that_are_no_numbers_agree_with_nothing(spark):
+    metric = [{"name": "s", "column": "x", "fn": "sum"}]
+    for bad in (math.nan, math.inf, 1e35):
+        refused("RECONCILIATION_FAIL", aggregate, spark.createDataFrame([("a", bad), ("b", 1.0)], "k string, x double"), ["k"], metric)
+    refused("VALIDATION_FAIL", aggregate, spark.createDataFrame([("a", "1")], "k string, x string"), ["k"], metric)
+    big = spark.createDataFrame([("a", 1e23), ("b", 1.0)], "k string, x double")
+    assert aggregate(big, ["k"], metric, relative=1e-9).evidence["group_count"] == 2
+
+
+def test_evidence_of_cleaning_follows_the_chain(spark):
+    df = spark.createDataFrame([(" item-12 ",), ("ITEM-13",)], "sku string")
+    got = text_clean(df, [{"column": "sku", "steps": ["trim"]}, {"column": "sku", "steps": ["upper"]}], [{"column": "sku", "pattern": r"^ITEM-(\d+)$", "output_column": "n"}], [{"column": "sku", "pattern": "ITEM", "replacement": "I"}])
+    assert rows(got.output) == [("I-12", "12"), ("I-13", "13")]
+    assert got.evidence["n"]["match_count"] == 2 and got.evidence["sku replaced"]["changed_count"] == 2
+    both = spark.createDataFrame([(" a",), ("A",)], "x string")  # neither step alone makes them equal
+    refused("DATA_QUALITY_BLOCK", text_clean, both, [{"column": "x", "steps": ["trim"]}, {"column": "x", "steps": ["lower"]}])
 
 
 keys = st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=8)
