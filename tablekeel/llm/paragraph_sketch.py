@@ -29,8 +29,10 @@ LONG = 200
 SMALL = 8
 #: Rounds of peeling: each goes over the three tables once. Sizes of sketches that are tried, the fingerprint's not counted.
 ROUNDS, TRIES = 6, 4
-#: Ranges of ids for each bucket of the stored digests.
-RANGES = 8
+#: Cells in each table of a larger sketch, at least: with fewer, small differences would often be tried again.
+LEAST = 32
+#: Buckets of the stored digests for each shuffle partition, since a row grows to many cells; ranges of ids for each bucket, and ranges at most.
+BUCKETS, RANGES, MOST_RANGES = 4, 8, 65_536
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -51,7 +53,8 @@ def _cell(digest: Column, table_no: int, salt: Column, width: Column) -> Column:
 
 
 ROW = ["range", "rid"]
-KEYS = [*ROW, "pair", "width", "salt"]
+#: ``at`` holds row, pair, width and salt of a sketch. With plain keys each of the aggregates that follow each other within a task would claim a page of memory from the start.
+KEYS = ["range", "at"]
 CELL = ["n", "digest", "checksum"]
 
 
@@ -60,8 +63,8 @@ def _sum_up(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def fill(digests: DataFrame, *keys: str) -> DataFrame:
-    """Sketches of rows ``*keys, width, salt, n (1 or -1), digest``: their cells, as rows ``*keys, cell, n, digest, checksum``."""
-    cells = F.array(*[_cell(F.col("digest"), i, F.col("salt"), F.col("width")) for i in range(3)])
+    """Sketches of rows ``*keys, n (1 or -1), digest``: their cells, as rows ``*keys, cell, n, digest, checksum``."""
+    cells = F.array(*[_cell(F.col("digest"), i, F.col("at.salt"), F.col("at.width")) for i in range(3)])
     return _sum_up(digests.withColumn("checksum", _checksum(F.col("digest"))).withColumn("cell", F.explode(cells)), *keys)
 
 
@@ -73,9 +76,9 @@ def peel(cells: DataFrame, rounds: int) -> DataFrame:
     filled = (F.col("cell") < 0) | (F.col("n") != 0) | (F.col("digest") != 0) | (F.col("checksum") != 0)
     cells = cells.where(filled)
     for i in [0, 1, 2] * rounds:
-        here = F.floor(F.col("cell") / F.col("width")) == i
+        here = F.floor(F.col("cell") / F.col("at.width")) == i
         single = (F.col("cell") >= 0) & here & (F.abs("n") == 1) & (_checksum(F.col("digest")) == F.col("checksum"))
-        others = [F.struct(_cell(F.col("digest"), j, F.col("salt"), F.col("width")).alias("cell"), (-F.col("n")).alias("n"), F.col("digest"), F.col("checksum")) for j in range(3) if j != i]
+        others = [F.struct(_cell(F.col("digest"), j, F.col("at.salt"), F.col("at.width")).alias("cell"), (-F.col("n")).alias("n"), F.col("digest"), F.col("checksum")) for j in range(3) if j != i]
         found = F.struct(F.lit(-1).alias("cell"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("digest"), F.lit(0).alias("checksum"))
         same = F.struct("cell", *CELL)
         moved = cells.select(*KEYS, F.explode(F.when(single, F.array(found, *others)).otherwise(F.array(same))).alias("c")).select(*KEYS, "c.*")
@@ -85,23 +88,24 @@ def peel(cells: DataFrame, rounds: int) -> DataFrame:
 
 def outcome(peeled: DataFrame) -> DataFrame:
     """Rows ``range, rid, pair, differing``: null where cells of all sketches of the pair were left over. Pairs without a difference have no row."""
-    by = peeled.groupBy(*ROW, "pair", "salt").agg(F.max("cell").alias("last"), F.sum(F.when(F.col("cell") < 0, F.col("n"))).alias("n"))
-    return by.groupBy(*ROW, "pair").agg(F.max(F.when(F.col("last") < 0, F.col("n"))).alias("differing"))
+    by = peeled.groupBy(*KEYS).agg(F.max("cell").alias("last"), F.sum(F.when(F.col("cell") < 0, F.col("n"))).alias("n"))
+    by = by.select("range", "at.rid", "at.pair", F.when(F.col("last") < 0, F.col("n")).alias("n"))
+    return by.groupBy(*ROW, "pair").agg(F.max("n").alias("differing"))
 
 
 def _sides(pair: int, width: Column, salt: int) -> list[Column]:
     """Both versions of a pair, to be filled into one sketch: the second with opposite signs, which subtracts its cells."""
-    named = {"pair": F.lit(pair), "width": width.cast("long"), "salt": F.lit(salt)}
-    return [F.struct(*[c.alias(k) for k, c in named.items()], F.lit(n).cast("long").alias("n"), F.col(d).alias("ds")) for n, d in ((1, "d0"), (-1, f"d{pair}"))]
+    at = F.struct("rid", F.lit(pair).alias("pair"), width.cast("long").alias("width"), F.lit(salt).alias("salt"))
+    return [F.struct(at.alias("at"), F.lit(n).cast("long").alias("n"), F.col(d).alias("ds")) for n, d in ((1, "d0"), (-1, f"d{pair}"))]
 
 
 def _room(pair: int, attempt: int) -> Column:
     """Cells of a table with room for all digests of both versions, twice as many with each further try."""
-    return F.greatest(F.ceil((F.size("d0") + F.size(f"d{pair}")) / 1.5), F.lit(SMALL)) * 2 ** (attempt - 1)
+    return F.greatest(F.ceil((F.size("d0") + F.size(f"d{pair}")) / 1.5), F.lit(LEAST)) * 2 ** (attempt - 1)
 
 
 def _try(rows: DataFrame, sides: Column) -> DataFrame:
-    digests = rows.select(*ROW, F.explode(sides).alias("side")).select(*ROW, "side.*")
+    digests = rows.select("range", F.explode(sides).alias("side")).select("range", "side.*")
     return outcome(peel(fill(digests.select(*KEYS, "n", F.explode("ds").alias("digest")), *KEYS), ROUNDS))
 
 
@@ -139,8 +143,8 @@ def fingerprint(digests: Column) -> Column:
     return F.transform(F.array(named), lambda all_: F.array_join(F.array(*[cell(all_, c) for c in range(3 * SMALL)]), "-"))[0]  # named once
 
 
-def partitions_of(spark: SparkSession) -> int:
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets_of(spark: SparkSession) -> int:
+    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -151,8 +155,8 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     text; where they fill several ranges, that hash deals them. The last row of a range takes the
     first text of the next range that has rows; there is one such text a range.
     """
-    parts = parts or RANGES * partitions_of(docs.sparkSession)
-    cuts = sorted(docs.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or [], reverse=True)
+    parts = parts or min(RANGES * buckets_of(docs.sparkSession), MOST_RANGES)
+    cuts = sorted(docs.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] or [], reverse=True)
     docs = docs.withColumn("hash", F.xxhash64("text"))
     # range 0 holds the largest ids. A bound is looked for among every ``step``-th one, then between two of these
     step = max(1, int(len(cuts) ** 0.5))
@@ -183,7 +187,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """``df`` written into the shared folder in buckets of ``key``: what groups or joins by it needs no shuffle. The table is an external one of the session's catalogue."""
     spark, name = df.sparkSession, f"tablekeel_{uuid.uuid4().hex}"
-    df.write.bucketBy(partitions_of(spark), key).option("path", scratch(spark, "bucketed")).saveAsTable(name)
+    df.write.bucketBy(buckets_of(spark), key).option("path", scratch(spark, "bucketed")).saveAsTable(name)
     return spark.table(name)
 
 
@@ -207,7 +211,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     held = bucketed(held, "range")
     differing = compare(held)
     lost = differing.groupBy(*ROW).agg(*[F.max(F.when(F.col("pair") == p, F.col("differing"))).alias(f"lost{p}") for p in (1, 2)])
-    whole = held.select(*ROW, "doc_id", "n_chars", "edited_sha256", "d0", "d1", *[F.size(f"d{i}").alias(f"size{i}") for i in range(3)]).join(lost, ROW, "left")
+    whole = held.select(*ROW, "doc_id", "n_chars", "edited_sha256", "d0", "d1", *[F.size(f"d{i}").alias(f"size{i}") for i in range(3)]).join(lost.hint("shuffle_hash"), ROW, "left")
 
     def near(p: int) -> Column:
         both, d = F.col("size0") + F.col(f"size{p}"), F.coalesce(f"lost{p}", F.lit(0))
