@@ -87,8 +87,8 @@ def learn(labelled: DataFrame, sample: int = 400, chars: int = 500) -> Dictionar
 
     For each language, about ``2 * sample`` rows with the lowest hashes of id and text give a slice
     of ``chars`` characters each, from any place of the whole text; rows that repeat count once.
-    The first ``sample`` slices are the dictionary, the others show how it usually encodes texts of
-    its language. That is all the driver holds. Rows without a language or without letters are
+    The first ``sample`` slices (four fifths, if there are few) are the dictionary, the others show
+    how it usually encodes texts of its language. That is all the driver holds. Rows without a language or without letters are
     passed over; an empty table gives no dictionary.
     """
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31))
@@ -103,10 +103,11 @@ def learn(labelled: DataFrame, sample: int = 400, chars: int = 500) -> Dictionar
         if said := letters(r["part"]):
             found[r["lang"]].append((r["_h"], said))
     kept = {lang: [said for _, said in sorted(found[lang])] for lang in sorted(counts, key=lambda k: (-counts[k], k)) if found[lang]}
-    known = Dictionaries({lang: b" ".join(parts[:sample]) for lang, parts in kept.items()})
+    first = {lang: min(sample, len(parts) - len(parts) // 5) for lang, parts in kept.items()}
+    known = Dictionaries({lang: b" ".join(parts[: first[lang]]) for lang, parts in kept.items()})
     for k, (lang, parts) in enumerate(kept.items()):
-        if len(parts) > sample:
-            known.usual[lang] = float(np.median([known.sizes(said)[k] / len(said) for said in parts[sample:]]))
+        if rest := parts[first[lang] :]:
+            known.usual[lang] = float(np.median([known.sizes(said)[k] / len(said) for said in rest]))
     return known
 
 

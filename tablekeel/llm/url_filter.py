@@ -120,7 +120,7 @@ def learn(known: DataFrame, trees: int = 12, depth: int = 3, smooth: float = 20.
     model = Model(smooth, counts)
     balanced = F.count(F.lit(1)) / F.when(F.col("label") == 1, 2 * prior).otherwise(2 - 2 * prior)
     weighted = settle(model.complete(known, training=True).groupBy("label", *FEATURES).agg(balanced.alias("weight")), "vectors")
-    grower = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=11)
+    grower = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, minInfoGain=0.001, minWeightFractionPerNode=0.02, seed=11)
     model.trees = grower.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weighted).select("features", "label", "weight"))
     return model
 
@@ -136,7 +136,7 @@ def labelled_by_rules(rows: DataFrame) -> DataFrame:
     return rows.where("ruled IS NOT NULL").withColumn("label", (F.col("ruled") == "block").cast("double"))
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, trees: int = 12, depth: int = 3, smooth: float = 20.0, least: float = 0.7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, trees: int = 12, depth: int = 3, smooth: float = 20.0, least: float = 0.8, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Return per row ``page_id, host, path, rule, verdict, block_score``.
 
     ``labelled`` has ``url, label`` (1: block); by default the URLs that a rule fits, labelled by
@@ -156,7 +156,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: Seque
     return model.score(rows).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("block_score") >= least, "block").otherwise("allow")).alias("verdict"), "block_score")
 
 
-def held_out(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, parts: int = 4, least: float = 0.7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def held_out(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, parts: int = 4, least: float = 0.8, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row ``urls, right, blocked``: the trees' verdicts on labelled URLs of a quarter of the hosts, none of which they have seen."""
     known = labelled_by_rules(ruled(pages, rules, id_col, url_col)).withColumn("unseen", F.pmod(F.xxhash64(F.lit("unseen"), "host"), F.lit(parts)) == 0)
     known = settle(known, "urls")

@@ -35,3 +35,24 @@ def test_only_texts_of_similarity_four_fifths_are_dropped(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
     assert kept == {i for i, m in enumerate(least) if i == m}
     assert len(texts) / 3 < len(kept) < len(texts) * 2 / 3
+
+
+def test_most_of_many_near_copies_are_found(spark):
+    """Pairs at 0.8 to 0.85, the hardest: single words that differ, or one passage."""
+    rng, texts, want = np.random.default_rng(8), [], 0
+    for i in range(600):
+        words = [f"w{k}" for k in rng.integers(0, 2000, 240)]
+        other = list(words)
+        if i % 4:
+            for at in rng.choice(240, 5, replace=False):
+                other[at] = f"v{rng.integers(0, 2000)}"
+        else:
+            at = int(rng.integers(0, 220))
+            other[at : at + 16] = [f"v{k}" for k in rng.integers(0, 2000, 16)]
+        texts += [" ".join(words), " ".join(other)]
+        want += 0.8 <= similarity(texts[-2], texts[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    lost = {i for i in range(len(texts)) if i not in kept}
+    assert all(i % 2 and similarity(texts[i], texts[i - 1]) >= 0.8 for i in lost)  # no false link
+    assert want > 500 and len(lost) >= 0.95 * want
