@@ -246,7 +246,7 @@ def test_url_rules(run, duck):
 def test_urls_without_a_rule(spark, sf_dir):
     from tablekeel.llm import url_filter
 
-    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    pages = spark.read.parquet(sf_dir.replace("0.001", "0.1") + "/pages.parquet")
     seen = url_filter.held_out(pages).first()
     assert seen["urls"] >= 20 and seen["right"] >= 0.95 * seen["urls"] and 0 < seen["blocked"] < seen["urls"]
     judged = url_filter.judge_urls(pages).where("rule IS NULL").selectExpr("substring_index(host, '.', -1) AS suffix", "verdict = 'block' AS blocked", "block_score")
