@@ -204,6 +204,27 @@ def _(t):
     return _derived(t).withColumns({c: F.when(F.col("check_id").startswith("dual:"), F.round(c, 1)).otherwise(F.col(c)) for c in ("observed", "expected")})
 
 
+RANGES = {"l_quantity": (1, 50), "l_discount": (0, 0.08), "l_tax": (0, 0.05), "l_linenumber": (1, 6)}
+ALLOWED = {"l_returnflag": ["A", "N"], "l_linestatus": ["F", "O"]}
+FILLED = ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+
+
+def _ten_sql() -> str:
+    def counted(name: str, wrong: str) -> str:
+        return _row(name, f"count(*) FILTER ({wrong})", "0", "0", f"count(*) FILTER ({wrong}) <= 0", "FROM lineitem")
+
+    parts = [counted(f"range:{c}", f"{c} < {low} OR {c} > {high}") for c, (low, high) in RANGES.items()]
+    parts += [counted(f"allowed_values:{c}", f"{c} NOT IN ({', '.join(repr(v) for v in allowed)})") for c, allowed in ALLOWED.items()]
+    parts += [_row(f"null_rate:{c}", f"avg(({c} IS NULL)::INT)", "0", "0", f"count(*) = count({c})", "FROM lineitem") for c in FILLED]
+    return " UNION ALL ".join(parts)
+
+
+@query("chk_12_ten_checks", _ten_sql())
+def _(t):
+    suite = [checks.value_range(c, low, high) for c, (low, high) in RANGES.items()] + [checks.allowed_values(c, v) for c, v in ALLOWED.items()] + [checks.null_rate(c, 0.0) for c in FILLED]
+    return checks.run_suite({"lines": t.lineitem}, [{"stage": "lines", "check": c} for c in suite])
+
+
 @query("chk_13_report", f"WITH s AS ({SUITE}) SELECT bool_and(passed OR severity <> 'BLOCKING') AS passed, count(*) FILTER (passed) AS passed_checks, count(*) FILTER (NOT passed AND severity <> 'BLOCKING') AS warnings, count(*) FILTER (NOT passed AND severity = 'BLOCKING') AS blocking_failures FROM s")
 def _(t):
     return checks.report(_suite(t))
