@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeel.llm.common import ascii_lower, settle
-from tablekeel.llm.simhash import embed, grids, link_components, majority, stay_in
+from tablekeel.llm.simhash import Bound, embed, grids, link_components, majority, stay_in
 
 SHINGLE = 5
 #: Similarity of near copies, as a fraction: 0.8.
@@ -74,14 +74,22 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(work, ", ".join(f"{c} long" for c in ("node", "n", *FPS, *ODD)))
 
 
+def may_be_alike(a: str, b: str) -> Column:
+    """Whether sizes and parities allow a similarity of 0.8: no near copy is ruled out."""
+    apart = sum((F.bit_count(F.col(f"{p}_{a}").bitwiseXOR(F.col(f"{p}_{b}"))) for p in ODD), F.lit(0))  # no more than there are shingles in one text only
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return (OF * F.least(n, m) >= LIKE * F.greatest(n, m)) & ((OF + LIKE) * apart <= (OF - LIKE) * (n + m))
+
+
+BOUND = Bound(("n", *ODD), may_be_alike)
+
+
 def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that bounds on similarity and distance leave over; no near copy breaks the former."""
+    """The pairs ``a, b`` that bounds on similarity and distance leave over."""
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *FPS, *ODD)]), side)
-    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in ODD), F.lit(0))  # no more than there are shingles in one text only
     points = sum((F.bit_count(embed(F.col(f"{f}_a")).bitwiseXOR(embed(F.col(f"{f}_b")))) for f in FPS), F.lit(0))  # Manhattan distance
-    sizes = OF * F.least("n_a", "n_b") >= LIKE * F.greatest("n_a", "n_b")
-    return pairs.where(sizes & ((OF + LIKE) * apart <= (OF - LIKE) * (F.col("n_a") + F.col("n_b"))) & (points <= ON_AVERAGE * FINGERPRINTS)).select("a", "b")
+    return pairs.where(may_be_alike("a", "b") & (points <= ON_AVERAGE * FINGERPRINTS)).select("a", "b")
 
 
 def shingle_set(text: Column) -> Column:
@@ -95,8 +103,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose ``texts`` (node, text; rows may repeat) are near copies. Only texts that a pair names are looked at."""
     pairs = settle(pairs, "candidates")
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = texts.join(named, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    held = settle(held.select("node", shingle_set(F.col("text")).alias("held")), "shingles")
+    once = texts.groupBy("node").agg(F.first("text").alias("text"))  # copies are dropped before the shuffle as well
+    held = settle(once.join(named, "node", "left_semi").select("node", shingle_set(F.col("text")).alias("held")), "shingles")
     for side in "ab":
         pairs = pairs.join(held.select(F.col("node").alias(side), F.col("held").alias(f"held_{side}")), side)
     both = F.size(F.array_intersect("held_a", "held_b"))
@@ -107,7 +115,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
     """``texts`` (node: a long for each distinct text, text) -> (node, component) for all nodes that have a near copy."""
     # copies are dropped before the shuffle as well, so none is hot
     nodes = settle(sketches(texts).dropDuplicates(["node"]), "sketches")
-    return link_components(nodes, FPS, grids(GROUPS, AGREE), WITHIN, lambda pairs: verified(close(pairs, nodes), texts))
+    return link_components(nodes, FPS, grids(GROUPS, AGREE), WITHIN, lambda pairs: verified(close(pairs, nodes), texts), BOUND)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ other agree in at least ``a`` groups, so they share a cell in at least one of th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb, log2
 
@@ -76,8 +77,10 @@ def embed(fp: Column) -> Column:
     return fp.bitwiseOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
 
 
-#: Bits of information in a two-bit segment's count; what a pair compared costs against a row dealt to a cell; cells that are cut into blocks.
-SEGMENT_BITS, PAIR_COST, CROWD = log2(8 / 3), 0.2, 1000
+#: Bits of information in a two-bit segment's count; what a pair compared costs against a row dealt to a cell.
+SEGMENT_BITS, PAIR_COST = log2(8 / 3), 0.2
+#: A cell of more nodes than this, and than four times as many as chance puts there, is crowded and cut into blocks of so many. Orders by which cells choose their centres.
+CROWD, ORDERS = 100, 16
 
 
 def grids(groups: int, agree: int) -> list[int]:
@@ -110,41 +113,55 @@ def far(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def link_components(nodes: DataFrame, fps: list[str], masks: list[int], within: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Bound:
+    """What rules a pair out before it is verified: columns of the nodes, and a condition on their names with a suffix for each side."""
+
+    columns: tuple[str, ...]
+    holds: Callable[[str, str], Column]
+
+
+def link_components(nodes: DataFrame, fps: list[str], masks: list[int], within: int, verify: Callable[[DataFrame], DataFrame] | None = None, bound: Bound | None = None) -> DataFrame:
     """``nodes`` (``node`` and fingerprints: longs) -> (node, component) for every node that has a link.
 
     Nodes that share a cell of one of the grids ``masks`` of a fingerprint, and there lie within
     ``within`` bits, are linked if ``verify`` leaves their pair (``a, b``) in.
 
-    Each cell first links its members to its smallest one, which joins most of a group of near
-    copies with as many links as members. Pairs are then looked for only between nodes that this
-    left in different components. Crowded cells that hold a single component are passed over, and
-    others are paired in blocks, so no cell has to fit into a task.
+    Each cell first links its members to one of them, its centre, which joins most of a group of
+    near copies with a few links a member; cells choose by ``ORDERS`` different orders, so that a
+    group has several centres. Pairs are then looked for only between nodes that this left in
+    different components. Crowded cells that hold a single component are passed over, and others
+    are paired in blocks, under ``bound``, so no cell has to fit into a task.
     """
     check = verify or (lambda pairs: pairs)
+    chance = nodes.count() / 2 ** (SEGMENT_BITS * min(m.bit_count() if m >= 0 else (m + 2**64).bit_count() for m in masks) / 2)
+    crowd = max(CROWD, int(4 * chance))
     spots = place(nodes, fps, masks)
-    least = F.min(F.struct("node", "fp"))
-    centres = settle(spots.groupBy("cell").agg(least.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", F.col("c.node").alias("centre"), F.col("c.fp").alias("centre_fp"), "n"), "centres")
+    first_in_order = F.min(F.struct(F.xxhash64("node", F.pmod("cell", F.lit(ORDERS))).alias("at"), "node", "fp"))
+    centres = settle(spots.groupBy("cell").agg(first_in_order.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", F.col("c.node").alias("centre"), F.col("c.fp").alias("centre_fp"), "n"), "centres")
     stars = spots.join(centres.drop("n"), "cell").where((F.col("node") != F.col("centre")) & (far("fp", "centre_fp") <= within))
-    first = settle(components(check(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())), "stars")
+    stars = stars.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+    first = settle(components(check(stars)), "stars")
 
     labelled = settle(nodes.select("node", *fps).join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "nodes")
     spots = place(labelled, fps, masks, "label")
-    crowded = centres.where(F.col("n") > CROWD).select("cell", "n")
+    crowded = centres.where(F.col("n") > crowd).select("cell", "n")
     mixed = spots.join(crowded, "cell").groupBy("cell").agg(F.max("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = settle(mixed.where("low < high").select("cell", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks")), "mixed")
+    mixed = settle(mixed.where("low < high").select("cell", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")), "mixed")
 
-    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        a, b = (df.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in ("node", "fp", "label"))) for s, df in (("a", left), ("b", right)))
-        met = a.join(b, keys).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
+    def meet(left: DataFrame, right: DataFrame, keys: list[str], bound: Bound | None = None) -> DataFrame:
+        columns = ("node", "fp", "label", *(bound.columns if bound else ()))
+        a, b = (df.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s, df in (("a", left), ("b", right)))
         points = F.bit_count(embed(F.col("fp_a")).bitwiseXOR(embed(F.col("fp_b"))))  # the Manhattan distance of the embeddings bounds that of the fingerprints
-        return met.where((points <= within) & (far("fp_a", "fp_b") <= within)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (points <= within) & (far("fp_a", "fp_b") <= within)
+        return a.join(b, keys).where(apart & bound.holds("a", "b") if bound else apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     loose = spots.join(crowded.drop("n"), "cell", "left_anti")
     dense = spots.join(mixed, "cell")
-    pairs = meet(loose, loose, ["cell"]).unionByName(
-        meet(dense.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), dense.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), ["cell", "block"])
-    )
+    if bound:
+        dense = dense.join(nodes.select("node", *bound.columns), "node")
+    dealt = dense.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = meet(loose, loose, ["cell"]).unionByName(meet(dealt, dense.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), ["cell", "block"], bound))
     return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(check(pairs.distinct())))
 
 
