@@ -90,10 +90,11 @@ def join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: li
     return Result(output, evidence, evidence["rows_left"], evidence["rows_out"])
 
 
-#: Least share of left rows that should match, and how often left rows may multiply.
+# Least share of left rows that should match, and how often left rows may multiply.
 MATCH_RATE, MULTIPLICATION = 0.5, 2.0
 ISSUE = "issue string, severity string"
-KEY_EVIDENCE = ("GOVERNED_MAPPING", "USER_CONFIRMED", "PROFILED", "NAME_SIMILARITY_ONLY")
+# How the keys of a join were found.
+KEY_EVIDENCE = ("GOVERNED_MAPPING", "EXPLICIT_USER_MAPPING", "NAME_SIMILARITY_ONLY")
 
 
 def _must_be_unique(cardinality: str | None) -> tuple[bool, bool]:
@@ -102,6 +103,7 @@ def _must_be_unique(cardinality: str | None) -> tuple[bool, bool]:
 
 def declared_issues(left: dict[str, str], right: dict[str, str], left_keys: list[str], right_keys: list[str], key_evidence: str, cardinality: str | None, allow_many_to_many: bool = False, ambiguous: list[str] | None = None) -> list[tuple[str, str]]:
     """What is wrong with a join as it is declared, from the columns' types (name -> type) alone; each issue once."""
+    require([f"unknown key evidence {key_evidence!r}"] * (key_evidence not in KEY_EVIDENCE) + [f"unknown cardinality {cardinality!r}"] * (cardinality not in (None, *CARDINALITY)))
     found = []
     if not left_keys or not right_keys:
         found.append(("NO_JOIN_KEYS", "BLOCKING"))

@@ -195,11 +195,11 @@ for _name, _cardinality in (("one_to_one", "one_to_one"), ("one_to_many", "one_t
 
     @query(f"jn_09_review_{_name}", _sql + "SELECT * FROM i")
     def _(t, cardinality=_cardinality):
-        return joins.review(*_sides(t), ["c_custkey"], ["o_custkey"], "left", "PROFILED", cardinality, match_rate=0.9)
+        return joins.review(*_sides(t), ["c_custkey"], ["o_custkey"], "left", "GOVERNED_MAPPING", cardinality, match_rate=0.9)
 
     @query(f"jn_09_decision_{_name}", _sql + "SELECT CASE WHEN count(*) FILTER (severity = 'BLOCKING') > 0 THEN 'REJECT' ELSE 'APPROVE' END AS decision FROM i")
     def _(t, cardinality=_cardinality):
-        return joins.decision(joins.review(*_sides(t), ["c_custkey"], ["o_custkey"], "left", "PROFILED", cardinality, match_rate=0.9))
+        return joins.decision(joins.review(*_sides(t), ["c_custkey"], ["o_custkey"], "left", "GOVERNED_MAPPING", cardinality, match_rate=0.9))
 
 
 KEY = "(SELECT count(DISTINCT {c}) = count(*) FROM {t})"

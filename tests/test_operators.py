@@ -73,22 +73,22 @@ def test_join_evidence_and_refusals(spark):
 def test_join_review(spark):
     once, twice = (spark.createDataFrame([(k,) for k in ks], "id long") for ks in ([1, 2, 3], [1, 1, 2]))
     kinds = lambda *a, **k: rows(review(*a, **k))
-    assert kinds(once, twice, ["id"], ["id"], "left", "PROFILED", "one_to_one") == [("DUPLICATE_KEY", "BLOCKING")]  # one repeated side is enough
-    assert kinds(once, twice, ["id"], ["id"], "left", "PROFILED", "one_to_many") == []
+    assert kinds(once, twice, ["id"], ["id"], "left", "GOVERNED_MAPPING", "one_to_one") == [("DUPLICATE_KEY", "BLOCKING")]  # one repeated side is enough
+    assert kinds(once, twice, ["id"], ["id"], "left", "GOVERNED_MAPPING", "one_to_many") == []
     far = spark.createDataFrame([(k,) for k in (1, 8, 9)], "id long")
-    low = review(far, once, ["id"], ["id"], "left", "PROFILED", "one_to_one")
+    low = review(far, once, ["id"], ["id"], "left", "GOVERNED_MAPPING", "one_to_one")
     assert rows(low) == [("LOW_MATCH_RATE", "WARNING")] and rows(decision(low)) == [("APPROVE",)]  # warnings approve
     many = spark.createDataFrame([(1,)] * 9, "id long")
-    assert kinds(once, many, ["id"], ["id"], "left", "PROFILED", "one_to_many", match_rate=0.0) == [("AMPLIFICATION_RISK", "WARNING")]
+    assert kinds(once, many, ["id"], ["id"], "left", "GOVERNED_MAPPING", "one_to_many", match_rate=0.0) == [("AMPLIFICATION_RISK", "WARNING")]
     assert kinds(once, once, ["id"], ["id"], "left", "NAME_SIMILARITY_ONLY", "one_to_one") == [("NAME_SIMILARITY_ONLY", "BLOCKING")]
-    assert kinds(once, once, ["id"], ["no"], "left", "PROFILED") == [("CARDINALITY_UNDECLARED", "NEEDS_CLARIFICATION"), ("KEY_MISSING", "BLOCKING")]
-    assert kinds(once, once, [], [], "left", "PROFILED", "one_to_one") == [("NO_JOIN_KEYS", "BLOCKING")]
-    assert kinds(once, once, ["id"], ["id"], "left", "PROFILED", "many_to_many") == [("UNAPPROVED_MANY_TO_MANY", "BLOCKING")]
-    assert rows(decision(review(once, once, ["id"], ["id"], "left", "PROFILED", "one_to_one", ambiguous=["a", "b"]))) == [("CLARIFY",)]
+    assert kinds(once, once, ["id"], ["no"], "left", "GOVERNED_MAPPING") == [("CARDINALITY_UNDECLARED", "NEEDS_CLARIFICATION"), ("KEY_MISSING", "BLOCKING")]
+    assert kinds(once, once, [], [], "left", "GOVERNED_MAPPING", "one_to_one") == [("NO_JOIN_KEYS", "BLOCKING")]
+    assert kinds(once, once, ["id"], ["id"], "left", "GOVERNED_MAPPING", "many_to_many") == [("UNAPPROVED_MANY_TO_MANY", "BLOCKING")]
+    assert rows(decision(review(once, once, ["id"], ["id"], "left", "GOVERNED_MAPPING", "one_to_one", ambiguous=["a", "b"]))) == [("CLARIFY",)]
     key = {"column": "id", "dtype": "bigint", "is_key": True}
-    assert review_profiles([key], [key], ["id"], ["id"], "PROFILED", "one_to_one") == []
-    assert review_profiles([key], [key | {"is_key": False}], ["id"], ["id"], "PROFILED", "one_to_one") == [("UNIQUENESS_UNVERIFIED", "NEEDS_CLARIFICATION")]
-    assert review_profiles([key], [key | {"dtype": "string"}], ["id"], ["id"], "PROFILED", "one_to_one") == [("KEY_DTYPE_MISMATCH", "BLOCKING")]
+    assert review_profiles([key], [key], ["id"], ["id"], "GOVERNED_MAPPING", "one_to_one") == []
+    assert review_profiles([key], [key | {"is_key": False}], ["id"], ["id"], "GOVERNED_MAPPING", "one_to_one") == [("UNIQUENESS_UNVERIFIED", "NEEDS_CLARIFICATION")]
+    assert review_profiles([key], [key | {"dtype": "string"}], ["id"], ["id"], "GOVERNED_MAPPING", "one_to_one") == [("KEY_DTYPE_MISMATCH", "BLOCKING")]
 
 
 def test_overflow_is_refused(spark):
