@@ -119,13 +119,15 @@ def compare(held: DataFrame) -> DataFrame:
     held = held.select(*ROW, "d0", "d1", "d2")
     both = [x for p in (1, 2) for w, salt in ((F.lit(SMALL), 0), (_room(p, 1), 1)) for x in _sides(p, w, salt)]
     results = [settle(_try(held, F.array(*both)), "peeled")]
+    # settled by themselves, failures are as small to the planner as they are, at every size of the whole
+    failed = settle(results[-1].where("differing IS NULL").select(*ROW, "pair"), "failed")
     for attempt in range(2, TRIES + 1):
-        failed = results[-1].where("differing IS NULL").select(*ROW, "pair")
         if failed.isEmpty():
             break
         again = held.join(failed, ROW)
         results.append(settle(_try(again, F.when(F.col("pair") == 1, F.array(*_sides(1, _room(1, attempt), attempt))).otherwise(F.array(*_sides(2, _room(2, attempt), attempt)))), "peeled"))
-    last = held.join(results[-1].where("differing IS NULL").select(*ROW, "pair"), ROW)
+        failed = settle(results[-1].where("differing IS NULL").select(*ROW, "pair"), "failed")
+    last = held.join(failed, ROW)
     other = F.when(F.col("pair") == 1, F.col("d1")).otherwise(F.col("d2"))
     exact = last.select(*ROW, "pair", (F.size(F.array_except("d0", other)) + F.size(F.array_except(other, F.col("d0")))).cast("long").alias("differing"))
     return reduce(DataFrame.unionByName, [r.where("differing IS NOT NULL") for r in results], exact)
