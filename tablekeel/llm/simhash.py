@@ -79,8 +79,8 @@ def embed(fp: Column) -> Column:
 
 #: Bits of information in a two-bit segment's count; what a pair compared costs against a row dealt to a cell.
 SEGMENT_BITS, PAIR_COST = log2(8 / 3), 0.2
-#: A cell of more nodes than this, and than four times as many as chance puts there, is crowded and cut into blocks of so many. Orders by which cells choose their centres.
-CROWD, ORDERS = 100, 16
+#: A cell of more nodes than this, and than four times as many as chance puts there, is crowded; nodes in a block of it. Orders by which cells choose their centres.
+CROWD, BLOCK, ORDERS = 16, 1000, 16
 
 
 def grids(groups: int, agree: int) -> list[int]:
@@ -147,7 +147,7 @@ def link_components(nodes: DataFrame, fps: list[str], masks: list[int], within:
     spots = place(labelled, fps, masks, "label")
     crowded = centres.where(F.col("n") > crowd).select("cell", "n")
     mixed = spots.join(crowded, "cell").groupBy("cell").agg(F.max("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = settle(mixed.where("low < high").select("cell", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")), "mixed")
+    mixed = settle(mixed.where("low < high").select("cell", F.ceil(F.col("n") / max(BLOCK, crowd)).cast("int").alias("blocks")), "mixed")
 
     def meet(left: DataFrame, right: DataFrame, keys: list[str], bound: Bound | None = None) -> DataFrame:
         columns = ("node", "fp", "label", *(bound.columns if bound else ()))
