@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that evidence shows of what was refused or lost.
@@ -68,8 +69,28 @@ def sample(df: DataFrame, n: int = SAMPLE) -> list[dict[str, Any]]:
     return [r.asDict() for r in df.limit(n).collect()]
 
 
+def name(c: str) -> str:
+    """A column's name as Spark takes it, dots and all."""
+    return "`" + c.replace("`", "``") + "`"
+
+
+def quoted(c: str) -> Column:
+    """The column of exactly this name."""
+    return F.col(name(c))
+
+
+def hashable(c: str, t: str) -> Column:
+    return F.to_json(F.struct(quoted(c))) if "map<" in t else quoted(c)
+
+
+def digest(columns: list[tuple[str, str]]) -> list[Column]:
+    """128 hashed bits of several columns, in two halves; nulls count by their place."""
+    cells = [x for c, t in columns for x in (quoted(c).isNull(), hashable(c, t))]
+    return [F.xxhash64(*cells), F.xxhash64(F.lit("second"), *cells)]
+
+
 def null_count(c: str):  # noqa: ANN201
-    return F.count_if(F.col(c).isNull())
+    return F.count_if(quoted(c).isNull())
 
 
 def distinct_with_null(c):  # noqa: ANN001, ANN201
@@ -79,7 +100,7 @@ def distinct_with_null(c):  # noqa: ANN001, ANN201
 
 def exact_sum(c):  # noqa: ANN001, ANN201
     """A sum that does not depend on the order of the rows; of nothing it is 0, and beyond 32 digits it is null. Not-a-number counts as null."""
-    value = (F.col(c) if isinstance(c, str) else c).try_cast("decimal(38,6)")
+    value = (quoted(c) if isinstance(c, str) else c).try_cast("decimal(38,6)")
     return F.when(F.count(value) == 0, F.lit(0).cast("decimal(38,6)")).otherwise(F.try_sum(value))
 
 
@@ -97,3 +118,61 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into the shared folder and read back, so that what follows doesn't compute it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)  # any file system that Spark knows
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _file(spark, path)
+    files.delete(where, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    files, where = _file(spark, new)
+    files.mkdirs(where.getParent())
+    if not files.rename(_file(spark, old)[1], where):
+        raise Refused("INTEGRITY_FAIL", f"{new!r} could not be put in its place")
+
+
+def put(spark: SparkSession, path: str, write: Callable[[str], Any], replace: bool = False) -> Any:
+    """Let ``write`` fill a folder beside ``path``, and move it there when it is whole; nothing appears there before, or if it fails.
+
+    A path that exists is refused, unless it is to be replaced.
+    """
+    require([f"{path!r} exists already"] if not replace and exists(spark, path) else [])
+    pending = f"{path.rstrip('/')}.pending-{uuid.uuid4().hex}"
+    try:
+        got = write(pending)
+        if replace:
+            remove(spark, path)
+        move(spark, pending, path)
+    finally:
+        remove(spark, pending)
+    return got
+
+
+def one_pass(spark: SparkSession, sink: str, plan: DataFrame, check: Callable[[], Result]) -> Result:
+    """Write ``plan``, whose observations ``check`` turns into evidence, to ``sink``; what is refused never appears there."""
+
+    def write(pending: str) -> Result:
+        plan.write.parquet(pending)
+        return check()
+
+    got = put(spark, sink, write)
+    got.output = spark.read.schema(got.output.schema).parquet(sink)
+    return got

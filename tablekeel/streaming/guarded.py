@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekeel.core import Refused
@@ -32,3 +32,19 @@ def run_guarded(stream: DataFrame, baseline: DataFrame, good: str, quarantine: s
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+PROGRESS = "batch long, operator string, metric string, value string"
+
+
+def progress_evidence(query) -> DataFrame:  # noqa: ANN001
+    """Rows ``batch, operator, metric, value`` of what guarded operators counted while a streaming query ran, from the progress that Spark keeps.
+
+    A batch that was run again after a failure appears as often as it ran; batches beyond those that
+    ``spark.sql.streaming.numRecentProgressUpdates`` keeps are gone.
+    """
+    rows = []
+    for p in query.recentProgress:
+        for operator, metrics in (p.observedMetrics or {}).items():
+            rows += [(p.batchId, operator, k, None if v is None else str(v)) for k, v in metrics.asDict().items()]
+    return SparkSession.active().createDataFrame(rows, PROGRESS)
