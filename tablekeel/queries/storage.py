@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablekeel.core import scratch
+from tablekeel.core import move, remove, scratch
+from tablekeel.operators.groups import aggregate
+from tablekeel.operators.rows import cast, select_filter
+from tablekeel.plans.checks import null_rate, run_checks, value_range
+from tablekeel.plans.profile import profile
 from tablekeel.queries.registry import Registry, one_row, refusal
 from tablekeel.sources import tables
 
@@ -45,6 +49,42 @@ def _(t):
     return tables.read_csv(t.spark, _ragged(t), mode="permissive")[1]
 
 
+@query("src_02_quarantine", f"SELECT 'parsed' AS kind, count(*) AS rows, NULL::VARCHAR AS line FROM customer WHERE {WHOLE} UNION ALL SELECT 'rejected', 1, CASE WHEN c_custkey % 10 = 0 THEN concat_ws(',', c_custkey, c_name, c_mktsegment, 'more') ELSE concat_ws(',', c_custkey, c_name) END FROM customer WHERE NOT ({WHOLE}) UNION ALL SELECT 'report', count(*), count(*) FILTER (NOT ({WHOLE})) || ' of ' || count(*) FROM customer")
+def _(t):
+    """One scan sets malformed lines apart as a table; later steps read it as data."""
+    good, report, rejected = tables.read_csv(t.spark, _ragged(t), mode="permissive", quarantine=scratch(t.spark, "quarantine"))
+    parsed = good.agg(F.lit("parsed").alias("kind"), F.count(F.lit(1)).alias("rows"), F.lit(None).cast("string").alias("line"))
+    lines = rejected.select(F.lit("rejected").alias("kind"), F.lit(1).cast("long").alias("rows"), F.col(tables.CORRUPT).alias("line"))
+    told = report.select(F.lit("report").alias("kind"), F.col("rows_seen").alias("rows"), F.concat_ws(" of ", "rows_rejected", "rows_seen").alias("line"))
+    return parsed.unionByName(lines).unionByName(told)
+
+
+def _netted(t) -> str:
+    """Orders as a CSV whose header has a dot in a name."""
+    path = scratch(t.spark, "csv")
+    t.orders.select(F.col("o_orderkey").alias("order key"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice").cast("decimal(12,2)")).alias("net.amount")).write.option("header", True).csv(path)
+    return path
+
+
+@query("src_01_dotted_names", "SELECT o_orderstatus AS status, count(*) AS orders, round(sum(n), 2)::DOUBLE AS total, max(c) AS nulls, max(d) AS distinct_values FROM (SELECT o_orderstatus, n, count(*) FILTER (n IS NULL) OVER () AS c, (SELECT count(DISTINCT o_totalprice::DECIMAL(12, 2)) + 1 FROM orders WHERE o_orderkey % 7 > 0) AS d FROM (SELECT o_orderstatus, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice::DECIMAL(12, 2) END AS n FROM orders)) GROUP BY ALL")
+def _(t):
+    """A column named ``net.amount`` goes through scan, promotion, cast, filter, checks, profile and aggregate."""
+    made = tables.promote(tables.read_csv(t.spark, _netted(t))[0])
+    made = cast(made, [{"column": "net.amount", "target_type": "Float64"}]).output
+    made = select_filter(made, ["status", "net.amount"], [{"column": "order key", "op": ">", "value": -1}]).output
+    failed = run_checks(made, [null_rate("net.amount", 1.0), value_range("net.amount", 0, 1e12)]).where("NOT passed").count()
+    p = next(r for r in profile(made).collect() if r["column"] == "net.amount")
+    out = aggregate(made, ["status"], [{"name": "orders", "fn": "count", "column": "status"}, {"name": "total", "fn": "sum", "column": "net.amount"}], relative=1e-12).output
+    return out.select("status", "orders", F.round("total", 2).alias("total"), F.lit(p["nulls"] + failed).alias("nulls"), F.lit(p["distinct_values"]).alias("distinct_values"))
+
+
+@query("src_01_repeated_header", "SELECT 'VALIDATION_FAIL' AS code FROM region HAVING count(*) > 0")
+def _(t):
+    path = scratch(t.spark, "csv")
+    t.region.select(F.concat_ws(",", "r_regionkey", "r_name").alias("name,Name")).write.option("header", True).option("sep", "|").csv(path)
+    return one_row(t, "code string", refusal(tables.read_csv, t.spark, path).code)
+
+
 @query("src_03_parquet_scan", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(t):
     return tables.read_parquet(t.spark, f"{t.dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
@@ -62,6 +102,19 @@ def _(t):
     return found.agg(F.lit("orders.parquet").alias("name"), F.bool_and(F.length("sha256") == 64).alias("has_digest"), F.bool_and(F.col("size") > 0).alias("has_size"))
 
 
+@query("src_05_digests", "SELECT 2 * count(DISTINCT o_orderkey % 3) AS files, count(DISTINCT o_orderkey % 3) AS digests, true AS equal_bytes, true AS same_as_whole_files FROM orders")
+def _(t):
+    """Three tables stored twice: digests are those of the whole files' bytes, and equal bytes have equal ones."""
+    root = scratch(t.spark, "files")
+    for copy in range(2):
+        for part in range(3):
+            t.orders.where(F.col("o_orderkey") % 3 == part).orderBy("o_orderkey").coalesce(1).write.option("header", True).csv(f"{root}/copy={copy}/part={part}")
+    found = tables.manifest(t.spark, root)
+    whole = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("whole"))
+    both = found.join(whole, "name", "full").groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("sha256").eqNullSafe(F.col("whole"))).alias("same"))
+    return both.agg(F.sum("n").cast("int").alias("files"), F.count(F.lit(1)).cast("int").alias("digests"), F.bool_and(F.col("n") == 2).alias("equal_bytes"), F.bool_and("same").alias("same_as_whole_files"))
+
+
 @query("src_06_snapshot", "SELECT * FROM orders")
 def _(t):
     root = scratch(t.spark, "snapshots")
@@ -113,6 +166,20 @@ def _(t):
     return tables.verify(t.spark, made).where("status <> 'OK'").select("status").distinct()
 
 
+@query("snk_03_missing_and_changed", "SELECT 'part' AS part, 'MISSING' AS status, 1 AS n FROM orders HAVING count(*) > 0 UNION ALL SELECT 'part', 'CHANGED', 1 UNION ALL SELECT 'part', 'OK', 2 UNION ALL SELECT 'row_count', 'CHANGED', 1")
+def _(t):
+    """Of four parts of an export one is deleted and one is written anew with other rows."""
+    made = tables.export(t.orders.repartition(4, "o_orderkey"), "parquet", scratch(t.spark, "export"))
+    first, second = sorted(r[0] for r in t.spark.read.parquet(made["parts"]).select("name").collect())[:2]  # four names
+    remove(t.spark, f"{made['path']}/{first}")
+    other = scratch(t.spark, "other")
+    t.orders.where("o_orderkey < 100").coalesce(1).write.parquet(other)
+    remove(t.spark, f"{made['path']}/{second}")
+    move(t.spark, next(p for p in t.spark.read.parquet(other).inputFiles()), f"{made['path']}/{second}")
+    found = tables.verify(t.spark, made)
+    return found.groupBy(F.when(F.col("part") == "row_count", "row_count").otherwise("part").alias("part"), "status").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @query("snk_04_stage_materialisation", "SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey")
 def _(t):
     root = scratch(t.spark, "stages")
