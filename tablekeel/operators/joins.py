@@ -9,49 +9,98 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeel.core import Refused, Result, missing, require, sample
+from tablekeel.core import Refused, Result, hashable, missing, name, quoted, require, sample, stored
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 CARDINALITY = ("one_to_one", "one_to_many", "many_to_one", "many_to_many")
 
 
-def _check(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> None:
+#: Rows of a key on one side from which on they are split over several tasks, and how many keys are split at most, the largest first.
+HOT_ROWS, MOST_HOT = 1_000_000, 10_000
+
+
+def _right_names(left: DataFrame, right: DataFrame) -> dict[str, str]:
+    taken = set(left.columns)
+    return {c: c if c not in taken else f"{c}_right" for c in right.columns}
+
+
+def _check(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str | None = None) -> None:
     problems = missing(left, left_keys) + missing(right, right_keys)
+    problems += [f"column {c!r} occurs twice" for df in (left, right) for c in dict.fromkeys(df.columns) if df.columns.count(c) > 1]
     if not left_keys or len(left_keys) != len(right_keys):
         problems.append("the key lists are empty or differ in length")
     if not problems:
         lt, rt = dict(left.dtypes), dict(right.dtypes)
         problems += [f"key types differ: {a} {lt[a]}, {b} {rt[b]}" for a, b in zip(left_keys, right_keys, strict=True) if lt[a] != rt[b]]
+    if how:
+        made = [*left.columns, *(n for c, n in _right_names(left, right).items() if how == "outer" or c not in right_keys)]
+        problems += [f"the join would have two columns {c!r}" for c in dict.fromkeys(made) if made.count(c) > 1]
     require(problems)
 
 
 def _on(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> Column:
-    return reduce(and_, (left[a] == right[b] for a, b in zip(left_keys, right_keys, strict=True)))
+    return reduce(and_, (left[name(a)] == right[name(b)] for a, b in zip(left_keys, right_keys, strict=True)))
 
 
-def plain_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str) -> DataFrame:
-    """Keys are merged but for ``outer``; other right columns that clash get ``_right``. Null keys match nothing."""
-    taken = set(left.columns)
-    names = {c: c if c not in taken else f"{c}_right" for c in right.columns}
-    renamed = right.select(*[right[c].alias(f"_r_{c}") for c in right.columns])
-    joined = left.join(renamed, reduce(and_, (left[a] == renamed[f"_r_{b}"] for a, b in zip(left_keys, right_keys, strict=True))), HOW[how])
+def plain_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str, kind: str | None = None) -> DataFrame:
+    """Keys are merged but for ``outer``; other right columns that clash get ``_right``. Null keys match nothing. ``kind`` joins otherwise than ``how``, whose columns it has."""
+    names = _right_names(left, right)
+    renamed = right.select(*[right[name(c)].alias(f"_r_{c}") for c in right.columns])
+    other = {c: renamed[name(f"_r_{c}")] for c in right.columns}
+    joined = left.join(renamed, reduce(and_, (left[name(a)] == other[b] for a, b in zip(left_keys, right_keys, strict=True))), HOW[kind or how])
     of = dict(zip(left_keys, right_keys, strict=True))
-    own = [F.coalesce(left[c], renamed[f"_r_{of[c]}"]).alias(c) if how == "right" and c in of else left[c] for c in left.columns]
-    rest = [renamed[f"_r_{c}"].alias(names[c]) for c in right.columns if how == "outer" or c not in right_keys]
+    own = [F.coalesce(left[name(c)], other[of[c]]).alias(c) if how == "right" and c in of else left[name(c)] for c in left.columns]
+    rest = [other[c].alias(names[c]) for c in right.columns if how == "outer" or c not in right_keys]
     return joined.select(*own, *rest)
 
 
+def hot_keys(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``k0, k1, ..., lc, rc``: keys that both sides have and one of them in at least ``hot_rows`` rows, the ``MOST_HOT`` most frequent ones."""
+    l, r = key_counts(left, left_keys, "lc"), key_counts(right, right_keys, "rc")
+    both = l.join(r, [f"k{i}" for i in range(len(left_keys))])
+    return both.where(F.greatest("lc", "rc") >= hot_rows).orderBy(F.desc(F.greatest("lc", "rc"))).limit(MOST_HOT)
+
+
+def split_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str, hot: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same rows as ``plain_join``, with the rows of ``hot`` keys (see ``hot_keys``; the number of its rows is bounded) spread.
+
+    The side that has more rows of a hot key is dealt to as many salts as it takes for ``hot_rows``
+    each, the rows of the other side go to every salt. Both sides have these keys, so all their
+    rows match and only the other keys need the outer kinds of join.
+    """
+    marks = [f"_k{i}" for i in range(len(left_keys))]
+    salts, left_is_split = F.ceil(F.greatest("lc", "rc") / hot_rows).cast("int").alias("_salts"), (F.col("lc") >= F.col("rc")).alias("_left")
+    found = F.broadcast(stored(hot.select(*[F.col(f"k{i}").alias(m) for i, m in enumerate(marks)], salts, left_is_split), "hot"))
+
+    def dealt(df: DataFrame, keys: list[str], is_left: bool) -> tuple[DataFrame, DataFrame]:
+        on = reduce(and_, (df[name(k)] == found[m] for k, m in zip(keys, marks, strict=True)))
+        # by the row and where it lies: equal rows are spread too, and a repeated task salts as before
+        one = F.array(F.pmod(F.xxhash64(F.spark_partition_id(), *[hashable(c, t) for c, t in df.dtypes]), F.col("_salts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("_salts") - 1)
+        salted = df.join(found, on).withColumn("_salt", F.explode(F.when(F.col("_left") == is_left, one).otherwise(every)))
+        return df.join(found, on, "left_anti"), salted.select(*map(quoted, df.columns), "_salt")
+
+    (cold_l, hot_l), (cold_r, hot_r) = dealt(left, left_keys, True), dealt(right, right_keys, False)
+    spread = plain_join(hot_l, hot_r, [*left_keys, "_salt"], [*right_keys, "_salt"], how, "inner").drop("_salt", "_salt_right")
+    return plain_join(cold_l, cold_r, left_keys, right_keys, how).unionByName(spread)
+
+
 def unmatched(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> DataFrame:
-    """Left rows without a partner; rows with a null key are among them."""
-    return left.join(right, _on(left, right, left_keys, right_keys), "left_anti")
+    """Left rows without a partner; rows with a null key are among them. Of the right side only distinct keys are shuffled."""
+    keys = right.select(*[right[name(k)].alias(f"_r_{k}") for k in right_keys]).distinct()
+    return left.join(keys, reduce(and_, (left[name(a)] == keys[name(f"_r_{b}")] for a, b in zip(left_keys, right_keys, strict=True))), "left_anti")
 
 
 def key_counts(df: DataFrame, keys: list[str], n: str) -> DataFrame:
-    return df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias(n))
+    return df.groupBy(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias(n))
 
 
 def join_evidence(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str = "inner") -> DataFrame:
     """One row: rows and unmatched rows of each side, matched pairs, match rates, rows out and how often left rows multiply."""
+    return _evidence(left, right, left_keys, right_keys, how).drop("hottest")
+
+
+def _evidence(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str) -> DataFrame:
     l, r = key_counts(left, left_keys, "lc"), key_counts(right, right_keys, "rc")
     pairs = l.join(r, [l[f"k{i}"] == r[f"k{i}"] for i in range(len(left_keys))], "full")
     zero = F.lit(0).cast("long")
@@ -62,32 +111,43 @@ def join_evidence(left: DataFrame, right: DataFrame, left_keys: list[str], right
         F.coalesce(F.sum(F.when(F.col("lc").isNull(), F.col("rc"))), zero).alias("unmatched_right"),
         F.coalesce(F.sum(F.when(F.col("lc") > 1, F.lit(1)).otherwise(0)), zero).alias("duplicate_keys_left"),
         F.coalesce(F.sum(F.when(F.col("rc") > 1, F.lit(1)).otherwise(0)), zero).alias("duplicate_keys_right"),
+        F.coalesce(F.max(F.when(F.col("lc").isNotNull() & F.col("rc").isNotNull(), F.greatest("lc", "rc"))), zero).alias("hottest"),
     )
     out = F.col("matched") + (F.col("unmatched_left") if how in ("left", "outer") else 0) + (F.col("unmatched_right") if how in ("right", "outer") else 0)
 
     def rate(lost: str, all_: str) -> Column:
         return F.when(F.col(all_) == 0, 1.0).otherwise(1 - F.col(lost) / F.col(all_))
 
-    return sums.withColumns({"match_rate_left": rate("unmatched_left", "rows_left"), "match_rate_right": rate("unmatched_right", "rows_right"), "rows_out": out}).withColumn("multiplication", F.when(F.col("rows_left") == 0, 1.0).otherwise(F.col("rows_out") / F.col("rows_left")))
+    rates = sums.withColumns({"match_rate_left": rate("unmatched_left", "rows_left"), "match_rate_right": rate("unmatched_right", "rows_right"), "rows_out": out})
+    return rates.withColumn("multiplication", F.when(F.col("rows_left") == 0, 1.0).otherwise(F.col("rows_out") / F.col("rows_left")))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+    return df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+
 
+def join(
+    left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str, expected_cardinality: str, allow_many_to_many: bool = False, guard: bool = True, hot_rows: int = HOT_ROWS
+) -> Result:
+    """Join after checking that keys are as unique as ``expected_cardinality`` says; several null keys count as a duplicate.
 
-def join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str, expected_cardinality: str, allow_many_to_many: bool = False, guard: bool = True) -> Result:
-    """Join after checking that keys are as unique as ``expected_cardinality`` says; several null keys count as a duplicate."""
-    _check(left, right, left_keys, right_keys)
-    require([f"unknown join {how!r}"] * (how not in HOW) + [f"unknown cardinality {expected_cardinality!r}"] * (expected_cardinality not in CARDINALITY) + ["many_to_many must be allowed explicitly"] * (expected_cardinality == "many_to_many" and not allow_many_to_many))
-    output = plain_join(left, right, left_keys, right_keys, how)
+    The key counts of the guard also tell whether a key that both sides have is hot; such keys are
+    joined apart, see ``split_join``. ``hot_keys`` in the evidence is their number.
+    """
+    problems = [f"unknown join {how!r}"] * (how not in HOW) + [f"unknown cardinality {expected_cardinality!r}"] * (expected_cardinality not in CARDINALITY)
+    require(problems + ["many_to_many must be allowed explicitly"] * (expected_cardinality == "many_to_many" and not allow_many_to_many))
+    _check(left, right, left_keys, right_keys, how)
     if not guard:
-        return Result(output)
-    evidence = join_evidence(left, right, left_keys, right_keys, how).first().asDict()
+        return Result(plain_join(left, right, left_keys, right_keys, how))
+    evidence = _evidence(left, right, left_keys, right_keys, how).first().asDict()
     for side, df, keys, unique in (("left", left, left_keys, ("one_to_one", "one_to_many")), ("right", right, right_keys, ("one_to_one", "many_to_one"))):
         if expected_cardinality in unique and evidence[f"duplicate_keys_{side}"]:
             evidence["duplicates"] = sample(duplicate_keys(df, keys))
             raise Refused("DATA_QUALITY_BLOCK", f"{evidence[f'duplicate_keys_{side}']} keys of the {side} side repeat, {expected_cardinality} was declared", evidence)
-    return Result(output, evidence, evidence["rows_left"], evidence["rows_out"])
+    if evidence.pop("hottest") < hot_rows:
+        return Result(plain_join(left, right, left_keys, right_keys, how), evidence | {"hot_keys": 0}, evidence["rows_left"], evidence["rows_out"])
+    hot = stored(hot_keys(left, right, left_keys, right_keys, hot_rows), "hot")
+    return Result(split_join(left, right, left_keys, right_keys, how, hot, hot_rows), evidence | {"hot_keys": hot.count()}, evidence["rows_left"], evidence["rows_out"])
 
 
 # Least share of left rows that should match, and how often left rows may multiply.
