@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekeel.core import Refused, Result, distinct_with_null, missing, require, sample
@@ -18,17 +20,26 @@ def collapses(df: DataFrame, column: str, steps: list[str]) -> DataFrame:
     return pairs.groupBy("cleaned").agg(F.count(F.lit(1)).alias("values")).where("values > 1")
 
 
+def pattern_problems(spark: SparkSession, pattern: str) -> list[str]:
+    """What Python's or Java's patterns have against this one; it has to mean something in both."""
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        return [f"pattern {pattern!r}: {e}"]
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException) as e:
+        return [f"pattern {pattern!r}: {str(e).splitlines()[0]}"]
+    return []
+
+
 def text_clean(df: DataFrame, normalize: list[dict[str, Any]] | None = None, regex_extract: list[dict[str, Any]] | None = None, regex_replace: list[dict[str, Any]] | None = None, allow_identity_collapse: bool = False, guard: bool = True) -> Result:
     """Normalise columns by steps in order, extract groups into new columns, replace in place."""
     normalize, regex_extract, regex_replace = normalize or [], regex_extract or [], regex_replace or []
     problems = missing(df, [x["column"] for x in [*normalize, *regex_extract, *regex_replace]])
     problems += [f"unknown step {s!r}" for x in normalize for s in x["steps"] if s not in STEPS]
     problems += [f"column {x['output_column']!r} exists already" for x in regex_extract if x["output_column"] in df.columns]
-    for x in [*regex_extract, *regex_replace]:
-        try:
-            re.compile(x["pattern"])
-        except re.error as e:
-            problems.append(f"pattern {x['pattern']!r}: {e}")
+    problems += [p for x in [*regex_extract, *regex_replace] for p in pattern_problems(df.sparkSession, x["pattern"])]
     require(problems)
     # one chain of steps; what a step met on its way is kept beside it for the evidence
     chain, cleaned = df, list(dict.fromkeys(x["column"] for x in normalize))

@@ -61,6 +61,7 @@ def run_pipeline(spec: dict[str, Any], sources: dict[str, DataFrame], run: str =
     (``stored_evidence``). Without, tables stay lazy.
     """
     ordered = check_spec(spec)
+    require([f"source {n!r} is not given" for n in spec["sources"] if n not in sources])
     for s in ordered:
         lookup(s["op"])
     spark = next(iter(sources.values())).sparkSession
