@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablekeel.core import quoted
+
 # Column names that tell of personal data, in the order in which they are tried.
 NAMES = (
     ("authentication_secret", r"password|passwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|credential"),
@@ -40,6 +42,9 @@ PROMPTS = (
     r"you are now (a|an|the)\b", r"act as (an?|the) (admin|root|system) (user|account)?", r"\bnew instructions?\s*:", r"\bsystem prompt\b",
 )
 PAYLOADS = (r";\s*drop\s+table\b", r"\bunion\s+select\b", r"\$\([^)]*\)", r"`[^`]+`", r"<script[\s>]", r"\bos\.system\(", r"\bexec\(", r"\beval\(")
+#: What every match of these patterns holds, in small letters: only cells that hold one are looked at by pattern.
+PROMPT_WORDS = ("ignore ", "disregard ", "reveal ", "you are now ", "act as ", "new instruction", "system prompt")
+PAYLOAD_WORDS = ("drop", "union", "$(", "`", "<script", "os.system(", "exec(", "eval(")
 # Fixed value: what stands for a masked cell.
 MASK = "***MASKED***"
 
@@ -50,7 +55,7 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def value_rates(df: DataFrame) -> DataFrame:
     """Rows ``column, kind, rate``: the share of a text column's non-empty values that have each shape, over the whole column."""
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.coalesce(F.count_if(F.col(c).rlike(p)) / F.nullif(F.count_if(F.col(c) != ""), F.lit(0)), F.lit(0.0)).alias("rate")) for c in text_columns(df) for k, p in VALUES]
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.coalesce(F.count_if(quoted(c).rlike(p)) / F.nullif(F.count_if(quoted(c) != ""), F.lit(0)), F.lit(0.0)).alias("rate")) for c in text_columns(df) for k, p in VALUES]
     return df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
@@ -79,29 +84,33 @@ def classify_fields(df: DataFrame, least: float = 0.5) -> DataFrame:
 
 def mask(df: DataFrame, access: dict[str, str]) -> DataFrame:
     """Drop columns whose access is DENY and replace those to MASK; works on streams."""
-    return df.select(*[F.lit(MASK).alias(c) if access.get(c) == "MASK" else F.col(c) for c in df.columns if access.get(c) != "DENY"])
+    return df.select(*[F.lit(MASK).alias(c) if access.get(c) == "MASK" else quoted(c) for c in df.columns if access.get(c) != "DENY"])
 
 
 def is_formula(c: Column) -> Column:
     return F.substring(c, 1, 1).isin(*FORMULA)
 
 
-def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(or_, (c.rlike(f"(?i){p}") for p in patterns))
+def any_of(c: Column, patterns: tuple[str, ...], words: tuple[str, ...], low: Column | None = None) -> Column:
+    """Whether a cell matches any of the patterns, whatever its case: one pattern for all, on cells that hold one of the ``words``; ``low`` is the cell in small letters."""
+    low = F.lower(c) if low is None else low
+    return F.when(reduce(or_, (F.contains(low, F.lit(w)) for w in words)), c.rlike(f"(?i)(?:{'|'.join(patterns)})")).otherwise(c.isNotNull() & F.lit(False))
 
 
-#: kind -> (test, severity, action)
+#: kind -> (test of a cell and of the cell in small letters, severity, action)
 SCANS = {
-    "formula_injection": (is_formula, "HIGH", "SANITIZE"),
-    "prompt_injection": (lambda c: any_of(c, PROMPTS), "MEDIUM", "SANITIZE"),
-    "dangerous_payload": (lambda c: any_of(c, PAYLOADS), "HIGH", "SANITIZE"),
+    "formula_injection": (lambda c, low=None: is_formula(c), "HIGH", "SANITIZE"),
+    "prompt_injection": (lambda c, low=None: any_of(c, PROMPTS, PROMPT_WORDS, low), "MEDIUM", "SANITIZE"),
+    "dangerous_payload": (lambda c, low=None: any_of(c, PAYLOADS, PAYLOAD_WORDS, low), "HIGH", "SANITIZE"),
 }
 
 
 def scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows ``column, kind, cells, severity, action`` for text columns with flagged cells, from one aggregate."""
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.count_if(test(F.col(c))).alias("cells"), F.lit(s).alias("severity"), F.lit(a).alias("action")) for c in columns or text_columns(df) for k, (test, s, a) in SCANS.items()]
-    return df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*").where("cells > 0")
+    """Rows ``column, kind, cells, severity, action`` for text columns with flagged cells, from one aggregate over one scan."""
+    wanted = columns or text_columns(df)
+    both = df.select(*[x for i, c in enumerate(wanted) for x in (quoted(c).alias(f"c{i}"), F.lower(quoted(c)).alias(f"l{i}"))])
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.count_if(test(F.col(f"c{i}"), F.col(f"l{i}"))).alias("cells"), F.lit(s).alias("severity"), F.lit(a).alias("action")) for i, c in enumerate(wanted) for k, (test, s, a) in SCANS.items()]
+    return both.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*").where("cells > 0")
 
 
 def decision(flags: DataFrame) -> DataFrame:
@@ -111,11 +120,12 @@ def decision(flags: DataFrame) -> DataFrame:
 
 def defuse(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Put an apostrophe before cells that a spreadsheet would take for formulas."""
-    return df.withColumns({c: F.when(is_formula(F.col(c)), F.concat(F.lit("'"), F.col(c))).otherwise(F.col(c)) for c in columns or text_columns(df)})
+    changed = set(columns or text_columns(df))
+    return df.select(*[F.when(is_formula(quoted(c)), F.concat(F.lit("'"), quoted(c))).otherwise(quoted(c)).alias(c) if c in changed else quoted(c) for c in df.columns])
 
 
 def wrap_untrusted(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.concat(F.lit("[UNTRUSTED_DATA]"), F.col(c), F.lit("[/UNTRUSTED_DATA]")) for c in columns})
+    return df.select(*[F.concat(F.lit("[UNTRUSTED_DATA]"), quoted(c), F.lit("[/UNTRUSTED_DATA]")).alias(c) if c in columns else quoted(c) for c in df.columns])
 
 
 def safe_sample(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeel.core import Refused, Result, exact_sum, missing, require, spark_type
+from tablekeel.core import Refused, Result, digest, exact_sum, missing, quoted, require, spark_type
 from tablekeel.operators.joins import join_evidence
 
 RESULT = "check_id string, observed double, expected double, tolerance double, passed boolean, severity string"
@@ -36,18 +36,37 @@ AT_MOST = lambda observed, expected: observed <= expected
 
 
 def null_rate(column: str, max_rate: float, severity: str = "BLOCKING") -> Check:
-    return Check(f"null_rate:{column}", F.coalesce(F.avg(F.isnull(column).cast("double")), F.lit(0.0)), max_rate, AT_MOST, (column,), 0.0, severity)
+    return Check(f"null_rate:{column}", F.coalesce(F.avg(quoted(column).isNull().cast("double")), F.lit(0.0)), max_rate, AT_MOST, (column,), 0.0, severity)
 
 
 def value_range(column: str, low: Any = None, high: Any = None, severity: str = "BLOCKING") -> Check:
     outside = F.lit(False)
-    for bound, test in ((low, lambda: F.col(column) < low), (high, lambda: F.col(column) > high)):
+    for bound, test in ((low, lambda: quoted(column) < low), (high, lambda: quoted(column) > high)):
         outside = outside | test() if bound is not None else outside
     return Check(f"range:{column}", F.count_if(outside), 0, AT_MOST, (column,), 0.0, severity)
 
 
 def allowed_values(column: str, allowed: list[Any], severity: str = "BLOCKING") -> Check:
-    return Check(f"allowed_values:{column}", F.count_if(F.col(column).isNotNull() & ~F.col(column).isin(allowed)), 0, AT_MOST, (column,), 0.0, severity)
+    return Check(f"allowed_values:{column}", F.count_if(quoted(column).isNotNull() & ~quoted(column).isin(allowed)), 0, AT_MOST, (column,), 0.0, severity)
+
+
+#: Values of a list that is sent to every task; a longer one is joined by a shuffle.
+MOST_ALLOWED = 1_000_000
+
+
+def allowed_in(df: DataFrame, column: str, allowed: DataFrame, severity: str = "BLOCKING", most: int = MOST_ALLOWED) -> DataFrame:
+    """Values of ``column`` that are not in the one column of the table ``allowed``, nulls ignored; the list may be of any size.
+
+    The values are counted first, so that a frequent one is a row, and the list is sent to all
+    tasks if it has at most ``most`` values.
+    """
+    require(missing(df, [column]) + [f"the list has {len(allowed.columns)} columns"] * (len(allowed.columns) != 1))
+    listed = allowed.toDF("_allowed").where("_allowed IS NOT NULL").distinct()
+    if listed.limit(most + 1).count() <= most:
+        listed = F.broadcast(listed)  # of the size just counted
+    n = df.where(quoted(column).isNotNull()).groupBy(quoted(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    lost = n.join(listed, F.col("_value") == F.col("_allowed"), "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("o"))
+    return _result(lost, f"allowed_values:{column}", F.col("o"), F.lit(0), 0, F.col("o") == 0, severity)
 
 
 def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
@@ -71,13 +90,15 @@ def _result(df: DataFrame, check_id: str, observed: Column, expected: Column, to
 
 
 def no_duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """Observed are all rows that have an equal; a null equals a null."""
+    """Observed are all rows that have an equal; a null equals a null. Only 128 hashed bits of each row are shuffled."""
     keys = subset or df.columns
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("o"))
+    require(missing(df, keys))
+    kinds = dict(df.dtypes)
+    n = df.select(*digest([(k, kinds[k]) for k in keys])).toDF("one", "two").groupBy("one", "two").agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("o"))
     return _result(n, f"unique:{','.join(keys)}", F.col("o"), F.lit(0), 0, F.col("o") == 0)
 
 
-TOTALS = {"sum": exact_sum, "count": lambda c: F.count(c), "mean": lambda c: F.coalesce(exact_sum(c).cast("double") / F.nullif(F.count(c), F.lit(0)), F.lit(0.0))}
+TOTALS = {"sum": exact_sum, "count": lambda c: F.count(quoted(c)), "mean": lambda c: F.coalesce(exact_sum(c).cast("double") / F.nullif(F.count(quoted(c)), F.lit(0)), F.lit(0.0))}
 
 
 def _compare(a: DataFrame, b: DataFrame, check_id: str, tolerance: float, relative: float = 0.0) -> DataFrame:
@@ -118,8 +139,9 @@ def dual_computation(df: DataFrame, column: str, agg: str = "sum", tolerance: fl
 
     ``relative`` allows for what doubles lose while large totals are added up.
     """
-    plain = {"sum": F.coalesce(F.sum(F.col(column).cast("double")), F.lit(0.0)), "count": F.count(column).cast("double"), "mean": F.coalesce(F.avg(F.col(column).cast("double")), F.lit(0.0))}
-    exact = df.where(F.col(column).isNotNull()).agg(TOTALS[agg](column).cast("double").alias("b"))
+    value = quoted(column).cast("double")
+    plain = {"sum": F.coalesce(F.sum(value), F.lit(0.0)), "count": F.count(quoted(column)).cast("double"), "mean": F.coalesce(F.avg(value), F.lit(0.0))}
+    exact = df.where(quoted(column).isNotNull()).agg(TOTALS[agg](column).cast("double").alias("b"))
     return _compare(df.agg(plain[agg].alias("a")), exact, f"dual:{agg}({column})", tolerance, relative)
 
 
@@ -149,32 +171,37 @@ def validate_schema(df: DataFrame, **rules: Any) -> Result:
     return Result(df, {"results": results})
 
 
+def _lost(c: Check) -> tuple:
+    return (c.check_id, None, float(c.expected), float(c.tolerance), False, c.severity)
+
+
+def _attempt(run: Callable[[], DataFrame]) -> list[tuple] | None:
+    """Rows of a result, a row a check; None if it can't be planned or fails while it runs."""
+    try:
+        return [tuple(r) for r in run().select("check_id", "observed", "expected", "tolerance", "passed", "severity").collect()]
+    except Exception:  # noqa: BLE001 - whatever goes wrong in a check, it has failed and the others stay
+        return None
+
+
 def run_suite(stages: dict[str, DataFrame], suite: list[dict[str, Any]]) -> DataFrame:
     """Run check specs over named tables: ``{stage, check}`` with a ``Check``, or ``{stages: (before, after), run}`` for two tables.
 
-    Checks of one stage share a pass. A stage that is missing, or a check that can't be planned,
-    is a failed result.
+    Checks of one stage share a pass; if that pass fails, they run one by one. A stage that is
+    missing, and a check that can't be planned or fails while it runs, is a failed result. The
+    results are there when this returns.
     """
     spark = next(iter(stages.values())).sparkSession
-    parts, lost = [], []
+    rows: list[tuple] = []
     for stage in dict.fromkeys(s["stage"] for s in suite if "check" in s):
         checks = [s["check"] for s in suite if s.get("stage") == stage and "check" in s]
-        if stage in stages:
-            parts.append(run_checks(stages[stage], checks))
-        else:
-            lost += [(c.check_id, None, float(c.expected), float(c.tolerance), False, c.severity) for c in checks]
+        table = stages.get(stage)
+        together = _attempt(lambda t=table, cs=checks: run_checks(t, cs)) if table is not None else [_lost(c) for c in checks]
+        rows += together if together is not None else [r for c in checks for r in _attempt(lambda t=table, c=c: run_checks(t, [c])) or [_lost(c)]]
     for s in suite:
         if "run" in s:
-            try:
-                parts.append(s["run"](*(stages[x] for x in s["stages"])))
-            except Exception:  # noqa: BLE001
-                lost.append((s.get("check_id", "check"), None, None, None, False, "BLOCKING"))
-    if lost:
-        parts.append(spark.createDataFrame(lost, RESULT))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            found = _attempt(lambda s=s: s["run"](*(stages[x] for x in s["stages"])))
+            rows += found if found is not None else [(s.get("check_id", "check"), None, None, None, False, "BLOCKING")]
+    return spark.createDataFrame(rows, RESULT)
 
 
 def report(results: DataFrame) -> DataFrame:

@@ -40,7 +40,9 @@ def map_concepts(concepts: DataFrame, profiles: DataFrame, dimensions: DataFrame
 
     Rows ``concept, dataset, column, dtype, nulls, rows, status, confidence, note``: MAPPED with HIGH
     confidence if qualified or by alias, MEDIUM if bare and unique; AMBIGUOUS with several hits,
-    MISSING with none or where a monetary concept meets a column that is not numeric.
+    MISSING with none or where a monetary concept meets a column that is not numeric. What is not
+    mapped has LOW confidence and names the dataset and column that were asked for; several
+    dimensions of an alias name none.
     """
     asked = concepts.select("concept").withColumn("term", F.col("concept")).withColumn("governed", F.lit(False))
     if dimensions is not None:
@@ -50,7 +52,9 @@ def map_concepts(concepts: DataFrame, profiles: DataFrame, dimensions: DataFrame
     qualified = asked.where(F.col("term").contains(".")).join(p, F.col("term") == F.concat_ws(".", "dataset", "column"), "left").withColumn("sure", F.lit("HIGH"))
     bare = asked.where(~F.col("term").contains(".")).join(p, F.col("term") == F.col("column"), "left").withColumn("sure", F.when(F.col("governed"), "HIGH").otherwise("MEDIUM"))
     hits = qualified.unionByName(bare)
-    one = hits.groupBy("concept").agg(F.count("column").alias("hits"), *[F.min(c).alias(c) for c in ("dataset", "column", "dtype", "nulls", "rows", "sure")])
+    one = hits.groupBy("concept").agg(
+        F.count("column").alias("hits"), F.count_distinct("term").alias("terms"), *[F.min(c).alias(c) for c in ("term", "dataset", "column", "dtype", "nulls", "rows", "sure")]
+    )
     money = F.col("concept").rlike(f"(?i){MONEY}") & ~F.col("dtype").rlike(NUMERIC)
     found = F.col("hits") == 1
     role = F.lit(None).cast("string")
@@ -58,8 +62,12 @@ def map_concepts(concepts: DataFrame, profiles: DataFrame, dimensions: DataFrame
         role = F.when(F.col("column").rlike(f"(?i){pattern}"), f"time_role={name}").otherwise(role)
     note = F.when(found & (F.col("concept").rlike(f"(?i){IDENTIFIER}") | F.col("column").rlike(f"(?i){IDENTIFIER}")) & (F.col("nulls") > 0), "identifier with nulls").when(found & F.col("dtype").rlike(DATED), role)
     status = F.when(F.col("hits") == 0, "MISSING").when(F.col("hits") > 1, "AMBIGUOUS").when(money, "MISSING").otherwise("MAPPED")
+    term, named = F.col("term"), F.col("terms") == 1
+    dataset = F.when(found, F.col("dataset")).when(named & term.contains("."), F.substring_index(term, ".", 1))
+    column = F.when(found, F.col("column")).when(named, F.regexp_replace(term, r"^[^.]*\.", ""))
     kept = lambda c: F.when(found, F.col(c)).alias(c)
-    return one.select("concept", *map(kept, ("dataset", "column", "dtype", "nulls", "rows")), status.alias("status"), F.when(found, F.when(money, "LOW").otherwise(F.col("sure"))).alias("confidence"), note.alias("note"))
+    sure = F.when(found & ~money, F.col("sure")).otherwise("LOW")
+    return one.select("concept", dataset.alias("dataset"), column.alias("column"), *map(kept, ("dtype", "nulls", "rows")), status.alias("status"), sure.alias("confidence"), note.alias("note"))
 
 
 def blocking_items(mapping: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def blocking_items(mapping: DataFrame) -> DataFrame:
 
 
 def assess(mapping: DataFrame, profiles: DataFrame, datasets: DataFrame, currency: str | None = None, needs_time: bool = False) -> DataFrame:
-    """Issues ``rule, severity`` of mapped fields and their tables; ``datasets`` has ``dataset, rows, duplicate_rows``."""
+    """Issues ``rule, severity`` of mapped fields and their tables; ``datasets`` has ``dataset, rows, duplicate_rows``. A table without rows needs no key."""
     mapped = mapping.where("status = 'MAPPED'").select("concept", "dataset", "column").join(profiles, ["dataset", "column"])
     field = F.concat_ws(".", "dataset", "column")
 
@@ -81,12 +89,12 @@ def assess(mapping: DataFrame, profiles: DataFrame, datasets: DataFrame, currenc
     parts = [
         issues(mapped.where("nulls > 0"), "completeness", field, F.when(rate > MOSTLY_NULL, "BLOCKING").otherwise("REQUIRES_RULE")),
         issues(mapped.where("folded_values < distinct_values"), "text_formatting", field, F.lit("REQUIRES_RULE")),
-        issues(profiles.groupBy("dataset").agg(F.bool_or("is_key").alias("k")).where("NOT k"), "candidate_key", F.col("dataset"), F.lit("WARNING")),
+        issues(profiles.groupBy("dataset").agg(F.bool_or("is_key").alias("k"), F.max("rows").alias("n")).where("n > 0 AND NOT k"), "uniqueness", F.col("dataset"), F.lit("WARNING")),
         issues(datasets.where("duplicate_rows > 0"), "duplicates", F.col("dataset"), F.when(F.col("duplicate_rows") / F.col("rows") > MOSTLY_DUPLICATE, "BLOCKING").otherwise("REQUIRES_RULE")),
-        issues(profiles.groupBy("column").agg(F.count_distinct("dtype").alias("n")).where("n > 1"), "type_conflict", F.col("column"), F.lit("WARNING")),
+        issues(profiles.groupBy("column").agg(F.count_distinct("dtype").alias("n")).where("n > 1"), "cross_source_dtype", F.col("column"), F.lit("WARNING")),
     ]
     if currency is None:
-        parts.append(issues(mapped.where(F.col("concept").rlike(f"(?i){MONEY}")), "currency", F.col("concept"), F.lit("REQUIRES_RULE")))
+        parts.append(issues(mapped.where(F.col("concept").rlike(f"(?i){MONEY}")), "currency_policy", F.col("concept"), F.lit("REQUIRES_RULE")))
     if needs_time:
         parts.append(issues(profiles.agg(F.bool_or(F.col("dtype").rlike(DATED)).alias("t")).where("NOT coalesce(t, false)"), "time_coverage", F.lit("all"), F.lit("BLOCKING")))
     out = parts[0]

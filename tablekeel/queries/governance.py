@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekeel.core import scratch
-from tablekeel.plans import checks, govern, pipeline, profile
+from tablekeel.operators.rows import cast, select_filter
+from tablekeel.plans import checks, govern, history, pipeline, profile
 from tablekeel.queries.registry import Registry, one_row, refusal
-from tablekeel.streaming.guarded import judge_batch, run_guarded
+from tablekeel.streaming.guarded import judge_batch, progress_evidence, run_guarded
 
 REGISTRY = query = Registry()
 
@@ -24,7 +25,7 @@ def _catalog(t) -> tuple[DataFrame, DataFrame]:
     return p[0].unionByName(p[1]).unionByName(p[2]), d[0].unionByName(d[1]).unionByName(d[2])
 
 
-CONCEPTS = ("orders.o_totalprice", "o_orderdate", "custkey", "revenue_total", "priority", "balance_text", "customer.custkey", "orders.custkey", "price level")
+CONCEPTS = ("orders.o_totalprice", "o_orderdate", "custkey", "revenue_total", "priority", "balance_text", "customer.custkey", "orders.custkey", "price level", "orders.gone", "nowhere.custkey")
 
 
 def _mapping(t, profiles: DataFrame) -> DataFrame:
@@ -34,9 +35,23 @@ def _mapping(t, profiles: DataFrame) -> DataFrame:
     return govern.map_concepts(concepts, profiles, dimensions)
 
 
-MAPPED = """m AS (SELECT * FROM (VALUES ('orders.o_totalprice', 'orders', 'o_totalprice', 'MAPPED', 'HIGH', NULL), ('o_orderdate', 'orders', 'o_orderdate', 'MAPPED', 'MEDIUM', 'time_role=event_time'), ('custkey', NULL, NULL, 'AMBIGUOUS', NULL, NULL), ('revenue_total', NULL, NULL, 'MISSING', NULL, NULL),
-('priority', 'orders', 'o_orderpriority', 'MAPPED', 'HIGH', NULL), ('balance_text', 'customer', 'balance_text', 'MISSING', 'LOW', NULL), ('customer.custkey', 'customer', 'custkey', 'MAPPED', 'HIGH', NULL), ('orders.custkey', 'orders', 'custkey', 'MAPPED', 'HIGH', NULL), ('price level', 'orders', 'o_totalprice', 'MAPPED', 'HIGH', NULL))
-v(concept, dataset, "column", status, confidence, note))"""
+def _catalog_sql() -> str:
+    made = {
+        "orders": ("orders", {"o_orderkey": "o_orderkey", "custkey": "nullif(o_custkey, 8)", "o_totalprice": "o_totalprice", "o_orderpriority": "o_orderpriority", "o_orderdate": "o_orderdate"}),
+        "customer": ("customer", {"custkey": "cast(c_custkey AS VARCHAR)", "c_mktsegment": "c_mktsegment", "balance_text": "c_name"}),
+        "segments": ("customer", {"c_mktsegment": "c_mktsegment", "c_nationkey": "c_nationkey"}),
+    }
+    return " UNION ALL ".join(f"SELECT '{d}' AS dataset, '{c}' AS col, typeof(any_value({e})) AS dtype, count(*) FILTER ({e} IS NULL) AS nulls FROM {t}" for d, (t, cs) in made.items() for c, e in cs.items())
+
+
+MAPPED = f"""cat AS ({_catalog_sql()}),
+dims AS (SELECT * FROM (VALUES ('priority', 'orders.o_orderpriority'), ('urgency', 'orders.o_orderpriority'), ('price level', 'orders.o_totalprice'), ('level', 'orders.o_totalprice')) v(alias, f)),
+terms AS (SELECT concept, coalesce(f, concept) AS term, f IS NOT NULL AS governed FROM (SELECT unnest([{", ".join(repr(c) for c in CONCEPTS)}]) AS concept) LEFT JOIN dims ON regexp_replace(lower(trim(concept)), '[\\s_-]+', ' ', 'g') = alias),
+hits AS (SELECT concept, any_value(term) AS term, bool_or(governed OR contains(term, '.')) AS sure, count(col) AS n, min(dataset) AS dataset, min(col) AS col, min(dtype) AS dtype FROM terms LEFT JOIN cat ON term = CASE WHEN contains(term, '.') THEN dataset || '.' || col ELSE col END GROUP BY concept),
+judged AS (SELECT *, n = 1 AS found, regexp_matches(concept, 'revenue|amount|sales|price|cost|total|balance', 'i') AND dtype NOT IN ('BIGINT', 'INTEGER', 'DOUBLE') AS no_money FROM hits),
+m AS (SELECT concept, CASE WHEN found THEN dataset WHEN contains(term, '.') THEN split_part(term, '.', 1) END AS dataset, CASE WHEN found THEN col ELSE regexp_replace(term, '^[^.]*[.]', '') END AS "column",
+  CASE WHEN n = 0 THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' WHEN no_money THEN 'MISSING' ELSE 'MAPPED' END AS status, CASE WHEN NOT found OR no_money THEN 'LOW' WHEN sure THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+  CASE WHEN found AND regexp_matches(dtype, '^(DATE|TIMESTAMP)') AND regexp_matches(col, 'order_?date') THEN 'time_role=event_time' END AS note FROM judged)"""
 for _name, _columns in (("map_01_resolution", ("concept", "dataset", "column", "status")), ("map_02_dimensions", ("concept", "confidence")), ("map_03_shapes", ("concept", "status", "confidence", "note"))):
 
     @query(_name, f"WITH {MAPPED} SELECT {', '.join(chr(34) + c + chr(34) for c in _columns)} FROM m")
@@ -57,11 +72,11 @@ def _issues(t) -> DataFrame:
 DUPLICATES = "(SELECT count(*) - count(DISTINCT (c_mktsegment, c_nationkey)) AS d, count(*) AS n FROM customer)"
 ISSUES = {
     "dq_01_completeness": ("completeness", "SELECT 'completeness:orders.custkey' AS rule, CASE WHEN avg((o_custkey = 8)::INT) > 0.5 THEN 'BLOCKING' ELSE 'REQUIRES_RULE' END AS severity FROM orders HAVING count(*) FILTER (o_custkey = 8) > 0"),
-    "dq_02_text_variants": ("text_formatting", "SELECT 'text_formatting:orders.o_orderpriority' AS rule, 'REQUIRES_RULE' AS severity"),
-    "dq_03_candidate_key": ("candidate_key", "SELECT 'candidate_key:segments' AS rule, 'WARNING' AS severity"),
+    "dq_02_text_variants": ("text_formatting", "SELECT 'text_formatting:orders.o_orderpriority' AS rule, 'REQUIRES_RULE' AS severity FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS p FROM orders) HAVING count(DISTINCT lower(trim(p))) < count(DISTINCT p)"),
+    "dq_03_candidate_key": ("uniqueness", "SELECT 'uniqueness:segments' AS rule, 'WARNING' AS severity FROM customer HAVING count(DISTINCT c_mktsegment) < count(*) AND count(DISTINCT c_nationkey) < count(*)"),
     "dq_04_duplicates": ("duplicates", f"SELECT 'duplicates:segments' AS rule, CASE WHEN d / n > 0.5 THEN 'BLOCKING' ELSE 'REQUIRES_RULE' END AS severity FROM {DUPLICATES} WHERE d > 0"),
-    "dq_05_type_conflict": ("type_conflict", "SELECT 'type_conflict:custkey' AS rule, 'WARNING' AS severity"),
-    "dq_06_currency": ("currency", "SELECT 'currency:orders.o_totalprice' AS rule, 'REQUIRES_RULE' AS severity UNION ALL SELECT 'currency:price level', 'REQUIRES_RULE'"),
+    "dq_05_type_conflict": ("cross_source_dtype", f"WITH cat AS ({_catalog_sql()}) SELECT 'cross_source_dtype:' || col AS rule, 'WARNING' AS severity FROM cat GROUP BY col HAVING count(DISTINCT dtype) > 1"),
+    "dq_06_currency": ("currency_policy", f"WITH {MAPPED} SELECT 'currency_policy:' || concept AS rule, 'REQUIRES_RULE' AS severity FROM m WHERE status = 'MAPPED' AND regexp_matches(concept, 'amount|price|balance|total', 'i')"),
 }
 for _name, (_kind, _sql) in ISSUES.items():
 
@@ -70,6 +85,15 @@ for _name, (_kind, _sql) in ISSUES.items():
         return _issues(t).where(F.col("rule").startswith(f"{kind}:"))
 
 
+@query("dq_03_empty_dataset", "SELECT 'uniqueness:segments' AS rule, 'WARNING' AS severity FROM customer HAVING count(DISTINCT c_mktsegment) < count(*) AND count(DISTINCT c_nationkey) < count(*)")
+def _(t):
+    """Of a table without rows nothing is asked."""
+    profiles, datasets = _catalog(t)
+    nothing = t.customer.where("c_custkey IS NULL").select("c_mktsegment")
+    more = profile.profile(nothing).withColumn("dataset", F.lit("nothing")), profile.dataset_profile(nothing).withColumn("dataset", F.lit("nothing"))
+    return govern.assess(_mapping(t, profiles), profiles.unionByName(more[0]), datasets.unionByName(more[1]), "EUR").where("rule LIKE 'uniqueness:%'")
+
+
 @query("dq_07_time_coverage", "SELECT 'time_coverage:all' AS rule, 'BLOCKING' AS severity")
 def _(t):
     profiles, datasets = _catalog(t)
@@ -82,7 +106,7 @@ def _(t):
     return govern.fitness(_issues(t))
 
 
-PROPOSED = """SELECT * FROM (VALUES ('null:o_totalprice', 'error', false), ('null:note', 'blocked', false), ('currency:orders.o_totalprice', 'blocked', false), ('currency:price level', 'blocked', false)) v(rule_id, operation, needs_approval)
+PROPOSED = """SELECT * FROM (VALUES ('null:o_totalprice', 'error', false), ('null:note', 'blocked', false), ('currency_policy:orders.o_totalprice', 'blocked', false), ('currency_policy:price level', 'blocked', false)) v(rule_id, operation, needs_approval)
 UNION ALL SELECT 'text_clean:orders.o_orderpriority', 'text_clean', true FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS p FROM orders) HAVING count(DISTINCT lower(trim(p))) < count(DISTINCT p)
 UNION ALL SELECT 'dedup:segments', 'dedup', true FROM {duplicates} WHERE d > 0"""
 for _name, _governed, _sql in (
@@ -284,6 +308,31 @@ def _(t):
     return places[0].unionByName(places[1])
 
 
+@query("pip_03_baseline_history", "SELECT 'r1' AS run, 'ACCEPTED' AS status, NULL::VARCHAR AS baseline, NULL::VARCHAR AS kind UNION ALL SELECT 'r2', 'QUARANTINED', 'r1', 'null_rate_increased' FROM orders HAVING avg((o_orderkey % 2 = 0)::INT) > 0.05 UNION ALL SELECT 'r3', 'ACCEPTED', 'r1', 'column_added' UNION ALL SELECT 'r4', 'STOPPED', 'r3', 'column_removed'")
+def _(t):
+    """The third run is compared with the first, since the second was quarantined, and the fourth with the third."""
+    root = scratch(t.spark, "history")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    runs = {"r1": orders, "r2": orders.withColumn("o_custkey", F.expr("CASE WHEN o_orderkey % 2 > 0 THEN o_custkey END")), "r3": orders.withColumn("year", F.year("o_orderdate")), "r4": orders}
+    for run, df in runs.items():
+        history.judge_run(df, root, run)
+    told = history.judged(t.spark, root)
+    return told.select("run", "status", "baseline", F.explode_outer("changes").alias("c")).select("run", "status", "baseline", F.col("c.kind").alias("kind"))
+
+
+@query("pip_03_stream_evidence", "SELECT operator, metric, sum(value)::BIGINT AS value FROM (SELECT unnest(['select_filter', 'select_filter', 'cast', 'cast', 'cast']) AS operator, unnest(['rows_in', 'rows_out', 'rows_in', 'filled0', 'failed0']) AS metric, unnest([count(*), count(*) FILTER (event_id % 3 > 0), count(*) FILTER (event_id % 3 > 0), count(*) FILTER (event_id % 3 > 0), count(*) FILTER (event_id % 3 > 0 AND event_id % 5 = 0)]) AS value FROM events) GROUP BY ALL")
+def _(t):
+    """Guarded operators on a stream count while it runs; nothing is read twice."""
+    root = scratch(t.spark, "stream")
+    raw = t.events.select("event_id", F.col("event_id") % 3, F.expr("CASE WHEN event_id % 5 = 0 THEN 'x' || event_id ELSE cast(event_id AS string) END")).toDF("event_id", "third", "raw")
+    raw.repartition(3).write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    kept = select_filter(stream, ["event_id", "raw"], [{"column": "third", "op": ">", "value": 0}]).output
+    run = cast(kept, [{"column": "raw", "target_type": "Int64"}]).output.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return progress_evidence(run).groupBy("operator", "metric").agg(F.sum(F.col("value").cast("long")).alias("value"))
+
+
 @query("pip_04_release", "SELECT 'RELEASED' AS decision")
 def _(t):
     totals = flagship(t)

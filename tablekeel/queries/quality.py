@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablekeel.core import scratch
 from tablekeel.functions import guards
 from tablekeel.plans import checks, profile
 from tablekeel.queries.registry import Registry, refusal
@@ -67,6 +68,30 @@ def _(t):
     return profile.profile(t.lineitem).select("column", "rows", "nulls", "distinct_values", "is_key")
 
 
+@query("prf_08_sketched", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) = count(*) AS is_key, true AS near FROM {t}" for t, cs in (("lineitem", LINE_COLUMNS), ("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))) for c in cs))
+def _(t):
+    """Keys are exact, other distinct counts within 5 %."""
+    return _near(profile.profile(t.lineitem, exact=False), profile.profile(t.lineitem)).unionByName(_near(profile.profile(t.orders, exact=False), profile.profile(t.orders)))
+
+
+def _near(guess, exact):
+    of = exact.select("column", F.col("distinct_values").alias("n"))
+    return guess.join(of, "column").select("column", "rows", "nulls", "is_key", (F.abs(F.col("distinct_values") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
+
+
+@query("prf_08_merged_states", "SELECT 'l_orderkey' AS \"column\", count(*) AS rows, 0 AS nulls, cast(min(l_orderkey) AS VARCHAR) AS min_value, cast(max(l_orderkey) AS VARCHAR) AS max_value, true AS same_estimate FROM lineitem UNION ALL SELECT 'l_quantity', count(*), count(*) FILTER (l_quantity = 1), printf('%.1f', min(nullif(l_quantity, 1))), printf('%.1f', max(nullif(l_quantity, 1))), true FROM lineitem UNION ALL SELECT 'l_returnflag', count(*), 0, NULL, NULL, true FROM lineitem")
+def _(t):
+    """Stored states of two halves of a table merge to those of the whole."""
+    lines = t.lineitem.select("l_orderkey", F.expr("nullif(l_quantity, 1)").alias("l_quantity"), "l_returnflag")
+    root = scratch(t.spark, "states")
+    for half in (0, 1):
+        profile.states(lines.where(F.pmod("l_orderkey", F.lit(2)) == half)).write.parquet(f"{root}/part={half}")
+    parts = [t.spark.read.parquet(f"{root}/part={half}") for half in (0, 1)]
+    whole = profile.estimated(profile.states(lines)).select("column", F.col("distinct_values").alias("n"))
+    found = profile.estimated(profile.merged(*parts)).join(whole, "column")
+    return found.select("column", "rows", "nulls", "min_value", "max_value", (F.abs(F.col("distinct_values") - F.col("n")) <= 0.01 * F.col("n")).alias("same_estimate"))
+
+
 def _row(check_id: str, observed: str, expected: str, tolerance: str, passed: str, source: str) -> str:
     return f"SELECT '{check_id}' AS check_id, ({observed})::DOUBLE AS observed, ({expected})::DOUBLE AS expected, {tolerance}::DOUBLE AS tolerance, ({passed}) AS passed, 'BLOCKING' AS severity {source}"
 
@@ -86,6 +111,15 @@ def _(t):
     return checks.run_checks(t.orders, [checks.allowed_values("o_orderstatus", ["F", "O"])])
 
 
+LISTED = "(SELECT p_partkey FROM part WHERE p_partkey % 5 > 0)"
+for _most in (0, checks.MOST_ALLOWED):
+
+    @query(f"chk_03_list_table_{'sent' if _most else 'shuffled'}", _row("allowed_values:l_partkey", f"count(*) FILTER (l_partkey NOT IN {LISTED})", "0", "0", f"count(*) FILTER (l_partkey NOT IN {LISTED}) = 0", "FROM lineitem"))
+    def _(t, most=_most):
+        """Allowed values are a table, sent to all tasks or shuffled by its size."""
+        return checks.allowed_in(t.lineitem, "l_partkey", t.part.where("p_partkey % 5 > 0").select("p_partkey"), most=most)
+
+
 @query("chk_04_no_duplicate_rows", _row("unique:user_id,event_type", "coalesce(sum(n), 0)", "0", "0", "coalesce(sum(n), 0) = 0", "FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(*) > 1)"))
 def _(t):
     return checks.no_duplicate_rows(t.events, ["user_id", "event_type"])
@@ -225,6 +259,13 @@ def _(t):
     return checks.run_suite({"lines": t.lineitem}, [{"stage": "lines", "check": c} for c in suite])
 
 
+@query("chk_12_bad_checks", " UNION ALL ".join([_row("null_rate:l_tax", "avg((l_tax IS NULL)::INT)", "0", "0", "count(*) = count(l_tax)", "FROM lineitem"), *[f"SELECT '{c}', NULL, 0, 0, false, 'BLOCKING'" for c in ("range:l_returnflag", "null_rate:gone")]]))
+def _(t):
+    """A check that fails while it runs, and one of a column that isn't there, are failed results; the others stay."""
+    suite = [checks.null_rate("l_tax", 0.0), checks.value_range("l_returnflag", 1, 2), checks.null_rate("gone", 0.0)]
+    return checks.run_suite({"lines": t.lineitem}, [{"stage": "lines", "check": c} for c in suite])
+
+
 @query("chk_13_report", f"WITH s AS ({SUITE}) SELECT bool_and(passed OR severity <> 'BLOCKING') AS passed, count(*) FILTER (passed) AS passed_checks, count(*) FILTER (NOT passed AND severity <> 'BLOCKING') AS warnings, count(*) FILTER (NOT passed AND severity = 'BLOCKING') AS blocking_failures FROM s")
 def _(t):
     return checks.report(_suite(t))

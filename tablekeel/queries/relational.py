@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeel.core import exact_sum
+from tablekeel.core import exact_sum, exists, scratch
 from tablekeel.functions import text
 from tablekeel.operators import groups, joins, rows
 from tablekeel.operators.text_clean import collapses, text_clean
@@ -105,13 +106,64 @@ def _(t):
     return rows.derive(p, [{"output_column": "made", "op": "coalesce", "inputs": ["b", "p_type"], "null_policy": "propagate"}], guard=False).output.select("p_partkey", "made")
 
 
-@query("drv_07_null_gate", "SELECT CASE WHEN n > 0 THEN 'DATA_QUALITY_BLOCK' END AS code, n AS null_inputs FROM (SELECT count(*) FILTER (nullif(l_discount, 0) IS NULL OR l_quantity IS NULL) AS n FROM lineitem)")
+@query("drv_07_null_gate", "SELECT CASE WHEN n > 0 THEN 'VALIDATION_FAIL' END AS code, n AS null_inputs FROM (SELECT count(*) FILTER (nullif(l_discount, 0) IS NULL OR l_quantity IS NULL) AS n FROM lineitem)")
 def _(t):
     lines = t.lineitem.withColumn("d", F.expr("nullif(l_discount, 0)"))
     found = refusal(rows.derive, lines, [{"output_column": "m", "op": "multiply", "inputs": ["l_quantity", "d"]}])
     return one_row(t, "code string, null_inputs long", found.code, found.evidence["m"]["null_inputs"])
 
 
+def _written(t, got) -> DataFrame:
+    """The rows of a result that was written on the way, beside its evidence."""
+    return got.output.withColumns({"rows_in": F.lit(got.rows_in).cast("long"), "rows_out": F.lit(got.rows_out).cast("long")})
+
+
+@query("flt_11_one_pass", f"SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem) AS rows_in, (SELECT count(*) FROM lineitem WHERE {KEPT}) AS rows_out FROM lineitem WHERE {KEPT}")
+def _(t):
+    """Evidence is counted in the pass that writes the output."""
+    filters = [{"column": "l_quantity", "op": ">=", "value": 10}, {"column": "l_discount", "op": "<", "value": 0.05}, {"column": "l_returnflag", "op": "in", "value": ["A", "R"]}]
+    return _written(t, rows.select_filter(t.lineitem, ["l_orderkey", "l_linenumber"], filters, sink=scratch(t.spark, "sink")))
+
+
+@query("cst_05_one_pass", f"SELECT try_cast({RAW.format(s='VARCHAR')} AS BIGINT) AS raw, (SELECT count(*) FROM events) AS rows_in, (SELECT count(*) FROM events) AS rows_out, (SELECT count(*) FILTER (event_id % 5 = 0) FROM events) AS failed FROM events")
+def _(t):
+    got = rows.cast(t.events.select(F.expr(RAW.format(s="string")).alias("raw")), [{"column": "raw", "target_type": "Int64", "parseability_threshold": 0.5}], sink=scratch(t.spark, "sink"))
+    return _written(t, got).withColumn("failed", F.lit(got.evidence["raw"]["failed"]))
+
+
+@query("drv_08_one_pass", "SELECT l_orderkey, l_linenumber, l_quantity * nullif(l_discount, 0) AS m, (SELECT count(*) FROM lineitem) AS rows_in, (SELECT count(*) FROM lineitem) AS rows_out, (SELECT count(*) FROM lineitem WHERE l_discount = 0) AS nulls FROM lineitem")
+def _(t):
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", F.expr("nullif(l_discount, 0)").alias("d"))
+    got = rows.derive(lines, [{"output_column": "m", "op": "multiply", "inputs": ["l_quantity", "d"], "null_policy": "propagate"}], sink=scratch(t.spark, "sink"))
+    return _written(t, got).drop("l_quantity", "d").withColumn("nulls", F.lit(got.evidence["m"]["nulls"]))
+
+
+@query("drv_07_no_sink_on_refusal", "SELECT CASE WHEN count(*) FILTER (l_discount = 0) > 0 THEN 'VALIDATION_FAIL' END AS code, false AS is_there FROM lineitem")
+def _(t):
+    """What is refused after it was written never appears at its place."""
+    lines, sink = t.lineitem.withColumn("d", F.expr("nullif(l_discount, 0)")), scratch(t.spark, "sink")
+    found = refusal(rows.derive, lines, [{"output_column": "m", "op": "multiply", "inputs": ["l_quantity", "d"]}], sink=sink)
+    return one_row(t, "code string, is_there boolean", found.code, exists(t.spark, sink))
+
+
+DOOR = {
+    "flt_07_text_for_a_list": lambda t: refusal(rows.select_filter, t.lineitem, None, [{"column": "l_returnflag", "op": "in", "value": "AN"}]),
+    "flt_01_literal_of_another_type": lambda t: refusal(rows.select_filter, t.lineitem, None, [{"column": "l_quantity", "op": "==", "value": "many"}]),
+    "drv_01_text_input": lambda t: refusal(rows.derive, t.lineitem, [{"output_column": "m", "op": "add", "inputs": ["l_quantity", "l_returnflag"]}]),
+    "drv_01_repeated_output": lambda t: refusal(rows.derive, t.lineitem, [{"output_column": "m", "op": "add", "inputs": ["l_quantity", "l_tax"]}] * 2),
+    "jn_01_clashing_names": lambda t: refusal(joins.join, t.orders.select("o_orderkey", F.col("o_custkey").alias("x"), F.col("o_totalprice").alias("x_right")), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_tax").alias("x")), ["o_orderkey"], ["o_orderkey"], "inner", "one_to_many"),
+    "txt_08_pattern_of_python_alone": lambda t: refusal(text_clean, t.part, None, [{"column": "p_name", "pattern": "(?P<x>a)", "output_column": "found"}]),
+    "agg_09_metric_named_like_a_key": lambda t: refusal(groups.aggregate, t.lineitem, ["l_returnflag"], [{"name": "l_returnflag", "fn": "count", "column": "l_tax"}]),
+    "agg_09_no_metrics": lambda t: refusal(groups.aggregate, t.lineitem, ["l_returnflag"], []),
+}
+for _name, _asked in DOOR.items():
+
+    @query(_name, "SELECT 'VALIDATION_FAIL' AS code, count(*) AS rows FROM lineitem")
+    def _(t, asked=_asked):
+        """Requests that no rows can meet are refused before any job, over a table that stays as it is."""
+        return t.lineitem.agg(F.lit(asked(t).code).alias("code"), F.count(F.lit(1)).alias("rows"))
+
+
 @query("drv_08_derivation_evidence", "SELECT count(*) FILTER (m IS NULL) AS nulls, min(m) AS min_value, max(m) AS max_value FROM (SELECT l_quantity * nullif(l_discount, 0) AS m FROM lineitem)")
 def _(t):
     lines = t.lineitem.withColumn("d", F.expr("nullif(l_discount, 0)"))
@@ -172,6 +224,18 @@ def _(t):
     return one_row(t, ", ".join(f"{n} long" for n in names), *(got.evidence[n] for n in names))
 
 
+#: Orders of which a third belong to one customer.
+THIRD = "CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE nullif(o_custkey, 8) END"
+for _how, _kind in (("inner", ""), ("left", "LEFT "), ("right", "RIGHT "), ("outer", "FULL ")):
+
+    @query(f"jn_0{list(joins.HOW).index(_how) + 1}_hot_key_{_how}", f"SELECT {'coalesce(c_custkey, k) AS c_custkey' if _how == 'right' else 'c_custkey'}{', k' if _how == 'outer' else ''}, c_mktsegment, o_orderkey, 1 AS hot_keys FROM customer {_kind}JOIN (SELECT {THIRD} AS k, o_orderkey FROM orders) ON c_custkey = k")
+    def _(t, how=_how):
+        """A key that a third of all rows have is split, and nothing else is."""
+        orders = t.orders.select(F.expr(THIRD).alias("k"), "o_orderkey")
+        got = joins.join(t.customer.select("c_custkey", "c_mktsegment"), orders, ["c_custkey"], ["k"], how, "one_to_many", hot_rows=max(1, orders.count() // 6))
+        return got.output.withColumn("hot_keys", F.lit(got.evidence["hot_keys"]))
+
+
 REPEATED = "SELECT o_custkey, count(*) AS count FROM r GROUP BY o_custkey HAVING count(*) > 1"
 
 
@@ -270,6 +334,16 @@ def _(t):
     return one_row(t, "control_total double, group_count long", round(control, 2), found.evidence["group_count"])
 
 
+@query("agg_10_control_table", "SELECT o_custkey, sum(o_totalprice) AS price, 'agrees' AS control FROM orders GROUP BY o_custkey UNION ALL SELECT NULL, NULL, 'RECONCILIATION_FAIL'")
+def _(t):
+    """Another table's total controls that of the groups; one without the first order doesn't agree."""
+    spec = [{"name": "price", "fn": "sum", "column": "o_totalprice"}]
+    control, less = (df.agg(F.sum("o_totalprice")) for df in (t.orders, t.orders.where("o_orderkey > 1")))
+    code = refusal(groups.aggregate, t.orders, ["o_custkey"], spec, reconcile_to=less, relative=1e-12).code
+    got = groups.aggregate(t.orders, ["o_custkey"], spec, reconcile_to=control, relative=1e-12).output
+    return got.withColumn("control", F.lit("agrees")).unionByName(t.spark.createDataFrame([(None, None, code)], "o_custkey long, price double, control string"))
+
+
 @query("agg_10_refusal", f"SELECT CASE WHEN {TOTAL.format(c='o_totalprice')} <> 1 THEN 'RECONCILIATION_FAIL' END AS code FROM orders")
 def _(t):
     return one_row(t, "code string", refusal(groups.aggregate, t.orders, ["o_orderstatus"], METRIC, reconcile_to=1.0).code)
