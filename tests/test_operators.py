@@ -51,7 +51,7 @@ def test_derive_divides_by_zero_and_gates_nulls(spark):
     got = [r[0] for r in derive(df, [{"output_column": "c", "op": "divide", "inputs": ["a", "b"]}]).output.select("c").collect()]
     assert got[:2] == [math.inf, -math.inf] and math.isnan(got[2]) and got[3] == 0.5
     holes = spark.createDataFrame([(1, None), (2, 3)], "a int, b int")
-    refused("DATA_QUALITY_BLOCK", derive, holes, [{"output_column": "c", "op": "coalesce", "inputs": ["a", "b"]}])
+    refused("VALIDATION_FAIL", derive, holes, [{"output_column": "c", "op": "coalesce", "inputs": ["a", "b"]}])
     assert rows(derive(holes, [{"output_column": "c", "op": "add", "inputs": ["a", "b"], "null_policy": "propagate"}]).output) == [(1, None, None), (2, 3, 5)]
     refused("VALIDATION_FAIL", derive, df, [{"output_column": "a", "op": "add", "inputs": ["a", "b"]}])
     refused("VALIDATION_FAIL", derive, df, [{"output_column": "c", "op": "add", "inputs": ["a"]}])

@@ -177,7 +177,7 @@ def test_snapshots_tell_tables_apart(spark, tmp_path):
 
 def test_a_step_that_fails_keeps_the_evidence(spark, tmp_path):
     df = spark.createDataFrame([("x",)], "a string")
-    steps = [{"id": "s", "op": "select_filter", "inputs": ["source:t"]}, {"id": "d", "op": "derive", "inputs": ["s"], "params": {"specs": [{"output_column": "c", "op": "add", "inputs": ["a", "a"]}]}}, {"id": "z", "op": "select_filter", "inputs": ["d"]}]
+    steps = [{"id": "s", "op": "select_filter", "inputs": ["source:t"]}, {"id": "d", "op": "text_clean", "inputs": ["s"], "params": {"regex_extract": [{"column": "a", "pattern": "x", "group": 3, "output_column": "c"}]}}, {"id": "z", "op": "select_filter", "inputs": ["d"]}]
     pipeline.run_pipeline({"sources": ["t"], "steps": steps}, {"t": df}, "r", root=str(tmp_path))
     got = {r["step"]: r["status"] for r in pipeline.stored_evidence(spark, str(tmp_path), "r").collect()}
     assert got["s"] == "COMPLETED" and got["d"].startswith("FAILED:") and got["z"] == "NOT_RUN"
