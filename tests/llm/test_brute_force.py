@@ -20,7 +20,7 @@ from test_near_copies import shingles
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations", "pages"):
+    for t in ("documents", "benchmark", "labels", "conversations", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 
