@@ -28,7 +28,7 @@ def path_of(url: Column) -> Column:
 def apply_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits host and path, and its verdict; null where none fits. Of equally long ones the first wins."""
     rule = verdict = F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for h, p, v in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):  # what comes later here wins
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     return rule, verdict

@@ -137,6 +137,21 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(df.where("page_id IN (7, 10)")).collect()} == {"allow"}
 
 
+def test_of_equally_long_rules_the_first_wins(spark):
+    df = spark.createDataFrame([("a.com", "/x/1"), ("b.com", "/x/1"), ("a.com", "/")], "host string, path string")
+    for verdicts in (("allow", "block"), ("block", "allow")):
+        rules = [("com", "/", verdicts[0]), ("com", "/", verdicts[1]), ("a.com", "/x/", verdicts[1]), ("a.com", "/x/", verdicts[0])]
+        rule, verdict = url_filter.apply_rules(F.col("host"), F.col("path"), rules)
+        assert sorted(tuple(r) for r in df.select("host", rule, verdict).collect()) == [("a.com", "a.com/x/", verdicts[1]), ("a.com", "com/", verdicts[0]), ("b.com", "com/", verdicts[0])]
+
+
+def test_slices_come_from_the_whole_text():
+    text = "".join(chr(0x4E00 + i % 20_000) for i in range(40_000))
+    got = language_id.slices(text, 500, 9)
+    assert len(got) == 7 and all(len(s) == 500 and s in text for s in got) and got == language_id.slices(text, 500, 9)
+    assert language_id.slices("short", 500, 1) == ["short"] and language_id.slices("", 500, 1) == [""]
+
+
 def test_stages_keep_the_columns(spark, docs, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
