@@ -67,7 +67,11 @@ _words: dict[str, Words] = {}  # kept by a Python worker from task to task
 
 
 def tokenised(docs: DataFrame, path: str, size: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return per piece of at most ``size`` tokens ``doc_id, piece, start, length, ids_crc32``. Null text is empty; every text ends with ``end_id``."""
+    """Return per piece of at most ``size`` tokens ``doc_id, piece, start, length, ids_crc32``.
+
+    Null text is empty; every text ends with ``end_id``. Rows that repeat an id or a text are
+    tokenised each by itself, long texts whole; an empty table gives an empty one.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +176,11 @@ def pack_counts(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[Patt
 
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``size``; sequences are gapless from offset 0."""
+    """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``size``; sequences are gapless from offset 0.
+
+    Rows of equal length are interchangeable, so repeated rows and ties take any of their places.
+    An empty table gives an empty one.
+    """
     histogram = sorted((r["length"], r["count"]) for r in pieces.groupBy("length").count().collect())  # at most ``size`` rows
     lengths, counts = (np.array([h[i] for h in histogram], np.int64) for i in range(2))
     before = np.zeros(size + 1, np.int64)  # rows of shorter lengths
@@ -215,4 +223,5 @@ def pack_documents(docs: DataFrame, size: int = 4096, tokenizer: str | None = No
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; nulls, repeats, long texts and empty tables go as in ``pack_documents``."""
     return pack_documents(table(spark, sf_dir, "documents"))

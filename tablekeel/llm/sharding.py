@@ -97,4 +97,5 @@ def shard_rows(docs: DataFrame, shards: int = 40, nodes: int = 64, headroom: flo
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards by the law ``rows``; nulls, repeats, long texts and empty tables go as in ``shard_rows``."""
     return shard_rows(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
