@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablekeel.core import scratch
@@ -14,13 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     A node's neighbours are never gathered: each step takes the smallest one by a partial sum and
     joins it back. The number of edges does not grow, and steps end after about log² of the size.
-    A step's table is deleted once the next one is written; only the last one stays.
+    A step's table is summed up as it is written, which tells whether anything changed, and deleted
+    once the next one is written; only the last one stays.
     """
-    spark, written = edges.sparkSession, []
+    spark, written, sums = edges.sparkSession, [], {}
 
     def step(df: DataFrame) -> DataFrame:
-        path = scratch(spark, "edges")
-        df.write.parquet(path)
+        path, seen = scratch(spark, "edges"), Observation(f"edges-{uuid.uuid4().hex}")
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(2**31))).alias("s")).write.parquet(path)
+        sums.update(seen.get)
         for old in written:
             discard(spark, old)
         written[:] = [path]
@@ -29,8 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = step(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(2**31)))).first()
-        if now == state or not now[0]:
+        now = dict(sums)
+        if now == state or not now["n"]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekeel.llm.common import ascii_lower, settle
-from tablekeel.llm.simhash import Bound, embed, grids, link_components, majority, stay_in
+from tablekeel.llm.simhash import Bound, embed, grids, link_components, majority, stay_in, text_id
 
 SHINGLE = 5
 #: Similarity of near copies, as a fraction: 0.8.
@@ -63,15 +63,15 @@ ODD = [f"p{i}" for i in range(PARITIES)]
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """For rows ``node, text``: ``node, n``, the fingerprints ``f0, f1, ...`` and the parities ``p0, p1, ...``."""
+    """For rows ``row, row2, text``: ``row, row2, n``, the fingerprints ``f0, f1, ...`` and the parities ``p0, p1, ...``."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n, fps, odd = zip(*map(sketch, b.text), strict=True) if len(b) else ((), (), ())
             fps, odd = np.array(fps, np.int64).reshape(-1, FINGERPRINTS), np.array(odd, np.int64).reshape(-1, PARITIES)
-            yield pd.DataFrame({"node": b.node, "n": np.array(n, np.int64)} | {f: fps[:, i] for i, f in enumerate(FPS)} | {p: odd[:, i] for i, p in enumerate(ODD)})
+            yield pd.DataFrame({"row": b.row, "row2": b.row2, "n": np.array(n, np.int64)} | {f: fps[:, i] for i, f in enumerate(FPS)} | {p: odd[:, i] for i, p in enumerate(ODD)})
 
-    return texts.mapInPandas(work, ", ".join(f"{c} long" for c in ("node", "n", *FPS, *ODD)))
+    return texts.mapInPandas(work, ", ".join(f"{c} long" for c in ("row", "row2", "n", *FPS, *ODD)))
 
 
 def may_be_alike(a: str, b: str) -> Column:
@@ -99,23 +99,24 @@ def shingle_set(text: Column) -> Column:
     return F.array_distinct(made[0])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose ``texts`` (node, text; rows may repeat) are near copies. Only texts that a pair names are looked at."""
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of ``nodes`` (node, row, row2) whose ``texts`` (row, row2, text; rows may repeat) are near copies. Only texts that a pair names are looked at."""
     pairs = settle(pairs, "candidates")
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    once = texts.groupBy("node").agg(F.first("text").alias("text"))  # copies are dropped before the shuffle as well
-    held = settle(once.join(named, "node", "left_semi").select("node", shingle_set(F.col("text")).alias("held")), "shingles")
+    wanted = nodes.select("node", "row", "row2").join(named, "node", "left_semi")
+    once = texts.groupBy("row", "row2").agg(F.first("text").alias("text"))  # copies are dropped before the shuffle as well
+    held = settle(once.join(wanted, ["row", "row2"]).select("node", shingle_set(F.col("text")).alias("held")), "shingles")
     for side in "ab":
         pairs = pairs.join(held.select(F.col("node").alias(side), F.col("held").alias(f"held_{side}")), side)
     both = F.size(F.array_intersect("held_a", "held_b"))
     return settle(pairs.where(OF * both >= LIKE * (F.size("held_a") + F.size("held_b") - both)).select("a", "b"), "verified")
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
-    """``texts`` (node: a long for each distinct text, text) -> (node, component) for all nodes that have a near copy."""
+def near_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For ``texts`` (row, row2: what tells texts apart, see ``text_id``; text) the distinct ones as ``node, row, row2``, and (node, component) for all that have a near copy."""
     # copies are dropped before the shuffle as well, so none is hot
-    nodes = settle(sketches(texts).dropDuplicates(["node"]), "sketches")
-    return link_components(nodes, FPS, grids(GROUPS, AGREE), WITHIN, lambda pairs: verified(close(pairs, nodes), texts), BOUND)
+    nodes = settle(sketches(texts).dropDuplicates(["row", "row2"]).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    return nodes.select("node", "row", "row2"), link_components(nodes, FPS, grids(GROUPS, AGREE), WITHIN, lambda pairs: verified(close(pairs, nodes), nodes, texts), BOUND)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,8 +126,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay only where their component has no id at all. Long texts are compared whole. An empty table
     gives an empty table; columns with clashing names are carried along.
     """
-    linked = settle(near_copies(docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))), "linked")
-    least = docs.groupBy(F.xxhash64(text_col).alias("node")).agg(F.min(F.col(id_col).cast("long")).alias("id"))
-    named = least.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    stay = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("s"))
-    return stay_in(docs, stay.select(F.col("s.id").alias("_id"), F.col("s.node").alias("_row")), id_col, text_col)
+    nodes, linked = near_copies(docs.select(*text_id(text_col), F.col(text_col).alias("text")))
+    linked = settle(linked, "linked")
+    least = docs.groupBy(*text_id(text_col)).agg(F.min(F.col(id_col).cast("long")).alias("id"))
+    named = least.join(nodes, ["row", "row2"]).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    stay = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "row2")).alias("s"))
+    return stay_in(docs, stay.select(F.col("s.id").alias("_id"), F.col("s.row").alias("_row"), F.col("s.row2").alias("_row2")), id_col, text_col)

@@ -56,15 +56,20 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(rows).astype(np.int64)
 
 
+def text_id(text: str) -> list[Column]:
+    """128 hashed bits that tell texts apart, in two halves ``row`` and ``row2``."""
+    return [F.xxhash64(text).alias("row"), F.xxhash64(F.lit("second"), text).alias("row2")]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return per row ``doc_id, row`` (a hash of the text) and ``fp``."""
+    """Return per row ``doc_id, row, row2`` (see ``text_id``) and ``fp``."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "row": b.row, "fp": np.array([majority(shingle_hashes(t, shingle)[None])[0] for t in b.text], np.int64)})
+            yield pd.DataFrame({"doc_id": b.doc_id, "row": b.row, "row2": b.row2, "fp": np.array([majority(shingle_hashes(t, shingle)[None])[0] for t in b.text], np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "doc_id string, row long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), *text_id(text_col), F.col(text_col).alias("text"))
+    return rows.mapInPandas(work, "doc_id string, row long, row2 long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _signed(bits: int) -> int:
@@ -166,7 +171,7 @@ def link_components(nodes: DataFrame, fps: list[str], masks: list[int], within:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return per row ``doc_id, row, fp, component, component_id``: the smallest id among rows that links within ``distance`` bits reach, itself included.
+    """Return per row ``doc_id, row, row2, fp, component, component_id``: the smallest id among rows that links within ``distance`` bits reach, itself included.
 
     Texts without words have fingerprint zero and link like any other. Rows that repeat an id are
     fingerprinted each by itself; a null id is never the smallest unless it is alone, and its
@@ -177,7 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     linked = link_components(nodes.select("fp", F.col("fp").alias("node")), ["fp"], grids_within(distance, nodes.count()), distance)
     named = nodes.join(settle(linked.withColumnRenamed("node", "fp"), "linked"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "row", "fp", "component", "component_id")
+    return rows.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "row", "row2", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,15 +191,19 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str =
     Rows without an id stay only where their component has no id at all.
     """
     found = near_duplicates(docs, shingle, distance, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return stay_in(docs, found.groupBy("component").agg(F.min("doc_id").alias("_id"), F.min("row").alias("_row")).select("_id", "_row").distinct(), id_col, text_col)
+    stay = found.groupBy("component").agg(F.min("doc_id").alias("_id"), F.min(F.struct("row", "row2")).alias("s"))
+    return stay_in(docs, stay.select("_id", F.col("s.row").alias("_row"), F.col("s.row2").alias("_row2")), id_col, text_col)
 
 
 def stay_in(docs: DataFrame, stay: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id and hash of the text are in ``stay`` (_id, _row), one of each."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_row"), F.struct("*").alias("_all"))
-    return rows.join(stay, rows["_id"].eqNullSafe(stay["_id"]) & (rows["_row"] == stay["_row"]), "left_semi").dropDuplicates(["_id", "_row"]).select("_all.*")
+    """The rows whose id and text are in ``stay`` (_id, and _row, _row2: see ``text_id``), one of each."""
+    row, row2 = text_id(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), row.alias("_row"), row2.alias("_row2"), F.struct("*").alias("_all"))
+    same = rows["_id"].eqNullSafe(stay["_id"]) & (rows["_row"] == stay["_row"]) & (rows["_row2"] == stay["_row2"])
+    return rows.join(stay, same, "left_semi").dropDuplicates(["_id", "_row", "_row2"]).select("_all.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; nulls, repeats, long texts and empty tables go as in ``near_duplicates``."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
