@@ -82,14 +82,22 @@ class Dictionaries:
         return lang, score, margin / len(said), narrow or unlike
 
 
+def slices(text: str, chars: int, seed: int) -> list[str]:
+    """Slices of ``chars`` characters from anywhere in the whole text: one, and one more each time that the text is twice as long."""
+    n = 1 + max(0, (len(text) // chars).bit_length() - 1)
+    starts = np.random.default_rng(seed).integers(0, max(1, len(text) - chars + 1), n)
+    return [text[a : a + chars] for a in sorted(starts.tolist())]
+
+
 def learn(labelled: DataFrame, sample: int = 400, chars: int = 500) -> Dictionaries:
     """Dictionaries from rows of ``doc_id, text, lang``.
 
-    For each language, about ``2 * sample`` rows with the lowest hashes of id and text give a slice
-    of ``chars`` characters each, from any place of the whole text; rows that repeat count once.
-    The first ``sample`` slices (four fifths, if there are few) are the dictionary, the others show
-    how it usually encodes texts of its language. That is all the driver holds. Rows without a language or without letters are
-    passed over; an empty table gives no dictionary.
+    For each language, about ``2 * sample`` rows with the lowest hashes of id and text are taken
+    (rows that repeat count once), and of each the slices that ``slices`` gives: more of a longer
+    text, as many as the logarithm of its length. Those of the first ``sample`` rows (four fifths,
+    if there are few) are the dictionary, the others show how it usually encodes texts of its
+    language. That is all the driver holds. Rows without a language or without letters are passed
+    over; an empty table gives no dictionary.
     """
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31))
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", hashed)
@@ -97,10 +105,14 @@ def learn(labelled: DataFrame, sample: int = 400, chars: int = 500) -> Dictionar
     if not counts:
         return Dictionaries({})
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, 2 * sample / n) * 2**31))]), F.col("lang"))
-    at = F.pmod(F.xxhash64(F.lit("slice"), "_h"), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([slices(t, chars, h) for t, h in zip(texts, hashes, strict=True)])
+
     found = defaultdict(list)
-    for r in rows.where(F.col("_h") < share).select("lang", "_h", F.substring(F.col("text"), at, F.lit(chars)).alias("part")).dropDuplicates(["lang", "_h"]).collect():
-        if said := letters(r["part"]):
+    for r in rows.where(F.col("_h") < share).select("lang", "_h", cut("text", "_h").alias("parts")).dropDuplicates(["lang", "_h"]).collect():
+        if said := b" ".join(filter(None, map(letters, r["parts"]))):
             found[r["lang"]].append((r["_h"], said))
     kept = {lang: [said for _, said in sorted(found[lang])] for lang in sorted(counts, key=lambda k: (-counts[k], k)) if found[lang]}
     first = {lang: min(sample, len(parts) - len(parts) // 5) for lang, parts in kept.items()}
@@ -151,6 +163,7 @@ def learn_from_folds(docs: DataFrame) -> Dictionaries:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; null, odd and repeated rows and empty tables go as in ``language_of`` and ``identify``, long texts are encoded whole."""
     docs = table(spark, sf_dir, "documents")
     known = learn_from_folds(docs)
     return identify(docs, known).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
