@@ -15,6 +15,7 @@ happens where they are, without another shuffle.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,8 +32,8 @@ SMALL = 8
 ROUNDS, TRIES = 6, 4
 #: Cells in each table of a larger sketch, at least: with fewer, small differences would often be tried again.
 LEAST = 32
-#: Buckets of the stored digests for each shuffle partition, since a row grows to many cells; ranges of ids for each bucket, and ranges at most.
-BUCKETS, RANGES, MOST_RANGES = 4, 8, 65_536
+#: Buckets of the stored digests for each shuffle partition, since a row grows to many cells; ranges of ids for each bucket.
+BUCKETS, RANGES = 4, 8
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -44,12 +45,15 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x)))
 
 
-def _checksum(digest: Column) -> Column:
-    return F.hash(digest, F.lit(1))
+# Expressions that are built many times over are SQL texts: a plan of them is made by one call each.
 
 
-def _cell(digest: Column, table_no: int, salt: Column, width: Column) -> Column:
-    return (F.pmod(F.xxhash64(digest, salt, F.lit(table_no)), width) + width * table_no).cast("int")
+def _checksum(digest: str) -> str:
+    return f"hash({digest}, 1)"
+
+
+def _cell(digest: str, table_no: int, salt: str, width: str) -> str:
+    return f"CAST(pmod(xxhash64({digest}, {salt}, {table_no}), {width}) + {width} * {table_no} AS INT)"
 
 
 ROW = ["range", "rid"]
@@ -59,13 +63,13 @@ CELL = ["n", "digest", "checksum"]
 
 
 def _sum_up(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("checksum").alias("checksum"))
+    return rows.groupBy(*keys, "cell").agg(F.expr("sum(n) AS n"), F.expr("bit_xor(digest) AS digest"), F.expr("bit_xor(checksum) AS checksum"))
 
 
 def fill(digests: DataFrame, *keys: str) -> DataFrame:
     """Sketches of rows ``*keys, n (1 or -1), digest``: their cells, as rows ``*keys, cell, n, digest, checksum``."""
-    cells = F.array(*[_cell(F.col("digest"), i, F.col("at.salt"), F.col("at.width")) for i in range(3)])
-    return _sum_up(digests.withColumn("checksum", _checksum(F.col("digest"))).withColumn("cell", F.explode(cells)), *keys)
+    cells = ", ".join(_cell("digest", i, "at.salt", "at.width") for i in range(3))
+    return _sum_up(digests.selectExpr(*keys, "n", "digest", f"{_checksum('digest')} AS checksum", f"explode(array({cells})) AS cell"), *keys)
 
 
 def peel(cells: DataFrame, rounds: int) -> DataFrame:
@@ -73,15 +77,13 @@ def peel(cells: DataFrame, rounds: int) -> DataFrame:
 
     Digests that come from one table are different ones, so none is taken out twice.
     """
-    filled = (F.col("cell") < 0) | (F.col("n") != 0) | (F.col("digest") != 0) | (F.col("checksum") != 0)
+    filled = "cell < 0 OR n <> 0 OR digest <> 0 OR checksum <> 0"
+    found, same = "named_struct('cell', -1, 'n', 1L, 'digest', 0L, 'checksum', 0)", "struct(cell, n, digest, checksum)"
     cells = cells.where(filled)
     for i in [0, 1, 2] * rounds:
-        here = F.floor(F.col("cell") / F.col("at.width")) == i
-        single = (F.col("cell") >= 0) & here & (F.abs("n") == 1) & (_checksum(F.col("digest")) == F.col("checksum"))
-        others = [F.struct(_cell(F.col("digest"), j, F.col("at.salt"), F.col("at.width")).alias("cell"), (-F.col("n")).alias("n"), F.col("digest"), F.col("checksum")) for j in range(3) if j != i]
-        found = F.struct(F.lit(-1).alias("cell"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("digest"), F.lit(0).alias("checksum"))
-        same = F.struct("cell", *CELL)
-        moved = cells.select(*KEYS, F.explode(F.when(single, F.array(found, *others)).otherwise(F.array(same))).alias("c")).select(*KEYS, "c.*")
+        single = f"cell >= 0 AND floor(cell / at.width) = {i} AND abs(n) = 1 AND {_checksum('digest')} = checksum"
+        others = ", ".join(f"named_struct('cell', {_cell('digest', j, 'at.salt', 'at.width')}, 'n', -n, 'digest', digest, 'checksum', checksum)" for j in range(3) if j != i)
+        moved = cells.selectExpr(*KEYS, f"inline(CASE WHEN {single} THEN array({found}, {others}) ELSE array({same}) END)")
         cells = _sum_up(moved, *KEYS).where(filled)
     return cells
 
@@ -133,22 +135,33 @@ def compare(held: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.where("differing IS NOT NULL") for r in results], exact)
 
 
-def fingerprint(digests: Column) -> Column:
-    """The filled cells of a text's small sketch as text, in order: number, count, XOR of digests, XOR of checksums."""
-    named = F.transform(digests, lambda d: F.struct(d.alias("digest"), _checksum(d).alias("checksum"), *[_cell(d, i, F.lit(0), F.lit(SMALL).cast("long")).alias(f"c{i}") for i in range(3)]))
+def fingerprint(digests: str) -> Column:
+    """The filled cells of the small sketch of a column of digests as text, in order: number, count, XOR of digests, XOR of checksums."""
+    places = ", ".join(f"'c{i}', {_cell('x', i, '0', f'{SMALL}L')}" for i in range(3))
+    named = f"transform({digests}, x -> named_struct('digest', x, 'checksum', {_checksum('x')}, {places}))"
 
-    def cell(all_: Column, c: int) -> Column:
-        inside = F.filter(all_, lambda d: d[f"c{c // SMALL}"] == c)
-        xor = F.aggregate(inside, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).alias("k")), lambda x, d: F.struct((x["n"] + 1).alias("n"), x["d"].bitwiseXOR(d["digest"]).alias("d"), x["k"].bitwiseXOR(d["checksum"]).alias("k")))
-        return F.transform(F.array(xor), lambda x: F.when(x["n"] > 0, F.concat_ws(".", F.hex(F.lit(c)), F.hex(x["n"]), F.hex(x["d"]), F.hex(x["k"]))))[0]
+    def cell(c: int) -> str:
+        xor = f"aggregate(filter(sketch, d -> d.c{c // SMALL} = {c}), named_struct('n', 0L, 'd', 0L, 'k', 0), (s, d) -> named_struct('n', s.n + 1, 'd', s.d ^ d.digest, 'k', s.k ^ d.checksum))"
+        return f"transform(array({xor}), x -> CASE WHEN x.n > 0 THEN concat_ws('.', hex({c}), hex(x.n), hex(x.d), hex(x.k)) END)[0]"
 
-    return F.transform(F.array(named), lambda all_: F.array_join(F.array(*[cell(all_, c) for c in range(3 * SMALL)]), "-"))[0]  # named once
+    return F.expr(f"transform(array({named}), sketch -> array_join(array({', '.join(map(cell, range(3 * SMALL)))}), '-'))[0]")  # named once
 
 
 def buckets_of(spark: SparkSession) -> int:
     return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _passed(test: Callable[[Column], Column], size: int) -> Column:
+    """How many of the falling ``bounds`` pass, which are the first ones: a binary search."""
+    here = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+
+    def halve(s: Column, _: Column) -> Column:
+        up = test(F.element_at("bounds", here(s) + 1))
+        return F.when(s["low"] >= s["high"], s).when(up, F.struct((here(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), here(s).alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size.bit_length() + 1)), F.struct(F.lit(0).alias("low"), F.lit(size).alias("high")), halve, lambda s: s["low"])
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Add ``next_text`` to rows of ``id, text``, the text of the row with the next smaller id (after the last, the first's), and ``range, rid``, which name a row.
 
@@ -157,23 +170,19 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     text; where they fill several ranges, that hash deals them. The last row of a range takes the
     first text of the next range that has rows; there is one such text a range.
     """
-    parts = parts or min(RANGES * buckets_of(docs.sparkSession), MOST_RANGES)
-    cuts = sorted(docs.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] or [], reverse=True)
+    parts = parts or RANGES * buckets_of(docs.sparkSession)
+    cuts = sorted({int(c) for c in docs.approxQuantile("id", [i / parts for i in range(1, parts)], 1 / max(10_000, 4 * parts))}, reverse=True) if parts > 1 else []
     docs = docs.withColumn("hash", F.xxhash64("text"))
-    # range 0 holds the largest ids. A bound is looked for among every ``step``-th one, then between two of these
-    step = max(1, int(len(cuts) ** 0.5))
-
-    def beyond(test) -> Column:  # noqa: ANN001
-        coarse = F.size(F.filter(F.array(*map(F.lit, cuts[::step])), test))
-        return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(F.slice(F.array(*map(F.lit, cuts)), F.greatest(coarse - 1, F.lit(0)) * step + 1, step), test)))
-
     if cuts:
-        above, upto = beyond(lambda c: c > F.col("id")), beyond(lambda c: c >= F.col("id"))
+        # range 0 holds the largest ids; the bounds, 8 bytes a range, are a column of one row that is sent to all tasks
+        bounds = docs.sparkSession.createDataFrame([(cuts,)], "bounds array<long>")
+        docs = docs.crossJoin(F.broadcast(bounds))
+        above, upto = _passed(lambda c: c > F.col("id"), len(cuts)), _passed(lambda c: c >= F.col("id"), len(cuts))
         share = F.col("hash").cast("double") / 2.0**64 + 0.5
         number = above + F.least(F.floor((upto - above + 1) * share), upto - above).cast("int")
     else:
         number = F.lit(0)
-    ranged = docs.withColumn("range", number)
+    ranged = docs.withColumn("range", number).drop("bounds")
     order = [F.desc("id"), F.asc("hash"), F.asc("text")]
     tops = ranged.groupBy("range").agg(F.min(F.struct(F.bitwise_not("id").alias("below"), "hash")).alias("top")).select("range", F.bitwise_not("top.below").alias("id"), F.col("top.hash").alias("hash"))
     tops = settle(tops, "tops")  # a row a range
@@ -219,8 +228,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         both, d = F.col("size0") + F.col(f"size{p}"), F.coalesce(f"lost{p}", F.lit(0))
         return F.when(both == 0, 1.0).otherwise((both - d) / (both + d))
 
-    return whole.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("d0")).alias("fingerprint"), fingerprint(F.col("d1")).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"))
+    return whole.select("doc_id", "n_chars", "edited_sha256", fingerprint("d0").alias("fingerprint"), fingerprint("d1").alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; nulls, repeats, long texts and empty tables go as in ``fingerprint_documents``."""
     return fingerprint_documents(table(spark, sf_dir, "documents"))
