@@ -110,8 +110,10 @@ def grids_within(distance: int, nodes: int) -> list[int]:
 
 def place(nodes: DataFrame, fps: list[str], masks: list[int], *keep: str) -> DataFrame:
     """A row for each node and cell: ``cell, node, fp`` (the fingerprint of that grid), and ``keep``."""
-    at = [F.struct(F.xxhash64(F.lit(f), F.lit(i), embed(F.col(f)).bitwiseAND(F.lit(m))).alias("cell"), F.col(f).alias("fp")) for f in fps for i, m in enumerate(masks)]
-    return nodes.select("node", *keep, F.explode(F.array(*at)).alias("at")).select("at.cell", "node", "at.fp", *keep)
+    named = F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("fp")) for f in fps])
+    points = nodes.select("node", *keep, F.explode(named).alias("f")).select("node", *keep, "f.fp", "f.name", embed(F.col("f.fp")).alias("point"))
+    grids_ = points.select("*", F.posexplode(F.array(*map(F.lit, masks))).alias("grid", "mask"))  # one after the other, so that the plan doesn't grow with their number
+    return grids_.select(F.xxhash64("name", "grid", F.col("point").bitwiseAND(F.col("mask"))).alias("cell"), "node", "fp", *keep)
 
 
 def far(a: str, b: str) -> Column:
