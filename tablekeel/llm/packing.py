@@ -12,11 +12,13 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,39 +32,80 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ‐-‧‰-⁞]*")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class Words(dict):
-    """Ids (little-endian unsigned 32 bits) of lower-cased texts without white space, each tokenised once."""
+class Memory(dict):
+    """What ``make`` gives for a key, made once; what was not used between two calls of ``forget`` goes."""
 
-    def __init__(self, path: str, remembered: int = 300_000) -> None:
-        """``remembered``: distinct words that a Python worker keeps; beyond that it starts again."""
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
+        self.make, self.former = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.former.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def forget(self) -> None:
+        self.former = dict(self)
+        self.clear()
+
+
+class Words:
+    """Ids (little-endian unsigned 32 bits) of texts; their distinct words are tokenised once."""
+
+    def __init__(self, path: str, remembered: int = 300_000) -> None:
+        """``remembered``: distinct words that a Python worker collects before it forgets those unused since it last did."""
         self.whole, self.remembered = Tokenizer.from_file(path), remembered
         self.control = [t.content for t in self.whole.get_added_tokens_decoder().values()]  # these strings in a text have ids of their own
-        self.model, self.parts = self.whole.model, {}
+        self.model, self.words = self.whole.model, Memory(self.word)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.as_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = []
-        for part in WORD.findall(chunk):
-            ids = self.parts.get(part)
-            if ids is None:
-                seen = part if part.isascii() else "".join(map(self.as_chars.__getitem__, part.encode()))
-                ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-            found.append(ids)
-        self[chunk] = out = b"".join(found)
-        return out
+    def word(self, word: str) -> bytes:
+        if not word.isalpha():  # letters alone are one part
+            parts = WORD.findall(word)
+            if parts != [word]:
+                return b"".join(map(self.words.__getitem__, parts))
+        seen = word if word.isascii() else "".join(map(self.as_chars.__getitem__, word.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(x in text for x in self.control)
+
+    def each(self, texts: pa.Array, at_once: int = 1 << 22) -> Iterator[bytes]:
+        """Ids of each text, null as empty. Texts that begin within the same ``at_once`` bytes are taken together."""
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = (np.cumsum(sizes) - sizes) // at_once
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            yield from self.together(texts.slice(lo, hi - lo))
+
+    def together(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each distinct word of these texts is looked up once, then its ids are put at all its places."""
+        whole = texts.to_pylist()
+        plain = np.array([self.plain(t) for t in whole], bool)
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(plain), texts, "")))
+        words = lists.flatten().dictionary_encode()
+        if len(self.words) > self.remembered:
+            self.words.forget()
+        found = list(map(self.words.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
+        n_ids = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        known, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n_ids) - n_ids
+        word = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(n_ids[word])])
+        ids = known[np.repeat(first[word] - ends[:-1], n_ids[word]) + np.arange(ends[-1])]
+        at = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])].tolist()
+        for k, text in enumerate(whole):
+            yield ids[at[k] : at[k + 1]].tobytes() if plain[k] else np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if len(self) + len(self.parts) > self.remembered:
-            self.clear()
-            self.parts.clear()
-        if PLAIN.fullmatch(text) and not any(x in text for x in self.control):
-            return b"".join(map(self.__getitem__, text.lower().split()))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return next(self.each(pa.array([text])))
 
 
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _words: dict[str, Words] = {}  # kept by a Python worker from task to task
 
 
@@ -74,17 +117,18 @@ def tokenised(docs: DataFrame, path: str, size: int, end_id: int = 1, id_col: st
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _words.get(path) or _words.setdefault(path, Words(path))
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                ids = known.ids(text or "") + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), known.each(batch.column("text")), strict=True):
+                ids += end
                 out += [(doc_id, k, at // 4, min(4 * size, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * size])) for k, at in enumerate(range(0, len(ids), 4 * size))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = zip(*out, strict=True) if out else [()] * len(PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((index of a length, how often), ...), copies

@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -273,6 +274,38 @@ def test_odd_texts_are_tokenised_as_the_library_does():
         assert np.frombuffer(w.ids(t), "<u4").tolist() == w.whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_texts_taken_together_are_tokenised_as_each_by_itself():
+    from tablekeel.llm.packing import PLAIN, Words
+
+    w, rng = Words(public_tokenizers.path("word_bpe_49k.json"), remembered=50), np.random.default_rng(5)
+    every = [chr(c) for c in range(0x2100) if PLAIN.fullmatch(chr(c))]
+    mixed = ["".join(rng.choice(every, rng.integers(0, 60))) for _ in range(300)]
+    texts = [None, "", " \t\r\n", "".join(every), *(f"a{c}'S {c}{c}" for c in every), *mixed, "İ <|endoftext|>", "the THE the", "日本語 the", None, "x" * 5000, "12½ don't--'ll"]
+    want = [w.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind, at_once in ((pa.string(), 1 << 22), (pa.large_string(), 100), (pa.string(), 1)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in w.each(pa.array(texts, kind), at_once)] == want
+    assert list(w.each(pa.array([], pa.string()))) == []
+
+
+def test_words_in_use_are_tokenised_once():
+    from tablekeel.llm.packing import Words
+
+    class Counting:
+        seen = []
+
+        def tokenize(self, part):
+            self.seen.append(part)
+            return model.tokenize(part)
+
+    w = Words(public_tokenizers.path("word_bpe_49k.json"), remembered=100)
+    model, w.model = w.model, Counting()
+    for k in range(50):  # far more words than are remembered, but some come again and again
+        got = list(w.each(pa.array([f"usual, words. {'usual ' * 9}"] + [f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)} usual." for j in range(20)])))
+        assert np.frombuffer(got[0], "<u4").tolist() == w.whole.encode(f"usual, words. {'usual ' * 9}", add_special_tokens=False).ids
+    assert all(Counting.seen.count(x) == 1 for x in ("usual", "words", ",", ".")) and len(Counting.seen) == 50 * 20 + 4
+    assert len(w.words) + len(w.words.former) < 300
+
+
 def test_decontamination(run, texts, duck):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     windows = {}
