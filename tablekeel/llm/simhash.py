@@ -109,7 +109,11 @@ def grids_within(distance: int, nodes: int) -> list[int]:
 
 
 def place(nodes: DataFrame, fps: list[str], masks: list[int], *keep: str) -> DataFrame:
-    """A row for each node and cell: ``cell, node, fp`` (the fingerprint of that grid), and ``keep``."""
+    """A row for each node and cell: ``cell, node, fp`` (the fingerprint of that grid), and ``keep``.
+
+    Spark sizes these rows as if a node had one and may take them for a small table, so no join may
+    be free to broadcast them: they are the left side of a semi or anti join, or of a merge.
+    """
     named = F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("fp")) for f in fps])
     points = nodes.select("node", *keep, F.explode(named).alias("f")).select("node", *keep, "f.fp", "f.name", embed(F.col("f.fp")).alias("point"))
     grids_ = points.select("*", F.posexplode(F.array(*map(F.lit, masks))).alias("grid", "mask"))  # one after the other, so that the plan doesn't grow with their number
@@ -146,14 +150,14 @@ def link_components(nodes: DataFrame, fps: list[str], masks: list[int], within:
     spots = place(nodes, fps, masks)
     first_in_order = F.min(F.struct(F.xxhash64("node", F.pmod("cell", F.lit(ORDERS))).alias("at"), "node", "fp"))
     centres = settle(spots.groupBy("cell").agg(first_in_order.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", F.col("c.node").alias("centre"), F.col("c.fp").alias("centre_fp"), "n"), "centres")
-    stars = spots.join(centres.drop("n"), "cell").where((F.col("node") != F.col("centre")) & (far("fp", "centre_fp") <= within))
+    stars = spots.hint("merge").join(centres.drop("n"), "cell").where((F.col("node") != F.col("centre")) & (far("fp", "centre_fp") <= within))
     stars = stars.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
     first = settle(components(check(stars)), "stars")
 
     labelled = settle(nodes.select("node", *fps).join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "nodes")
     spots = place(labelled, fps, masks, "label")
-    crowded = centres.where(F.col("n") > crowd).select("cell", "n")
-    mixed = spots.join(crowded, "cell").groupBy("cell").agg(F.max("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    crowded = centres.where(F.col("n") > crowd).select("cell")
+    mixed = spots.join(crowded, "cell", "left_semi").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = settle(mixed.where("low < high").select("cell", F.ceil(F.col("n") / max(BLOCK, crowd)).cast("int").alias("blocks")), "mixed")
 
     def meet(left: DataFrame, right: DataFrame, keys: list[str], bound: Bound | None = None) -> DataFrame:
@@ -161,10 +165,10 @@ def link_components(nodes: DataFrame, fps: list[str], masks: list[int], within:
         a, b = (df.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s, df in (("a", left), ("b", right)))
         points = F.bit_count(embed(F.col("fp_a")).bitwiseXOR(embed(F.col("fp_b"))))  # the Manhattan distance of the embeddings bounds that of the fingerprints
         apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (points <= within) & (far("fp_a", "fp_b") <= within)
-        return a.join(b, keys).where(apart & bound.holds("a", "b") if bound else apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        return a.hint("merge").join(b, keys).where(apart & bound.holds("a", "b") if bound else apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    loose = spots.join(crowded.drop("n"), "cell", "left_anti")
-    dense = spots.join(mixed, "cell")
+    loose = spots.join(crowded, "cell", "left_anti")
+    dense = spots.join(mixed.select("cell"), "cell", "left_semi").hint("merge").join(mixed, "cell")  # only what is left is shuffled
     if bound:
         dense = dense.join(nodes.select("node", *bound.columns), "node")
     dealt = dense.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
