@@ -5,6 +5,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
+from tablekeel.llm.simhash import near_duplicates
 
 
 def executions(spark):
@@ -62,3 +63,13 @@ def test_near_copies_broadcast_no_cells(spark):
     plans = plans_since(spark, before)
     assert any("Generate" in p for p in plans)
     assert [exploded_broadcasts(p) for p in plans] == [0] * len(plans)
+
+
+def test_fingerprints_broadcast_no_cells(spark):
+    docs = spark.createDataFrame(list(enumerate(texts_with_copies(200))), "doc_id long, text string")
+    _, before = executions(spark)
+    found = near_duplicates(docs).select("component").distinct().count()
+    assert 200 <= found < 220
+    plans = plans_since(spark, before)
+    assert any("Generate" in p for p in plans)
+    assert [exploded_broadcasts(p) for p in plans] == [0] * len(plans)
